@@ -1,0 +1,34 @@
+"""Joins that stay balanced when one key holds a large share of the rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, functions as F
+
+BROADCAST_LIMIT = 32 << 20
+
+
+def plan_size(df: DataFrame) -> int:
+    """Catalyst's size estimate of a plan in bytes; known without running anything.
+
+    The estimate never shrinks for filters and aggregates, so it is an upper bound for plans
+    without an explode.
+    """
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
+def lookup_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner",
+                salt_on: list[str] | None = None, salts: int = 16,
+                limit: int = BROADCAST_LIMIT) -> DataFrame:
+    """Join many rows of ``big`` to at most one row of ``small`` per key (inner or left).
+
+    Small enough by the plan's own size estimate: broadcast. Otherwise every row of ``small``
+    is copied to ``salts`` sub-keys and the rows of ``big`` are spread over them by a hash of
+    ``salt_on``, so a key with a third of the rows fills ``salts`` tasks instead of one.
+    """
+    if plan_size(small) <= limit:
+        return big.join(F.broadcast(small), on, how)
+    cols = salt_on or [f.name for f in big.schema.fields
+                       if f.dataType.typeName() not in ("map", "variant")]
+    salted = big.withColumn("_salt", F.pmod(F.xxhash64(*cols), F.lit(salts)).cast("int"))
+    copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return salted.join(copies, [*on, "_salt"], how).drop("_salt")
