@@ -19,7 +19,7 @@ def plan_size(df: DataFrame) -> int:
 def lookup_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner",
                 salt_on: list[str] | None = None, salts: int = 16,
                 limit: int = BROADCAST_LIMIT) -> DataFrame:
-    """Join many rows of ``big`` to at most one row of ``small`` per key (inner or left).
+    """Join many rows of ``big`` to one or few rows of ``small`` per key (inner or left).
 
     Small enough by the plan's own size estimate: broadcast. Otherwise every row of ``small``
     is copied to ``salts`` sub-keys and the rows of ``big`` are spread over them by a hash of
