@@ -1,4 +1,4 @@
 """All registered queries; importing this module loads them."""
 
-from tractloom.plans import q_acquisition, q_compare, q_extract, q_geometry, q_metrics, q_rois  # noqa: F401
+from tractloom.plans import q_acquisition, q_compare, q_extract, q_geometry, q_metrics, q_rois, q_series  # noqa: F401
 from tractloom.plans.registry import ORACLE, QUERIES  # noqa: F401
