@@ -121,7 +121,7 @@ def volume_cell(mm3: Column) -> Column:
 
 def unreliable_vendor(vendor: Column) -> Column:
     """Vendors whose fallback conversion is known to be unreliable."""
-    return F.coalesce(F.lower(F.trim(vendor)).isin(*C.UNRELIABLE_VENDORS), F.lit(False))
+    return F.coalesce(F.lower(vendor).isin(*C.UNRELIABLE_VENDORS), F.lit(False))
 
 
 def gradients_missing(n_dims: Column, n_volumes: Column, bval: Column, bvec: Column) -> Column:
