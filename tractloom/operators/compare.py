@@ -10,6 +10,7 @@ from tractloom import constants as C
 from tractloom.functions.joins import lookup_join
 from tractloom.functions.numeric import count_if, lit, ratio
 from tractloom.functions.ranking import exact_percentiles
+from tractloom.functions.stage import materialize
 from tractloom.operators.streamlines import KEY, resample
 
 VOX = ["subject_id", "i", "j", "k"]
@@ -109,64 +110,80 @@ def hemisphere_alignment(candidate: DataFrame, reference: DataFrame, subjects: D
 
 # ------------------------------------------------------------------- nearest points
 
-def _tree(points: DataFrame, levels: tuple[float, ...]) -> list[DataFrame]:
-    """Boxes of the distinct points at each cell size (coarse to fine), then the points.
+def _cell(size: float) -> list[Column]:
+    return [F.floor(F.col(a) / lit(size)).cast("long").alias(c) for a, c in zip("xyz", "abc")]
 
-    A node has its cell (a, b, c), the tight box of its points and its parent's cell.
-    """
-    p = points.select("subject_id", "x", "y", "z").distinct()
-    out: list[DataFrame] = []
-    for n, size in enumerate(levels):
-        cell = [F.floor(F.col(a) / lit(size)).cast("long").alias(c) for a, c in zip("xyz", "abc")]
-        parent = [F.floor(F.col(a) / lit(levels[n - 1])).cast("long").alias(f"p{c}") for a, c in zip("xyz", "abc")] if n else []
-        keys = ["a", "b", "c", *([f"p{c}" for c in "abc"] if n else [])]
-        out.append(p.select("subject_id", *cell, *parent, "x", "y", "z").groupBy("subject_id", *keys).agg(
-            *[f(a).alias(f"{m}{a}") for a in "xyz" for m, f in (("lo", F.min), ("hi", F.max))]))
-    leaf = [F.floor(F.col(a) / lit(levels[-1])).cast("long").alias(f"p{c}") for a, c in zip("xyz", "abc")]
-    out.append(p.select("subject_id", *leaf, *[F.col(a).alias(f"{m}{a}") for a in "xyz" for m in ("lo", "hi")]))
-    return out
-
-
-def nearest_distance(source: DataFrame, target: DataFrame,
-                     levels: tuple[float, ...] = (64.0, 16.0, 4.0, 1.0)) -> DataFrame:
+
+def _boxes(points: DataFrame, size: float, parent: float | None = None) -> DataFrame:
+    """Tight box of the points in each occupied cell, with the cell of the next coarser size."""
+    up = [F.floor(F.col(a) / lit(parent)).cast("long").alias(f"p{c}") for a, c in zip("xyz", "abc")] if parent else []
+    keys = ["a", "b", "c", *([f"p{c}" for c in "abc"] if parent else [])]
+    return points.select("subject_id", *_cell(size), *up, "x", "y", "z").groupBy("subject_id", *keys).agg(
+        *[f(a).alias(f"{m}{a}") for a in "xyz" for m, f in (("lo", F.min), ("hi", F.max))])
+
+
+def _near_sq() -> Column:
+    """Squared distance from a point to the nearest side of a box."""
+    gap = [F.greatest(F.col(f"lo{a}") - F.col(a), F.col(a) - F.col(f"hi{a}"), lit(0.0)) for a in "xyz"]
+    return gap[0] * gap[0] + gap[1] * gap[1] + gap[2] * gap[2]
+
+
+def _far_sq() -> Column:
+    """Squared distance from a point to the far corner of a box; some box point is not farther."""
+    gap = [F.greatest(F.abs(F.col(a) - F.col(f"lo{a}")), F.abs(F.col(a) - F.col(f"hi{a}"))) for a in "xyz"]
+    return gap[0] * gap[0] + gap[1] * gap[1] + gap[2] * gap[2]
+
+
+_PID = ["subject_id", "x", "y", "z"]
+
+
+def _prune(hits: DataFrame) -> DataFrame:
+    """Per source point keep boxes that may hold the nearest target; ``_best`` bounds it from above."""
+    d = hits.select(*_PID, "weight", "a", "b", "c", _near_sq().alias("_near"), _far_sq().alias("_far"))
+    d = d.withColumn("_best", F.min("_far").over(Window.partitionBy(*_PID)))
+    return d.where(F.col("_near") <= F.col("_best")).select(*_PID, "weight", "a", "b", "c", "_best")
+
+
+def nearest_distance(source: DataFrame, target: DataFrame, cell: float = 4.0, growth: float = 4.0,
+                     fine: float = 1.0) -> DataFrame:
     """Exact distance from each source point to the nearest target point of its subject.
 
-    Descends a tree of boxes. At each level a source keeps only boxes whose nearest side is not
-    beyond the far side of another one, so it meets a handful of boxes per level instead of all
-    target points. Equal source points are searched once (``weight`` counts them). Upper levels
-    have few boxes, so their join is a checked broadcast or a salted one.
+    Targets are held as tight boxes of occupied cells. A source point looks at the boxes of its own
+    and the 26 neighbouring cells; if the best of them ends within one cell size, the nearest target
+    must be in that ring, and only boxes that start before that bound are opened, first into fine
+    cells, then into points. Sources without a target so near try again with larger cells. So a
+    source meets a few boxes, never all targets; equal points are searched once (``weight`` counts
+    them), and a crowded cell of sources is spread over tasks by the salted join.
     """
-    src = source.groupBy("subject_id", "x", "y", "z").agg(F.count(F.lit(1)).alias("weight"))
-    pid = ["subject_id", "x", "y", "z"]
-    tree = _tree(target, levels)
-
-    def near(a: str) -> Column:
-        return F.greatest(F.col(f"lo{a}") - F.col(a), F.col(a) - F.col(f"hi{a}"), lit(0.0))
-
-    def far(a: str) -> Column:
-        return F.greatest(F.abs(F.col(a) - F.col(f"lo{a}")), F.abs(F.col(a) - F.col(f"hi{a}")))
-
-    def sq(f) -> Column:
-        return f("x") * f("x") + f("y") * f("y") + f("z") * f("z")
-
-    top = tree[0].groupBy("subject_id").agg(F.collect_list(F.struct("a", "b", "c", *[f"{m}{a}" for a in "xyz" for m in ("lo", "hi")])).alias("_boxes"))
-    # the coarsest level: a brain spans a few such cells, held as one short array per subject
-    cand = lookup_join(src, top, ["subject_id"], salt_on=["x", "y", "z"])
-    cand = cand.select(*pid, "weight", F.inline("_boxes"))
-    for level in range(len(tree)):
-        if level:
-            up = tree[level]
-            cand = cand.select(*pid, "weight", *[F.col(c).alias(f"p{c}") for c in "abc"])
-            # many sources share an upper box, so those joins are spread; the points join is not
-            node = ["subject_id", "pa", "pb", "pc"]
-            cand = cand.join(up, node) if level == len(tree) - 1 else lookup_join(cand, up, node, salt_on=["x", "y", "z"])
-        if level == len(tree) - 1:
+    tgt = materialize(target.select(*_PID).distinct())
+    src = source.groupBy(*_PID).agg(F.count(F.lit(1)).alias("weight"))
+    src = materialize(src.join(tgt.select("subject_id").distinct(), "subject_id", "left_semi"))
+    near_cells = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(c).alias("c"))
+                                     for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1)]))
+    found, size = [], cell
+    while True:
+        # boxes are fewer than points, so they are the side copied to the neighbouring cells
+        ring = _boxes(tgt, size).withColumns({f"o{c}": F.col(c) for c in "abc"}).withColumn("_o", near_cells)
+        ring = ring.withColumns({c: F.col(c) + F.col(f"_o.{c}") for c in "abc"}).drop("_o")
+        hits = lookup_join(src.select(*_PID, "weight", *_cell(size)), ring, ["subject_id", "a", "b", "c"], salt_on=["x", "y", "z"])
+        hits = hits.drop("a", "b", "c").withColumnsRenamed({f"o{c}": c for c in "abc"})
+        cand = materialize(_prune(hits).where(F.col("_best") <= size * size))
+        found.append((size, cand))
+        src = materialize(src.join(cand.select(*_PID).distinct(), _PID, "left_anti"))
+        if src.isEmpty():
             break
-        cells = ["a", "b", "c"]
-        scored = cand.select(*pid, "weight", *cells, sq(near).alias("_near"), sq(far).alias("_far"))
-        best = F.min("_far").over(Window.partitionBy(*pid))
-        cand = scored.withColumn("_best", best).where(F.col("_near") <= F.col("_best")).select(*pid, "weight", *cells)
-    return cand.groupBy(*pid).agg(F.max("weight").alias("weight"), F.sqrt(F.min(sq(far))).alias("distance"))
+        size *= growth
+    out = []
+    for size, cand in found:
+        while size > fine:
+            lower = max(fine, size / growth)
+            up = cand.select(*_PID, "weight", *[F.col(c).alias(f"p{c}") for c in "abc"])
+            cand = _prune(lookup_join(up, _boxes(tgt, lower, size), ["subject_id", "pa", "pb", "pc"], salt_on=["x", "y", "z"]))
+            size = lower
+        pts = tgt.select("subject_id", *_cell(size), *[F.col(a).alias(f"{m}{a}") for a in "xyz" for m in ("lo", "hi")])
+        out.append(cand.join(pts, ["subject_id", "a", "b", "c"]).groupBy(*_PID).agg(
+            F.max("weight").alias("weight"), F.sqrt(F.min(_far_sq())).alias("distance")))
+    return reduce(DataFrame.unionByName, out)
 
 
 def mean_closest_distance(candidate: DataFrame, reference: DataFrame, step: float = 2.0) -> DataFrame:
@@ -175,7 +192,7 @@ def mean_closest_distance(candidate: DataFrame, reference: DataFrame, step: floa
     Every streamline is resampled to max(2, int(length/step)) points and all of them are used.
     """
     n_out = F.when(F.col("length") < step, F.lit(2)).otherwise(F.greatest(F.lit(2), F.floor(F.col("length") / lit(step))))
-    c, r = resample(candidate, n_out), resample(reference, n_out)
+    c, r = materialize(resample(candidate, n_out)), materialize(resample(reference, n_out))
     d = nearest_distance(c, r).withColumn("way", F.lit("c2r")).unionByName(
         nearest_distance(r, c).withColumn("way", F.lit("r2c")))
     w, x = F.col("weight"), F.col("distance")

@@ -1,6 +1,7 @@
 """Metrics of a bundle: morphology, sampled scalars, profile, regions and side comparison.
 
-Bundles are ``points`` with a ``side`` column; results are per (subject, side).
+Bundles are ``points`` with a ``side`` column; results are per (subject, side). A streamline in both
+sides is there twice, so streamlines are identified by subject, side and id.
 """
 
 from __future__ import annotations
@@ -14,11 +15,13 @@ from tractloom.functions import geometry as G
 from tractloom.functions.laterality import li_columns
 from tractloom.functions.numeric import lit
 from tractloom.functions.ranking import exact_percentiles, two_stage_rank
+from tractloom.functions.stage import materialize
 from tractloom.operators.geometry import voxelise
 from tractloom.operators.streamlines import BLOCK, KEY, arc_lengths, orient
 
 VOX = ["subject_id", "i", "j", "k"]
 SIDE = ["subject_id", "side"]
+SKEY = ["subject_id", "side", "streamline_id"]
 STATS = ("mean", "std", "median", "min", "max")
 
 
@@ -61,15 +64,15 @@ def _stats(df: DataFrame, scalars: tuple[str, ...], prefix: str, n_name: str) ->
 
 def scalar_summary(samples: DataFrame, scalars: tuple[str, ...] = C.SCALARS) -> DataFrame:
     """A5: headline over streamline means (one vote each) and the pool of all samples."""
-    head = _stats(per_streamline(samples, scalars), scalars, "", "n_streamlines")
+    samples = materialize(samples.select(*SKEY, *scalars))
+    head = _stats(materialize(per_streamline(samples, scalars)), scalars, "", "n_streamlines")
     pool = _stats(samples, scalars, "pool_", "n_samples")
     return head.join(pool, [*SIDE, "scalar"])
 
 
 def morphology(bundle: DataFrame, vox_points: DataFrame, voxel_volume: Column) -> DataFrame:
     """A2: streamline count, length statistics, volume of distinct voxels (not bounds-checked)."""
-    ln = arc_lengths(bundle).join(bundle.select(*KEY, "side").distinct(), KEY)
-    a = ln.groupBy(*SIDE).agg(
+    a = arc_lengths(bundle.select(*SKEY, "pt_idx", "x", "y", "z"), SKEY).groupBy(*SIDE).agg(
         F.count(F.lit(1)).alias("n_streamlines"), F.avg("length").alias("mean_length"),
         F.stddev_pop("length").alias("std_length"), F.min("length").alias("min_length"),
         F.max("length").alias("max_length"))
@@ -85,9 +88,8 @@ def tract_profile(bundle: DataFrame, grid: G.Grid | None, maps: DataFrame,
     places (and interpolation weights of short streamlines) are fixed before any map is read and
     at most two rows per place and streamline meet the maps.
     """
-    sides = bundle.select(*KEY, "side").distinct()
-    v = voxelise(orient(bundle.drop("side")), grid).where("inb").select(*KEY, "pt_idx", "i", "j", "k")
-    r = two_stage_rank(v, KEY, F.floor(F.col("pt_idx") / BLOCK), [F.col("pt_idx")], out="r", total="n")
+    v = voxelise(orient(bundle.select(*SKEY, "pt_idx", "x", "y", "z"), SKEY), grid).where("inb").select(*SKEY, "pt_idx", "i", "j", "k")
+    r = two_stage_rank(v, SKEY, F.floor(F.col("pt_idx") / BLOCK), [F.col("pt_idx")], out="r", total="n")
     r = r.where(F.col("n") >= C.PROFILE_MIN_SAMPLES)
     m = n_points - 1
     gap = F.col("n") - 1
@@ -110,8 +112,9 @@ def tract_profile(bundle: DataFrame, grid: G.Grid | None, maps: DataFrame,
                     weighted(first_place(rank - 1), first_place(rank) - 1, frac))
     empty = F.array().cast("array<struct<place:int,w:double>>")
     e = r.withColumn("_p", F.explode(F.concat(F.coalesce(here, empty), F.coalesce(before, empty))))
-    e = e.select(*KEY, "i", "j", "k", "_p.place", "_p.w").where("w > 0")
-    e = e.join(maps.select(*VOX, *scalars), VOX, "left").join(sides, KEY)
+    e = e.select(*SIDE, "i", "j", "k", "_p.place", "_p.w").where("w > 0")
+    e = e.groupBy(*SIDE, "i", "j", "k", "place").agg(F.sum("w").alias("w"))
+    e = e.join(maps.select(*VOX, *scalars), VOX, "left")
     g = e.groupBy(*SIDE, "place").agg(*[
         (F.sum(F.coalesce(F.col(c), lit(0.0)) * F.col("w")) / F.sum("w")).alias(c) for c in scalars])
     return _long(g, [*SIDE, "place"], scalars)
@@ -133,7 +136,8 @@ def empty_safe(stats: DataFrame, sides: DataFrame) -> DataFrame:
 def metrics_long(bundle: DataFrame, grid: G.Grid, maps: DataFrame,
                  scalars: tuple[str, ...] = C.SCALARS) -> DataFrame:
     """All metrics of a bundle as (subject_id, side, metric, value)."""
-    v = voxelise(bundle, grid)
+    v = materialize(voxelise(bundle, grid))
+    bundle = v
     morph = morphology(bundle, v, lit(grid.voxel_volume)).unpivot(
         SIDE, ["n_streamlines", "mean_length", "std_length", "min_length", "max_length", "tract_volume"], "metric", "value")
     summ = scalar_summary(sample(v, maps, scalars), scalars).withColumnRenamed("n_streamlines", "n_sampled")

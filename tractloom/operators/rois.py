@@ -11,6 +11,7 @@ from tractloom.functions import geometry as G
 from tractloom.functions.joins import lookup_join
 from tractloom.functions.numeric import count_if, lit, ratio
 from tractloom.functions.ranking import exact_percentiles
+from tractloom.functions.stage import materialize
 
 VOX = ["subject_id", "i", "j", "k"]
 
@@ -150,7 +151,7 @@ def midline_x(space: DataFrame, subjects: DataFrame, grid: G.Grid | None = None)
     """Median world x of the boundary inside the central y/z slab (15th-85th percentile)."""
     w = [_world(c, grid) for c in "xyz"]
     b = midline_boundary(space, grid).withColumns(dict(zip(("wx", "wy", "wz"), w)))
-    b = b.select(*VOX, "wx", "wy", "wz")
+    b = materialize(b.select(*VOX, "wx", "wy", "wz"))
     lim = exact_percentiles(b, ["subject_id"], F.col("wy"), 1.0, {"y_lo": 0.15, "y_hi": 0.85}).join(
         exact_percentiles(b, ["subject_id"], F.col("wz"), 1.0, {"z_lo": 0.15, "z_hi": 0.85}), "subject_id")
     b = lookup_join(b, lim, ["subject_id"], salt_on=["i", "j", "k"])

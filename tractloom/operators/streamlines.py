@@ -5,6 +5,9 @@ blocks of ``BLOCK`` vertices: windows are partitioned by (streamline, block), th
 block is repeated at the head of the next one, and values of the whole streamline come back to its
 vertices through a join on the same block key. So no window ever spans more than one block and a
 streamline of any length is spread over tasks; for ordinary lengths there is just block 0.
+
+``key`` names the columns that identify a streamline; bundles add ``side``, since one streamline
+may be in both.
 """
 
 from __future__ import annotations
@@ -21,28 +24,28 @@ def block_of() -> Column:
     return F.floor(F.col("pt_idx") / F.lit(BLOCK)).cast("int")
 
 
-def with_previous(points: DataFrame, cols: list[str]) -> DataFrame:
+def with_previous(points: DataFrame, cols: list[str], key: list[str] = KEY) -> DataFrame:
     """Add ``prev_<col>`` from the vertex before (NULL at the first) and ``block``."""
     b = block_of()
     halo = points.withColumn("block", F.explode(
         F.when(F.col("pt_idx") % BLOCK == BLOCK - 1, F.array(b, b + 1)).otherwise(F.array(b))))
-    w = Window.partitionBy(*KEY, "block").orderBy("pt_idx")
+    w = Window.partitionBy(*key, "block").orderBy("pt_idx")
     return (halo.select("*", *[F.lag(c).over(w).alias(f"prev_{c}") for c in cols])
             .where(F.col("pt_idx") >= F.col("block") * BLOCK))
 
 
-def segment_lengths(points: DataFrame, keep_prev: bool = False) -> DataFrame:
+def segment_lengths(points: DataFrame, keep_prev: bool = False, key: list[str] = KEY) -> DataFrame:
     """Vertices with ``seg``, the distance from the vertex before (0 at the first)."""
-    p = with_previous(points, ["x", "y", "z"])
+    p = with_previous(points, ["x", "y", "z"], key)
     d = [F.col(a) - F.col(f"prev_{a}") for a in "xyz"]
     seg = F.sqrt(d[0] * d[0] + d[1] * d[1] + d[2] * d[2])
     p = p.withColumn("seg", F.coalesce(seg, lit(0.0)))
     return p if keep_prev else p.drop("prev_x", "prev_y", "prev_z")
 
 
-def arc_lengths(points: DataFrame) -> DataFrame:
+def arc_lengths(points: DataFrame, key: list[str] = KEY) -> DataFrame:
     """A1: vertex count and arc length per streamline (0 for a single vertex)."""
-    return segment_lengths(points).groupBy(*KEY).agg(
+    return segment_lengths(points, key=key).groupBy(*key).agg(
         F.count(F.lit(1)).alias("n_points"), F.sum("seg").alias("length"))
 
 
@@ -57,11 +60,11 @@ def per_block(stats: DataFrame, n: str = "n_points") -> DataFrame:
     return stats.withColumn("block", F.explode(F.sequence(F.lit(0), last)))
 
 
-def join_back(points: DataFrame, stats: DataFrame, n: str = "n_points") -> DataFrame:
+def join_back(points: DataFrame, stats: DataFrame, n: str = "n_points", key: list[str] = KEY) -> DataFrame:
     """Attach per-streamline columns to the vertices of that streamline."""
     if "block" not in points.columns:
         points = points.withColumn("block", block_of())
-    return points.join(per_block(stats, n), [*KEY, "block"])
+    return points.join(per_block(stats, n), [*key, "block"])
 
 
 def endpoints(points: DataFrame) -> DataFrame:
@@ -72,25 +75,25 @@ def endpoints(points: DataFrame) -> DataFrame:
         F.min_by(p, "pt_idx").alias("start"), F.max_by(p, "pt_idx").alias("end"))
 
 
-def orientation(points: DataFrame) -> DataFrame:
+def orientation(points: DataFrame, key: list[str] = KEY) -> DataFrame:
     """Whether a streamline has to be turned round to run from its lower to its upper end.
 
     Compares the mean of the last quarter with that of the first on z, ties on y, then x.
     """
-    n = points.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n_points"))
-    p = join_back(points, n)
+    n = points.groupBy(*key).agg(F.count(F.lit(1)).alias("n_points"))
+    p = join_back(points, n, key=key)
     k = F.greatest(F.lit(1), F.floor(F.col("n_points") / 4))
     head, tail = F.col("pt_idx") < k, F.col("pt_idx") >= F.col("n_points") - k
-    d = p.groupBy(*KEY).agg(F.max("n_points").alias("n_points"), *[
+    d = p.groupBy(*key).agg(F.max("n_points").alias("n_points"), *[
         (F.avg(F.when(tail, F.col(a))) - F.avg(F.when(head, F.col(a)))).alias(f"d{a}") for a in "zyx"])
     delta = (F.when(F.col("dz") != 0, F.col("dz")).when(F.col("dy") != 0, F.col("dy"))
              .otherwise(F.col("dx")))
-    return d.select(*KEY, "n_points", ((F.col("n_points") >= 2) & (delta < 0)).alias("flip"))
+    return d.select(*key, "n_points", ((F.col("n_points") >= 2) & (delta < 0)).alias("flip"))
 
 
-def orient(points: DataFrame) -> DataFrame:
+def orient(points: DataFrame, key: list[str] = KEY) -> DataFrame:
     """Vertices renumbered so that index 0 is the lower end; nothing else changes."""
-    p = join_back(points, orientation(points))
+    p = join_back(points, orientation(points, key), key=key)
     return p.withColumn("pt_idx", F.when(F.col("flip"), F.col("n_points").cast("int") - 1 - F.col("pt_idx"))
                         .otherwise(F.col("pt_idx"))).drop("n_points", "flip", "block")
 

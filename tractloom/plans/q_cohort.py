@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tractloom.functions.numeric import lit, rnd
+from tractloom.functions.stage import materialize
 from tractloom.operators import acquisition as aq, cohort as co, metrics as me
 from tractloom.plans import fixtures as fx
 from tractloom.plans.fixtures import GRID, SQL_GRADIENTS, r6
@@ -219,7 +220,7 @@ def s9(spark, sf):
 # ----------------------------------------------------------------------- reports S10-S12
 
 def _metric_columns(spark, sf):
-    m = me.metrics_long(bundles(spark, sf), GRID, fx.voxels(spark))
+    m = materialize(me.metrics_long(bundles(spark, sf), GRID, fx.voxels(spark)))
     return co.side_columns(m, me.compare_sides(m))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tractloom.functions.numeric import lit, rnd
+from tractloom.functions.stage import materialize
 from tractloom.operators import extract as ex, streamlines as sl
 from tractloom.operators.geometry import voxelise
 from tractloom.plans import fixtures as fx
@@ -111,7 +112,7 @@ sel AS (SELECT s.* FROM (SELECT *, row_number() OVER (PARTITION BY subject_id, s
 
 
 def _bidir(spark, sf):
-    f = fates(spark, sf).where("fate <> 'length'")
+    f = materialize(fates(spark, sf).where("fate <> 'length'"))
     g = F.expr("streamline_id div 8")
     m = g % 4
     fwd = f.where(F.col("brainstem") & m.isin(0, 1)).withColumn("side", F.when(m == 0, "left").otherwise("right"))

@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tractloom import constants as C
+from tractloom.functions.stage import materialize
 
 
 def list_files(spark: SparkSession, root: str, magic: bool = False) -> DataFrame:
@@ -139,6 +140,7 @@ def scan_study(files: DataFrame, min_files: int = C.DICOM_MIN_FILES) -> DataFram
     depth = F.when(F.col("dir") == "", 0).otherwise(F.size(F.split("dir", "/")))
     s = g.select("study", "dir", F.when(F.col("n_dcm") > 0, F.col("n_dcm")).otherwise(F.col("n_magic")).alias("n_files"),
                  depth.alias("depth")).where(F.col("depth") <= C.DICOM_MAX_DEPTH)
+    s = materialize(s)
     part = F.split("dir", "/")
     above = F.transform(F.sequence(F.lit(1), F.col("depth") - 1), lambda k: F.array_join(F.slice(part, 1, k), "/"))
     anc = s.where("depth > 1").select("study", "dir", F.explode(above).alias("up"))
