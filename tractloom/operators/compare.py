@@ -122,68 +122,72 @@ def _boxes(points: DataFrame, size: float, parent: float | None = None) -> DataF
         *[f(a).alias(f"{m}{a}") for a in "xyz" for m, f in (("lo", F.min), ("hi", F.max))])
 
 
-def _near_sq() -> Column:
-    """Squared distance from a point to the nearest side of a box."""
-    gap = [F.greatest(F.col(f"lo{a}") - F.col(a), F.col(a) - F.col(f"hi{a}"), lit(0.0)) for a in "xyz"]
-    return gap[0] * gap[0] + gap[1] * gap[1] + gap[2] * gap[2]
-
-
-def _far_sq() -> Column:
-    """Squared distance from a point to the far corner of a box; some box point is not farther."""
-    gap = [F.greatest(F.abs(F.col(a) - F.col(f"lo{a}")), F.abs(F.col(a) - F.col(f"hi{a}"))) for a in "xyz"]
-    return gap[0] * gap[0] + gap[1] * gap[1] + gap[2] * gap[2]
+_PID = ["subject_id", "x", "y", "z"]
 
 
-_PID = ["subject_id", "x", "y", "z"]
+def _sq(d: list[Column]) -> Column:
+    return d[0] * d[0] + d[1] * d[1] + d[2] * d[2]
 
 
-def _prune(hits: DataFrame) -> DataFrame:
-    """Per source point keep boxes that may hold the nearest target; ``_best`` bounds it from above."""
-    d = hits.select(*_PID, "weight", "a", "b", "c", _near_sq().alias("_near"), _far_sq().alias("_far"))
-    d = d.withColumn("_best", F.min("_far").over(Window.partitionBy(*_PID)))
-    return d.where(F.col("_near") <= F.col("_best")).select(*_PID, "weight", "a", "b", "c", "_best")
+def _sample_near(tgt: DataFrame, size: float) -> DataFrame:
+    """One target point per cell, taken from that cell and its 26 neighbours, near the middle."""
+    step = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(c).alias("c"))
+                               for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1)]))
+    one = tgt.select(*_PID, *_cell(size)).groupBy("subject_id", "a", "b", "c").agg(F.min(F.struct("x", "y", "z")).alias("t"))
+    near = one.withColumn("_o", step).select("subject_id", "t", *[(F.col(c) + F.col(f"_o.{c}")).alias(c) for c in "abc"])
+    off = _sq([F.col(f"t.{a}") - (F.col(c) + lit(0.5)) * lit(size) for a, c in zip("xyz", "abc")])
+    return near.groupBy("subject_id", "a", "b", "c").agg(F.min_by("t", F.struct(off, "t")).alias("t"))
 
 
-def nearest_distance(source: DataFrame, target: DataFrame, cell: float = 4.0, growth: float = 4.0,
-                     fine: float = 1.0) -> DataFrame:
+def nearest_distance(source: DataFrame, target: DataFrame, start: float = 2.0, growth: float = 4.0,
+                     reach: int = 5, fine: float = 1.0) -> DataFrame:
     """Exact distance from each source point to the nearest target point of its subject.
 
-    Targets are held as tight boxes of occupied cells. A source point looks at the boxes of its own
-    and the 26 neighbouring cells; if the best of them ends within one cell size, the nearest target
-    must be in that ring, and only boxes that start before that bound are opened, first into fine
-    cells, then into points. Sources without a target so near try again with larger cells. So a
-    source meets a few boxes, never all targets; equal points are searched once (``weight`` counts
-    them), and a crowded cell of sources is spread over tasks by the salted join.
+    First every source gets an upper bound: the distance to one target sampled around its cell, for
+    ``reach`` growing cell sizes, or to any target of its subject. Then it opens only cells that its
+    bound can touch: at most 8 of the cell size just above twice the bound, their boxes of targets
+    level by level, and at last the points of the remaining fine cells. No source meets all targets,
+    equal source points are searched once (``weight`` counts them), and crowded cells are spread
+    over tasks by salted joins.
     """
     tgt = materialize(target.select(*_PID).distinct())
     src = source.groupBy(*_PID).agg(F.count(F.lit(1)).alias("weight"))
-    src = materialize(src.join(tgt.select("subject_id").distinct(), "subject_id", "left_semi"))
-    near_cells = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(c).alias("c"))
-                                     for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1)]))
-    found, size = [], cell
-    while True:
-        # boxes are fewer than points, so they are the side copied to the neighbouring cells
-        ring = _boxes(tgt, size).withColumns({f"o{c}": F.col(c) for c in "abc"}).withColumn("_o", near_cells)
-        ring = ring.withColumns({c: F.col(c) + F.col(f"_o.{c}") for c in "abc"}).drop("_o")
-        hits = lookup_join(src.select(*_PID, "weight", *_cell(size)), ring, ["subject_id", "a", "b", "c"], salt_on=["x", "y", "z"])
-        hits = hits.drop("a", "b", "c").withColumnsRenamed({f"o{c}": c for c in "abc"})
-        cand = materialize(_prune(hits).where(F.col("_best") <= size * size))
-        found.append((size, cand))
-        src = materialize(src.join(cand.select(*_PID).distinct(), _PID, "left_anti"))
-        if src.isEmpty():
-            break
-        size *= growth
-    out = []
-    for size, cand in found:
-        while size > fine:
-            lower = max(fine, size / growth)
-            up = cand.select(*_PID, "weight", *[F.col(c).alias(f"p{c}") for c in "abc"])
-            cand = _prune(lookup_join(up, _boxes(tgt, lower, size), ["subject_id", "pa", "pb", "pc"], salt_on=["x", "y", "z"]))
-            size = lower
-        pts = tgt.select("subject_id", *_cell(size), *[F.col(a).alias(f"{m}{a}") for a in "xyz" for m in ("lo", "hi")])
-        out.append(cand.join(pts, ["subject_id", "a", "b", "c"]).groupBy(*_PID).agg(
-            F.max("weight").alias("weight"), F.sqrt(F.min(_far_sq())).alias("distance")))
-    return reduce(DataFrame.unionByName, out)
+    anyone = tgt.groupBy("subject_id").agg(F.min(F.struct("x", "y", "z")).alias("t"))
+    gap = [F.col(a) - F.col(f"t.{a}") for a in "xyz"]
+    src = lookup_join(src, anyone, ["subject_id"], salt_on=["x", "y", "z"]).withColumn("u", _sq(gap)).drop("t")
+    for n in range(reach):
+        size = start * growth ** n
+        hit = lookup_join(src.select("*", *_cell(size)), _sample_near(tgt, size), ["subject_id", "a", "b", "c"], "left", salt_on=["x", "y", "z"])
+        src = hit.withColumn("u", F.least("u", _sq(gap))).drop("a", "b", "c", "t")
+    sizes = [start * 2 * growth ** n for n in range(reach + 1)]
+    r = F.sqrt("u") * lit(1.0 + 1e-9)
+    level = F.lit(len(sizes) - 1)
+    for n in reversed(range(len(sizes) - 1)):
+        level = F.when(r * 2 <= sizes[n], F.lit(n)).otherwise(level)
+    src = materialize(src.withColumns({"_r": r, "_level": level}))
+    top = src.agg(F.max("_level")).first()[0] or 0
+    cand = None
+    for n in range(top, -1, -1):
+        size = sizes[n]
+        own = src.where(F.col("_level") == n).select(*_PID, "weight", "u", "_r")
+        for x, c in zip("xyz", "abc"):
+            lo, hi = [F.floor((F.col(x) + s * F.col("_r")) / lit(size)).cast("long") for s in (-1, 1)]
+            own = own.withColumn(c, F.explode(F.sequence(lo, hi)))
+        own = own.drop("_r")
+        cand = own if cand is None else own.unionByName(_descend(cand, tgt, size, size * growth))
+    if sizes[0] > fine:
+        cand = _descend(cand, tgt, fine, sizes[0])
+    pts = tgt.select("subject_id", *_cell(min(fine, sizes[0])), F.struct("x", "y", "z").alias("t"))
+    return cand.join(pts, ["subject_id", "a", "b", "c"]).groupBy(*_PID).agg(
+        F.max("weight").alias("weight"), F.sqrt(F.min(_sq(gap))).alias("distance"))
+
+
+def _descend(cand: DataFrame, tgt: DataFrame, size: float, parent: float) -> DataFrame:
+    """From cells to the boxes inside them that start within the source's bound."""
+    up = cand.withColumnsRenamed({c: f"p{c}" for c in "abc"})
+    d = lookup_join(up, _boxes(tgt, size, parent), ["subject_id", "pa", "pb", "pc"], salt_on=["x", "y", "z"])
+    near = _sq([F.greatest(F.col(f"lo{a}") - F.col(a), F.col(a) - F.col(f"hi{a}"), lit(0.0)) for a in "xyz"])
+    return d.where(near <= F.col("u")).select(*_PID, "weight", "u", "a", "b", "c")
 
 
 def mean_closest_distance(candidate: DataFrame, reference: DataFrame, step: float = 2.0) -> DataFrame:

@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 from tractloom import constants as C
 from tractloom.functions.laterality import li_columns
 from tractloom.functions.numeric import lit, rnd
-from tractloom.operators import metrics as me
+from tractloom.functions.stage import materialize
+from tractloom.operators import extract as ex, metrics as me
 from tractloom.operators.geometry import voxelise
 from tractloom.plans import fixtures as fx
 from tractloom.plans.fixtures import GRID, SQL_MAPS, r6, sql_fates
 from tractloom.plans.laterality import fa_laterality
-from tractloom.plans.q_extract import fates
 from tractloom.plans.q_geometry import SQL_ORIENT
 from tractloom.plans.registry import query
 
@@ -56,9 +56,11 @@ mor AS (SELECT * FROM (SELECT subject_id, side, count(*) AS n_streamlines, avg(l
 
 
 def bundles(spark, sf):
-    """Vertices of the selected left and right streamlines."""
-    sides = fates(spark, sf).where("fate in ('left', 'right')").select("subject_id", "streamline_id", F.col("fate").alias("side"))
-    return me.bundle_points(fx.points(spark, sf), sides)
+    """Vertices of the selected left and right streamlines, staged since metrics read them often."""
+    p = materialize(fx.points(spark, sf))
+    f = ex.assign_fates(ex.streamline_table(p, GRID, fx.roi_voxels(spark)), fx.BAND)
+    sides = f.where("fate in ('left', 'right')").select("subject_id", "streamline_id", F.col("fate").alias("side"))
+    return materialize(me.bundle_points(p, sides))
 
 
 def _samples(spark, sf):
