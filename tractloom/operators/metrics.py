@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tractloom import constants as C
 from tractloom.functions import geometry as G
+from tractloom.functions.joins import lookup_join
 from tractloom.functions.laterality import li_columns
 from tractloom.functions.numeric import lit
 from tractloom.functions.ranking import exact_percentiles, two_stage_rank
@@ -27,7 +28,7 @@ STATS = ("mean", "std", "median", "min", "max")
 
 def bundle_points(points: DataFrame, sides: DataFrame) -> DataFrame:
     """Vertices of the streamlines listed in ``sides`` (subject_id, streamline_id, side)."""
-    return points.join(sides.select(*KEY, "side"), KEY)
+    return lookup_join(points, sides.select(*KEY, "side"), KEY, salt_on=["pt_idx"])
 
 
 def sample(vox_points: DataFrame, maps: DataFrame, scalars: tuple[str, ...] = C.SCALARS) -> DataFrame:

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tractloom.functions.joins import lookup_join
 from tractloom.functions.numeric import finite_or_zero, lit
+from tractloom.functions.stage import materialize
 
 VOX = ["subject_id", "i", "j", "k"]
 COEF = ("dxx", "dyy", "dzz", "dxy", "dxz", "dyz", "ln_s0")
@@ -68,12 +67,22 @@ def solver_rows(gradients: DataFrame) -> DataFrame:
 
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
 def _invert7(m: pd.Series) -> pd.Series:
-    """Scaled pseudo-inverse of 7x7 matrices."""
+    """Pseudo-inverse of 7x7 normal matrices."""
+    return pd.Series(list(_scaled_pinv(m).reshape(-1, 49)))
+
+
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def _solve7(m: pd.Series, t: pd.Series) -> pd.Series:
+    """Least-squares solutions of 7x7 normal equations."""
+    return pd.Series(list(np.einsum("nij,nj->ni", _scaled_pinv(m), np.stack(t.map(np.asarray).to_list()))))
+
+
+def _scaled_pinv(m: pd.Series) -> np.ndarray:
+    """Pseudo-inverses with the unknowns scaled to unit diagonal first."""
     a = np.stack(m.map(np.asarray).to_list()).reshape(-1, 7, 7)
     s = np.sqrt(np.einsum("nii->ni", a))
     s[s == 0] = 1.0
-    inv = np.linalg.pinv(a / s[:, :, None] / s[:, None, :], rcond=1e-12) / s[:, :, None] / s[:, None, :]
-    return pd.Series(list(inv.reshape(-1, 49)))
+    return np.linalg.pinv(a / s[:, :, None] / s[:, None, :], rcond=1e-13) / s[:, :, None] / s[:, None, :]
 
 
 def fit_ols(signals: DataFrame, gradients: DataFrame) -> DataFrame:
@@ -90,27 +99,25 @@ def fit_ols(signals: DataFrame, gradients: DataFrame) -> DataFrame:
     return tensor_scalars(g).select(*VOX, *COEF, "fa", "md", "rd", "ad")
 
 
-def fit_wls(voxels: DataFrame, columns: str = "subject_id long, i int, j int, k int") -> DataFrame:
+def fit_wls(signals: DataFrame, gradients: DataFrame) -> DataFrame:
     """A28, weighted least squares (the default): weights are the squared signals of the OLS fit.
 
-    ``voxels``: subject_id, i, j, k, signal (ARRAY), bval, bx, by, bz (ARRAYs in the same volume
-    order, so a batch may mix subjects). Rows are voxels, so Arrow batches are solved together.
+    Same long input as ``fit_ols``. The OLS coefficients go back to each signal, the weighted normal
+    equations of a voxel are 35 sums combined before the shuffle, and only those compact rows are
+    solved, in Arrow batches. No voxel's volumes are gathered.
     """
-    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = np.zeros((len(pdf), 7))
-            sizes = pdf["signal"].map(len).to_numpy()
-            for n in np.unique(sizes):
-                at = np.flatnonzero(sizes == n)
-                s, b, x, y, z = (np.stack(pdf[c].iloc[at].map(np.asarray).to_list()).astype(float) for c in ("signal", "bval", "bx", "by", "bz"))
-                a = np.stack([-b * x * x, -b * y * y, -b * z * z, -2 * b * x * y, -2 * b * x * z, -2 * b * y * z, np.ones_like(b)], axis=2)
-                ln = np.log(np.maximum(s, MIN_SIGNAL))
-                scale = np.maximum(np.abs(a).max(axis=1, keepdims=True), 1e-30)
-                a = a / scale
-                ols = np.einsum("vcn,vn->vc", np.linalg.pinv(a), ln)
-                wt = np.exp(np.einsum("vnc,vc->vn", a, ols))
-                out[at] = np.einsum("vcn,vn->vc", np.linalg.pinv(a * wt[:, :, None]), ln * wt) / scale[:, 0, :]
-            yield pd.concat([pdf[VOX].reset_index(drop=True), pd.DataFrame(out, columns=list(COEF))], axis=1)
-
-    schema = columns + ", " + ", ".join(f"{c} double" for c in COEF)
-    return tensor_scalars(voxels.select(*VOX, "signal", "bval", "bx", "by", "bz").mapInPandas(solve, schema))
+    coef = materialize(fit_ols(signals, gradients).select(*VOX, F.array(*COEF).alias("coef")))
+    rows = gradients.select("subject_id", "vol_idx", F.array(*_design(
+        F.col("bval"), F.col("bx"), F.col("by"), F.col("bz"))).alias("row"))
+    d = lookup_join(signals, rows, ["subject_id", "vol_idx"], salt_on=["i", "j", "k"])
+    d = lookup_join(d, coef, VOX, salt_on=["vol_idx"])
+    r = [F.col("row")[n] for n in range(7)]
+    fitted = sum((r[n] * F.col("coef")[n] for n in range(1, 7)), r[0] * F.col("coef")[0])
+    d = d.select(*VOX, "row", F.exp(lit(2.0) * fitted).alias("w"), F.log(F.greatest(F.col("signal"), lit(MIN_SIGNAL))).alias("ln"))
+    pairs = [(a, b) for a in range(7) for b in range(a, 7)]
+    g = d.groupBy(*VOX).agg(*[F.sum(r[a] * r[b] * F.col("w")).alias(f"n{a}{b}") for a, b in pairs],
+                            *[F.sum(r[a] * F.col("ln") * F.col("w")).alias(f"t{a}") for a in range(7)])
+    normal = F.array(*[F.col(f"n{min(a, b)}{max(a, b)}") for a in range(7) for b in range(7)])
+    g = g.select(*VOX, _solve7(normal, F.array(*[F.col(f"t{a}") for a in range(7)])).alias("c"))
+    g = g.select(*VOX, *[F.col("c")[n].alias(c) for n, c in enumerate(COEF)])
+    return tensor_scalars(g).select(*VOX, *COEF, "fa", "md", "rd", "ad")

@@ -175,7 +175,5 @@ def a28(spark, sf):
 
 @query("A28_tensor_wls", TENSOR_OUT)
 def a28b(spark, sf):
-    # a voxel's row holds one entry per volume of its acquisition
-    v = _signals(spark, sf).groupBy("subject_id", "i", "j", "k").agg(
-        F.array_sort(F.collect_list(F.struct("vol_idx", "signal", "bval", "bx", "by", "bz"))).alias("a"))
-    return _maps(tn.fit_wls(v.select("subject_id", "i", "j", "k", *[F.col(f"a.{c}").alias(c) for c in ("signal", "bval", "bx", "by", "bz")])))
+    s = _signals(spark, sf)
+    return _maps(tn.fit_wls(s.select("subject_id", "i", "j", "k", "vol_idx", "signal"), fx.gradients(spark, sf)))
