@@ -21,13 +21,14 @@ def roi_flags(roi_voxels: DataFrame, rois: tuple[str, ...] = ROIS) -> DataFrame:
     return roi_voxels.groupBy(*VOX).agg(*[F.bool_or(F.col("roi") == r).alias(r) for r in rois])
 
 
-def passes(vox_points: DataFrame, roi_voxels: DataFrame, rois: tuple[str, ...] = ROIS,
+def passes(vox_points: DataFrame, flags: DataFrame, rois: tuple[str, ...] = ROIS,
            extra: list[Column] | None = None) -> DataFrame:
     """Per streamline, which regions any of its vertices lies in (plus extra aggregates).
 
-    A left join, so streamlines outside every region stay. ``extra`` may use the flags per vertex.
+    ``flags`` is ``roi_flags``, optionally with map columns. A left join, so streamlines outside
+    every region stay. ``extra`` may use the flags and maps per vertex.
     """
-    p = vox_points.join(roi_flags(roi_voxels, rois), VOX, "left")
+    p = vox_points.join(flags, VOX, "left")
     p = p.withColumns({r: F.col("inb") & F.coalesce(r, F.lit(False)) for r in rois})
     return p.groupBy(*KEY).agg(*[F.bool_or(r).alias(r) for r in rois], *(extra or []))
 
@@ -107,19 +108,20 @@ def streamline_table(points: DataFrame, grid: G.Grid | None, roi_voxels: DataFra
                      maps: DataFrame | None = None, scalars: tuple[str, ...] = ()) -> DataFrame:
     """One row per streamline with all that selection and sampling need.
 
-    Vertices go through one exchange on their voxel, where region flags and (if given) scalar maps
-    are joined together; length comes from the block-wise pass along the streamline.
+    Region flags and (if given) scalar maps are put together per voxel first, so vertices go through
+    one exchange and one join on their voxel, which AQE can split if a voxel is crowded; length comes
+    from the block-wise pass along the streamline.
     """
-    v = voxelise(points, grid)
+    v, info = voxelise(points, grid), roi_flags(roi_voxels)
     extra = [F.min("x").alias("x_min"), F.max("x").alias("x_max"), F.avg("x").alias("x_mean"),
              F.min("z").alias("z_min"),
              F.min_by("x", F.when(F.col("brainstem"), F.col("pt_idx"))).alias("entry_x")]
     if maps is not None:
-        v = v.join(maps, VOX, "left")
+        info = maps.select(*VOX, *scalars).join(info, VOX, "full_outer")
         sampled = F.col("inb")
         extra += [F.avg(F.when(sampled, F.coalesce(s, lit(0.0)))).alias(f"{s}_mean") for s in scalars]
         extra += [count_if(sampled).alias("n_samples")]
-    return passes(v, roi_voxels, ROIS, extra).join(arc_lengths(points), KEY)
+    return passes(v, info, ROIS, extra).join(arc_lengths(points), KEY)
 
 
 def assign_fates(table: DataFrame, band: tuple[float, float] = C.LENGTH_BAND_PASSTHROUGH,
