@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
+from tractloom.llm import op1_embedding as op1
 from tractloom.llm.op10_simhash import op10_simhash
 
-QUERIES = {f.__name__: f for f in (op10_simhash,)}
-ORACLE: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1.op1_embedding, op10_simhash)}
+ORACLE: dict[str, str] = {"op1_embedding": op1.SQL}
