@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tractloom.llm import op1_embedding as op1
+from tractloom.llm import op1_embedding as op1, op2_quality_rules as op2
 from tractloom.llm.op10_simhash import op10_simhash
 
-QUERIES = {f.__name__: f for f in (op1.op1_embedding, op10_simhash)}
-ORACLE: dict[str, str] = {"op1_embedding": op1.SQL}
+QUERIES = {f.__name__: f for f in (op1.op1_embedding, op2.op2_quality_rules, op10_simhash)}
+ORACLE: dict[str, str] = {"op1_embedding": op1.SQL, "op2_quality_rules": op2.SQL}
