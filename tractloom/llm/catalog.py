@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from tractloom.llm import op1_embedding as op1, op2_quality_rules as op2
+from tractloom.llm.op7_toxicity import op7_toxicity
 from tractloom.llm.op10_simhash import op10_simhash
 
-QUERIES = {f.__name__: f for f in (op1.op1_embedding, op2.op2_quality_rules, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1.op1_embedding, op2.op2_quality_rules, op7_toxicity, op10_simhash)}
 ORACLE: dict[str, str] = {"op1_embedding": op1.SQL, "op2_quality_rules": op2.SQL}

@@ -7,7 +7,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tractloom.functions.stage import materialize
 
@@ -79,3 +79,35 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         small = large.join(low, "hi").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).where("hi <> lo").union(
             low.select("hi", "m")).distinct()
         e = materialize(small, f"{run}-{rounds % 2}")
+
+
+def remainder(column: str, divisor: int) -> Column:
+    """crc32 of an id written as text, modulo ``divisor``; the split between learning and held-out rows."""
+    return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(divisor))
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, per_class: int) -> DataFrame:
+    """(doc_id, text, y) of at most ``per_class`` labelled documents of either class, for which ``learn`` holds.
+
+    Which rows are taken depends only on a hash of their ids. Only the chosen ids are joined with the texts.
+    """
+    known = labels.where(learn & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).cast("int").alias("y"))
+    known = known.groupBy("doc_id").agg(F.max("y").alias("y"))
+    order = [F.xxhash64("doc_id"), F.col("doc_id")]
+    chosen = known.where("y = 0").orderBy(*order).limit(per_class).union(known.where("y = 1").orderBy(*order).limit(per_class))
+    return docs.select("doc_id", "text").join(materialize(chosen), "doc_id")
+
+
+def fit_logistic(x: np.ndarray, y: np.ndarray, prior: np.ndarray, strength: float = 1.0, steps: int = 50) -> np.ndarray:
+    """Weights (last one: bias) of a logistic regression whose ridge penalty pulls towards ``prior``; Newton steps."""
+    x = np.hstack([x, np.ones((len(x), 1))])
+    w = prior.astype(float).copy()
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        grad = x.T @ (p - y) + strength * (w - prior)
+        hess = (x * (p * (1 - p))[:, None]).T @ x + strength * np.eye(len(w))
+        step = np.linalg.solve(hess, grad)
+        w -= step
+        if np.abs(step).max() < 1e-8:
+            break
+    return w
