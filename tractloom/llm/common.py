@@ -19,12 +19,6 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def slices(column, size: int = 256) -> Iterator[list]:
-    """Values of an Arrow column as Python lists of at most ``size``, so that long texts are not all unpacked at once."""
-    for start in range(0, len(column), size):
-        yield column.slice(start, size).to_pylist()
-
-
 def sorted_groups(batches: Iterable[pd.DataFrame], keys: list[str]) -> Iterator[tuple[tuple, pd.DataFrame]]:
     """Groups of rows with equal ``keys`` (no nulls) from a partition that is sorted by them.
 
@@ -91,7 +85,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Colum
 
     Which rows are taken depends only on a hash of their ids. Only the chosen ids are joined with the texts.
     """
-    known = labels.where(learn & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).cast("int").alias("y"))
+    known = labels.where(learn & F.col("doc_id").isNotNull() & F.col(label).isNotNull()).select("doc_id", F.col(label).cast("int").alias("y"))
     known = known.groupBy("doc_id").agg(F.max("y").alias("y"))
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     chosen = known.where("y = 0").orderBy(*order).limit(per_class).union(known.where("y = 1").orderBy(*order).limit(per_class))

@@ -29,8 +29,10 @@ TRAIN_PER_CLASS = 4000
 LEXICON = 4000
 THRESHOLD = 0.3
 #: A learned word or stem is in this many toxic texts at least, and this share of its texts is toxic.
-SUPPORT, PRECISION = 5, 0.9
-STEM = (4, 7)
+SUPPORT, PRECISION = 4, 0.95
+#: A candidate is taken while it explains SUPPORT toxic texts that have fewer than this many taken words or stems.
+EXPLAIN = 2
+STEM = (4, 8)
 
 #: Seed lists. Fixed values.
 INSULTS = ("idiot", "moron", "stupid", "scum", "loser", "pathetic", "worthless", "disgusting", "trash", "clown", "imbecile", "bastard",
@@ -142,6 +144,43 @@ def _terms(batches):
         yield pd.DataFrame({"term": terms, "toxic": [counts[1][t] for t in terms], "clean": [counts[0][t] for t in terms]})
 
 
+def _held(candidates: list[str]):
+    place = {t: n for n, t in enumerate(candidates)}
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for text in batch["text"]:
+                words = set(_TOKEN.findall(text.lower())) if text else set()
+                out.append(sorted({place[t] for w in words for t in (w, *(w[:n] + "*" for n in range(*STEM) if len(w) > n)) if t in place}))
+            yield pd.DataFrame({"held": out})
+
+    return run
+
+
+def cover(held: list[list[int]], n: int) -> list[int]:
+    """Candidates that explain the texts: the one in most texts that still need it, again and again.
+
+    Words that copies of one toxic text share by chance are left over, as its insults explain all its copies.
+    """
+    left = [EXPLAIN] * len(held)
+    where: list[list[int]] = [[] for _ in range(n)]
+    for text, candidates in enumerate(held):
+        for c in candidates:
+            where[c].append(text)
+    need = [len(w) for w in where]
+    taken = []
+    while n and need[best := max(range(n), key=need.__getitem__)] >= SUPPORT:
+        taken.append(best)
+        for text in where[best]:
+            left[text] -= 1
+            if left[text] == 0:
+                for c in held[text]:
+                    need[c] -= 1
+        need[best] = 0
+    return taken
+
+
 def learn(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, float], np.ndarray]:
     """Lexicon and weights from a bounded sample of the learning rows; without labels the seeds and the prior."""
     may = remainder("doc_id", DIVISOR) != HELD_OUT
@@ -149,7 +188,11 @@ def learn(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, float], np.ndar
     terms = sample.mapInPandas(_terms, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     share = F.col("toxic") / (F.col("toxic") + F.col("clean") + F.lit(0.2))
     top = terms.withColumn("share", share).where((F.col("toxic") >= SUPPORT) & (F.col("share") >= PRECISION)).orderBy(F.desc("toxic"), "term").limit(LEXICON)
-    weights = {**{w: 1.0 for w in INSULTS}, **{r["term"]: float(r["share"]) for r in top.collect()}}
+    top = top.collect()
+    terms = [r["term"] for r in top]
+    toxic = sample.where("y = 1").mapInPandas(_held(terms), "held array<int>").collect()  # at most TRAIN_PER_CLASS lists of at most LEXICON numbers
+    taken = cover([r["held"] for r in toxic], len(terms))
+    weights = {**{w: 1.0 for w in INSULTS}, **{terms[k]: float(top[k]["share"]) for k in taken}}
     for w in _FUNCTION:  # the grammar's own words keep their part
         weights.pop(w, None)
 
