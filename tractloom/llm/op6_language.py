@@ -19,10 +19,10 @@ from tractloom.llm.common import read, remainder
 
 DIVISOR, HELD_OUT = 4, 2
 #: Learning texts of a language, and how many characters of each go into its dictionary.
-TEXTS, SLICE = 64, 1024
-LEVEL = 3
+TEXTS, SLICE = 128, 1024
+LEVEL = 9
 #: Bytes compressed at a time; dictionaries tell languages apart best while a block is short.
-BLOCK = 4096
+BLOCK = 2048
 #: The smallest size must be this much below the second smallest.
 MARGIN = 0.01
 UNKNOWN = "und"

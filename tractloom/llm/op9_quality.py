@@ -21,6 +21,10 @@ from tractloom.llm.common import labelled_sample, read, remainder
 DIVISOR, HELD_OUT = 5, 0
 THRESHOLD = 0.3
 BUCKETS, DIM = 4096, 48
+#: Class of a token of the same class as the one before it.
+REPEAT = BUCKETS - 1
+#: Two pooled vectors and the logarithm of the number of tokens.
+INPUTS = 2 * DIM + 1
 #: Neighbours on either side; nonzero entries of an index vector.
 WINDOW, NONZERO = 2, 2
 #: Bound of the fit: labelled texts of either class.
@@ -45,13 +49,16 @@ class _Buckets(dict):
     def __missing__(self, token: str) -> int:
         if len(self) >= 200_000:
             self.clear()
-        b = self[token] = xxhash.xxh64_intdigest(token, SEED) % BUCKETS
+        b = self[token] = xxhash.xxh64_intdigest(token, SEED) % (BUCKETS - 1)
         return b
 
 
 def _ids(text: str | None, buckets: _Buckets) -> np.ndarray:
     tokens = _TOKEN.findall(text) if text else []
-    return np.fromiter(map(buckets.__getitem__, tokens), dtype=np.int64, count=len(tokens))
+    ids = np.fromiter(map(buckets.__getitem__, tokens), dtype=np.int64, count=len(tokens))
+    again = np.flatnonzero(ids[1:] == ids[:-1]) + 1
+    ids[again] = REPEAT
+    return ids
 
 
 def _contexts(batches):
@@ -107,14 +114,14 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
 
 
 def pool(text: str | None, vectors: np.ndarray, buckets: _Buckets) -> np.ndarray:
-    """Mean word vector over the tokens and over the distinct token classes; zeros without a token."""
+    """Mean word vector over the tokens and over the distinct token classes, and log(1 + tokens); zeros without a token."""
     ids = _ids(text, buckets)
     if not len(ids):
-        return np.zeros(2 * DIM)
+        return np.zeros(INPUTS)
     counts = np.bincount(ids, minlength=BUCKETS)
     here = np.flatnonzero(counts)
     rows = vectors[here]
-    return np.concatenate([counts[here] @ rows / len(ids), rows.mean(axis=0)])
+    return np.concatenate([counts[here] @ rows / len(ids), rows.mean(axis=0), [np.log1p(len(ids))]])
 
 
 class Network:
@@ -169,7 +176,7 @@ def learn(docs: DataFrame, labels: DataFrame, vectors: np.ndarray) -> Network:
 
     sample = labelled_sample(docs, labels, "quality", may, TRAIN_PER_CLASS).mapInPandas(rows, "doc_id long, y int, x array<double>")
     got = sorted(sample.collect(), key=lambda r: (r["doc_id"], r["x"]))  # at most twice TRAIN_PER_CLASS short rows
-    net = Network(2 * DIM)
+    net = Network(INPUTS)
     y = np.array([r["y"] for r in got], dtype=float)
     if len(set(y)) < 2:
         net.w[2][:] = 0
@@ -194,7 +201,7 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     @F.pandas_udf("double")
     def quality(texts: pd.Series) -> pd.Series:
         buckets = _Buckets()
-        x = np.array([pool(t, shared.value, buckets) for t in texts]).reshape(len(texts), 2 * DIM)
+        x = np.array([pool(t, shared.value, buckets) for t in texts]).reshape(len(texts), INPUTS)
         return pd.Series(net.probability(x))
 
     return docs.withColumn("quality_score", quality(docs["text"]))
