@@ -25,7 +25,7 @@ VOCABULARY = "byte_bpe_50k.json"
 #: Encoded pieces that a worker keeps; rows of one output batch.
 CACHE, ROWS = 400_000, 256
 #: The pre-tokens of the vocabulary: contractions, letters, numbers, other signs, white space. Fixed value.
-SPACES = r"\t-\r\x20\x85\xa0  -     　"
+SPACES = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PRETOKENS = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACES}\p{{L}}\p{{N}}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+"
 
 
