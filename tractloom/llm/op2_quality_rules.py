@@ -61,6 +61,11 @@ def verdict(rules: tuple[Rule, ...]) -> Column:
     return out
 
 
+def base_failed(min_words: int = MIN_WORDS, max_repeat_percent: int = MAX_REPEAT_PERCENT) -> Column:
+    """Too few words, or too many of them in windows that occur again."""
+    return (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
+
+
 def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` plus the counts that rules may use; a null text counts as one without words.
 
@@ -91,7 +96,8 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     steps = F.zip_with("_again", F.slice("_again", F.lit(2), F.size("_again")), lambda a, b: F.least(F.coalesce(b - a, F.lit(3)), F.lit(3)))
     repeated = F.aggregate(steps, F.lit(0), lambda total, x: total + x)
     d = d.withColumn("n_repeat_words", F.coalesce(repeated, F.lit(0)).cast("long"))
-    return d.drop("_words", "_lines", "_windows", "_sorted", "_again")
+    # rows come out of a list of one: a filter on the counts would else be pushed below them and copy their expressions many times
+    return d.select(F.inline(F.array(F.struct(*[c for c in d.columns if c not in ("_words", "_lines", "_windows", "_sorted", "_again")]))))
 
 
 def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, min_words: int = MIN_WORDS,
@@ -101,18 +107,13 @@ def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, min_words: int = MIN
     Null, empty and blank texts have no words and fail the base rule; repeated rows are each judged.
     """
     d = measure(docs.select("doc_id", "text"))
-    failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
-    return d.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & verdict(rules)).drop("text")
+    return d.withColumn("base_failed", base_failed(min_words, max_repeat_percent)).withColumn("kept", ~F.col("base_failed") & verdict(rules)).drop("text")
 
 
 def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """Rows of ``docs`` that pass, with their own columns.
-
-    Rows are dropped by unpacking an empty list, as a filter would be pushed below the counts and copy their expressions.
-    """
+    """Rows of ``docs`` that pass, with their own columns."""
     inner = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), F.col("text").alias("_text"))
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    return measure(inner, "_text").select(F.inline(F.when(~failed & verdict(rules), F.array("_row"))))
+    return measure(inner, "_text").where(~base_failed() & verdict(rules)).select("_row.*")
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
