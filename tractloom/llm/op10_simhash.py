@@ -144,9 +144,9 @@ def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Rows of ``docs`` without near-duplicates: of each group the document with the smallest id stays, once."""
     stay = near_duplicates(docs, radius).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     stay = stay.groupBy("root").agg(F.min("doc_id").alias("_id"), F.min_by("text_hash", F.coalesce("doc_id", F.lit(0))).alias("_hash")).drop("root")
-    out = docs.withColumns({"_k": F.col("doc_id"), "_h": F.xxhash64("text")})
-    joined = out.join(materialize(stay), (F.col("_k").eqNullSafe(F.col("_id"))) & (F.col("_h") == F.col("_hash")))
-    return joined.dropDuplicates(["_k", "_h"]).select(*[docs[c] for c in docs.columns])
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["doc_id"].alias("_key"), F.xxhash64(docs["text"]).alias("_text"))
+    joined = rows.join(materialize(stay), F.col("_key").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_hash")))
+    return joined.dropDuplicates(["_key", "_text"]).select("row.*")
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

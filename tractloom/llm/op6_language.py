@@ -69,7 +69,7 @@ def classify(text: str | None, by_lang: dict[str, zstandard.ZstdCompressor], blo
 
 
 def identify(docs: DataFrame) -> DataFrame:
-    """``docs`` (doc_id, text, lang) plus lang_pred, score and rejected.
+    """(doc_id, lang_pred, score, rejected) for every row of ``docs`` (doc_id, text, lang; other columns are not read).
 
     Null texts and texts without a letter are ``und`` with score 0, as is everything where no row can be
     learned from; repeated rows are each classified. A rejected text still names its best language.
@@ -81,9 +81,8 @@ def identify(docs: DataFrame) -> DataFrame:
         by_lang = compressors(content)
         return pd.DataFrame([classify(t, by_lang) for t in texts], columns=["lang_pred", "score", "rejected"])
 
-    return docs.withColumn("_found", predict(docs["text"])).select(*[docs[c] for c in docs.columns], "_found.*")
+    return docs.select("doc_id", predict(docs["text"]).alias("found")).select("doc_id", "found.*")
 
 
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    return identify(docs).select("doc_id", (remainder("doc_id", DIVISOR) == HELD_OUT).alias("held_out"), "lang_pred", "score", "rejected")
+    return identify(read(spark, sf_dir, "documents")).select("doc_id", (remainder("doc_id", DIVISOR) == HELD_OUT).alias("held_out"), "lang_pred", "score", "rejected")

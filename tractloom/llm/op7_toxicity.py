@@ -208,7 +208,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, float], np.ndar
 
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` (doc_id, text) with ``toxicity`` (0 to 1), from the model that the labels give; all other columns stay.
+    """``docs`` (doc_id, text) with ``toxicity`` (0 to 1), from the model that the labels give; all other columns stay, but one of that name is replaced.
 
     Null and empty texts have no match and get the base rate's score; repeated rows are each scored.
     """

@@ -189,7 +189,7 @@ def learn(docs: DataFrame, labels: DataFrame, vectors: np.ndarray) -> Network:
 
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` (doc_id, text) with ``quality_score`` (0 to 1); all other columns stay.
+    """``docs`` (doc_id, text) with ``quality_score`` (0 to 1); all other columns stay, but one of that name is replaced.
 
     Null and empty texts are pooled to zeros and scored like any other; repeated rows are each scored.
     """
