@@ -11,7 +11,6 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tractloom.functions.joins import lookup_join
 from tractloom.functions.numeric import lit
 
 Row3 = tuple[Column, Column, Column]
@@ -54,9 +53,9 @@ def _affine_row(row: list[float], p: Row3) -> Column:
     return out if row[3] == 0.0 else out + lit(row[3])
 
 
-def attach_grid(df: DataFrame, grids: DataFrame, salt_on: list[str] | None = None) -> DataFrame:
+def attach_grid(df: DataFrame, grids: DataFrame) -> DataFrame:
     """Add each subject's grid columns and the inverse affine (``inv``, 12 numbers)."""
-    return lookup_join(df, with_inverse(grids), ["subject_id"], salt_on=salt_on)
+    return df.join(with_inverse(grids), ["subject_id"])
 
 
 def with_inverse(grids: DataFrame) -> DataFrame:

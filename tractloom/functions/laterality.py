@@ -9,7 +9,11 @@ from tractloom.functions.numeric import lit
 
 
 def li_columns(left: Column, right: Column) -> dict[str, Column]:
-    """laterality_index, absolute_difference, percent_difference and interpretation."""
+    """laterality_index, absolute_difference, percent_difference and interpretation.
+
+    A side without data is 0, so one side alone has index 1 or -1 and none at all gives "no data".
+    """
+    left, right = F.coalesce(left, lit(0.0)), F.coalesce(right, lit(0.0))
     total = left + right
     none = total == 0
     li = F.try_divide(left - right, total)

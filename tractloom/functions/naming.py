@@ -43,9 +43,20 @@ def sex_code(raw: Column) -> Column:
             .when(s.isin("O", "OTHER"), "O").otherwise("n/a"))
 
 
+def patient_key(patient_id: Column) -> Column:
+    """H6: SHA-256 of the patient id; the key by which patients are told apart."""
+    return F.sha2(patient_id, 256)
+
+
 def patient_hash(patient_id: Column) -> Column:
-    """H6: first 8 hex digits of the SHA-256."""
-    return F.substring(F.sha2(patient_id, 256), 1, 8)
+    """H6: first 8 hex digits of the key, to be shown only; see ``label_collisions``."""
+    return F.substring(patient_key(patient_id), 1, 8)
+
+
+def label_collisions(rows: DataFrame, label: str, key: str) -> DataFrame:
+    """Labels (shortened, hashed or cleaned names) that more than one different key got, one error row each."""
+    g = rows.groupBy(label).agg(F.min(key).alias("first_key"), F.max(key).alias("last_key"))
+    return g.where(F.col("first_key") != F.col("last_key")).select(label, "first_key", "last_key", F.lit("label collision").alias("error"))
 
 
 def _file_name(path: Column) -> Column:
@@ -133,6 +144,8 @@ def subject_session_labels(headers: DataFrame, keep_phi: bool = False) -> DataFr
     """Subject and session label of each study from its first header.
 
     ``headers``: study_id, path, patient_id, age, sex, study_date, given_subject, given_session.
+    Different patients under one subject label would be merged by what follows, so their studies
+    carry an ``error``.
     """
     def clean(c: str) -> Column:
         return F.nullif(F.trim(F.col(c)), F.lit(""))
@@ -144,5 +157,7 @@ def subject_session_labels(headers: DataFrame, keep_phi: bool = False) -> DataFr
     own = sanitize_label(F.col("patient_id")) if keep_phi else patient_hash(F.col("patient_id"))
     subject = F.regexp_replace(F.coalesce("given_subject", own), "^sub-", "")
     session = F.regexp_replace(F.coalesce("given_session", F.replace("study_date", F.lit("-"), F.lit("")), F.lit("01")), "^ses-", "")
-    return d.select("study_id", F.concat(F.lit("sub-"), subject).alias("subject_id"), F.concat(F.lit("ses-"), session).alias("session_id"),
-                    age_years(F.col("age")).alias("age"), sex_code(F.col("sex")).alias("sex"))
+    d = d.select("study_id", F.concat(F.lit("sub-"), subject).alias("subject_id"), F.concat(F.lit("ses-"), session).alias("session_id"),
+                 age_years(F.col("age")).alias("age"), sex_code(F.col("sex")).alias("sex"), patient_key(F.col("patient_id")).alias("_key"))
+    clash = label_collisions(d, "subject_id", "_key").select("subject_id", "error")
+    return d.drop("_key").join(clash, "subject_id", "left")

@@ -1,8 +1,10 @@
 """Ranks, running counts and exact percentiles that never gather one key in one task.
 
-Both helpers cut a key into buckets that keep the sort order. A rank is then the number of rows
-in earlier buckets (a running sum over bucket counts) plus the rank inside the bucket, and only
-buckets are windowed, so a key with a third of all rows is spread over many tasks.
+Keys are cut into buckets that keep the sort order. A rank is then the number of rows in earlier
+buckets (a running sum over bucket counts) plus the rank inside the bucket, and only buckets are
+windowed, so a key with a third of all rows is spread over many tasks. Where buckets are cut by a
+value, the cuts are each key's own approximate quantiles, so buckets are of similar size whatever
+the value's scale; the cuts affect balance, never the result.
 """
 
 from __future__ import annotations
@@ -12,6 +14,15 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 _BEFORE = (Window.unboundedPreceding, -1)
+#: Buckets of a key; its counts per bucket are the most that one window holds of a key at once.
+BUCKETS = 64
+
+
+def with_buckets(df: DataFrame, keys: list[str], value: Column, out: str = "_bucket", buckets: int = BUCKETS) -> DataFrame:
+    """Add the number of the key's approximate quantiles below ``value``: 0 to ``buckets`` - 1, rising with it; equal values share a bucket."""
+    d = df.withColumn("_cut_by", value.cast("double"))
+    cuts = d.groupBy(*keys).agg(F.percentile_approx("_cut_by", [n / buckets for n in range(1, buckets)], 20 * buckets).alias("_cuts"))
+    return d.join(cuts, keys).withColumn(out, F.size(F.filter("_cuts", lambda c: c < F.col("_cut_by")))).drop("_cuts", "_cut_by")
 
 
 def two_stage_rank(df: DataFrame, keys: list[str], bucket: Column, order: list[Column],
@@ -35,16 +46,15 @@ def two_stage_rank(df: DataFrame, keys: list[str], bucket: Column, order: list[C
             .drop("_off", "_rn", "_bucket"))
 
 
-def exact_percentiles(df: DataFrame, keys: list[str], value: Column, width: float,
+def exact_percentiles(df: DataFrame, keys: list[str], value: Column,
                       fractions: dict[str, float]) -> DataFrame:
     """Linear-interpolated percentiles per key, exact, one output row per key.
 
-    Equal values are counted first; the distinct values are cut into bins ``width`` wide, and
-    only the bins holding a wanted rank are ordered. ``width`` affects balance, never the result.
+    Equal values are counted first; the distinct values are cut into bins of similar size, and
+    only the bins holding a wanted rank are ordered.
     """
     vals = df.select(*keys, value.cast("double").alias("_v")).where(F.col("_v").isNotNull())
-    counts = (vals.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
-              .withColumn("_bin", F.floor(F.col("_v") / F.lit(float(width)))))
+    counts = with_buckets(vals.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c")), keys, F.col("_v"), "_bin")
     per_key = Window.partitionBy(*keys)
     bins = counts.groupBy(*keys, "_bin").agg(F.sum("_c").alias("_nb"))
     bins = bins.select(
@@ -79,7 +89,7 @@ def exact_percentiles(df: DataFrame, keys: list[str], value: Column, width: floa
     return got.select(*keys, *outs)
 
 
-def summary_stats(df: DataFrame, keys: list[str], value: Column, width: float,
+def summary_stats(df: DataFrame, keys: list[str], value: Column,
                   fractions: dict[str, float] | None = None, prefix: str = "") -> DataFrame:
     """mean, population std, min, max, n and exact percentiles (median by default) per key."""
     fr = {f"{prefix}{k}": v for k, v in (fractions or {"median": 0.5}).items()}
@@ -88,4 +98,4 @@ def summary_stats(df: DataFrame, keys: list[str], value: Column, width: float,
         F.count(v).alias(f"{prefix}n"), F.avg(v).alias(f"{prefix}mean"),
         F.stddev_pop(v).alias(f"{prefix}std"), F.min(v).alias(f"{prefix}min"),
         F.max(v).alias(f"{prefix}max"))
-    return basic.join(exact_percentiles(df, keys, value, width, fr), keys)
+    return basic.join(exact_percentiles(df, keys, value, fr), keys)

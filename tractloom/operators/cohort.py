@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tractloom import constants as C
-from tractloom.functions.joins import lookup_join
 from tractloom.functions.naming import nifti_stem, sex_code
 from tractloom.functions.numeric import count_if, rnd
 from tractloom.sources.files import valid_subject_id
@@ -29,7 +28,7 @@ def preflight(subjects: DataFrame, paths: DataFrame) -> DataFrame:
     bad = s.where(~valid_subject_id(F.col("subject_id"))).select(
         F.lit("INPUT").alias("category"), F.concat(F.lit("invalid subject id: "), F.coalesce("subject_id", F.lit(""))).alias("message"), "subject_id", "seq")
     pairs = s.groupBy(*UNIT).agg(F.min("seq").alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    dup = lookup_join(s, pairs, UNIT, salt_on=["seq"]).where(F.col("seq") > F.col("_first")).select(
+    dup = s.join(pairs, UNIT).where(F.col("seq") > F.col("_first")).select(
         F.lit("CONFIG").alias("category"), F.concat(F.lit("duplicate subject/session: "), "subject_id", F.lit("/"), "session_id").alias("message"), "subject_id", "seq")
     need = F.array_compact(F.array(
         F.struct(F.when(F.col("input_type") == "dicom", "DICOM directory").otherwise("NIfTI file").alias("what"), F.col("input_path").alias("path"),
@@ -38,7 +37,7 @@ def preflight(subjects: DataFrame, paths: DataFrame) -> DataFrame:
           for k in ("bval", "bvec")]))
     wanted = s.select("subject_id", "seq", F.inline(need))
     known = paths.select("path", "is_dir").distinct()
-    miss = lookup_join(wanted, known, ["path"], "left", salt_on=["seq"]).where(F.col("is_dir").isNull() | (F.col("dir") & ~F.col("is_dir"))).select(
+    miss = wanted.join(known, ["path"], "left").where(F.col("is_dir").isNull() | (F.col("dir") & ~F.col("is_dir"))).select(
         F.lit("INPUT").alias("category"), F.concat("what", F.lit(" not found: "), "path").alias("message"), "subject_id", "seq")
     return bad.unionByName(dup).unionByName(miss)
 

@@ -7,7 +7,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tractloom import constants as C
-from tractloom.functions.joins import lookup_join
 from tractloom.functions.numeric import count_if, lit, ratio
 from tractloom.functions.ranking import exact_percentiles
 from tractloom.functions.stage import materialize
@@ -84,23 +83,10 @@ def spatial_compatibility(grids: DataFrame, tol_trans: float = 1.0, tol_rot: flo
                     status.otherwise("ok").alias("status"))
 
 
-def first_streamlines(points: DataFrame, n: int) -> DataFrame:
-    """The first ``n`` streamlines of each subject in id order.
-
-    ``row_number() <= n`` is limited per task before the shuffle, so a large subject sends at most
-    ``n`` ids per task.
-    """
-    ids = points.where("pt_idx = 0").select(*KEY)
-    w = Window.partitionBy("subject_id").orderBy("streamline_id")
-    return ids.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n).drop("_r")
-
-
-def hemisphere_alignment(candidate: DataFrame, reference: DataFrame, subjects: DataFrame,
-                         warn_at: float = 30.0, n: int = 1000) -> DataFrame:
-    """Distance of the two bundles' centroids (all vertices of their first ``n`` streamlines)."""
+def hemisphere_alignment(candidate: DataFrame, reference: DataFrame, subjects: DataFrame, warn_at: float = 30.0) -> DataFrame:
+    """Distance of the two bundles' centroids, each over all vertices of the bundle."""
     def centroid(p: DataFrame, side: str) -> DataFrame:
-        return p.join(first_streamlines(p, n), KEY, "left_semi").groupBy("subject_id").agg(
-            *[F.avg(a).alias(f"{side}_{a}") for a in "xyz"])
+        return p.groupBy("subject_id").agg(*[F.avg(a).alias(f"{side}_{a}") for a in "xyz"])
 
     d = subjects.join(centroid(candidate, "c"), "subject_id", "left").join(centroid(reference, "r"), "subject_id", "left")
     diff = [F.col(f"c_{a}") - F.col(f"r_{a}") for a in "xyz"]
@@ -154,10 +140,10 @@ def nearest_distance(source: DataFrame, target: DataFrame, start: float = 2.0, g
     src = source.groupBy(*_PID).agg(F.count(F.lit(1)).alias("weight"))
     anyone = tgt.groupBy("subject_id").agg(F.min(F.struct("x", "y", "z")).alias("t"))
     gap = [F.col(a) - F.col(f"t.{a}") for a in "xyz"]
-    src = lookup_join(src, anyone, ["subject_id"], salt_on=["x", "y", "z"]).withColumn("u", _sq(gap)).drop("t")
+    src = src.join(anyone, ["subject_id"]).withColumn("u", _sq(gap)).drop("t")
     for n in range(reach):
         size = start * growth ** n
-        hit = lookup_join(src.select("*", *_cell(size)), _sample_near(tgt, size), ["subject_id", "a", "b", "c"], "left", salt_on=["x", "y", "z"])
+        hit = src.select("*", *_cell(size)).join(_sample_near(tgt, size), ["subject_id", "a", "b", "c"], "left")
         src = hit.withColumn("u", F.least("u", _sq(gap))).drop("a", "b", "c", "t")
     sizes = [start * 2 * growth ** n for n in range(reach + 1)]
     r = F.sqrt("u") * lit(1.0 + 1e-9)
@@ -185,7 +171,7 @@ def nearest_distance(source: DataFrame, target: DataFrame, start: float = 2.0, g
 def _descend(cand: DataFrame, tgt: DataFrame, size: float, parent: float) -> DataFrame:
     """From cells to the boxes inside them that start within the source's bound."""
     up = cand.withColumnsRenamed({c: f"p{c}" for c in "abc"})
-    d = lookup_join(up, _boxes(tgt, size, parent), ["subject_id", "pa", "pb", "pc"], salt_on=["x", "y", "z"])
+    d = up.join(_boxes(tgt, size, parent), ["subject_id", "pa", "pb", "pc"])
     near = _sq([F.greatest(F.col(f"lo{a}") - F.col(a), F.col(a) - F.col(f"hi{a}"), lit(0.0)) for a in "xyz"])
     return d.where(near <= F.col("u")).select(*_PID, "weight", "u", "a", "b", "c")
 
@@ -245,7 +231,7 @@ def stability(samples: DataFrame, keys: list[str]) -> DataFrame:
     ok = samples.where(~F.isnan("value") & (F.abs("value") != float("inf")))
     k = [*keys, "run"]
     s = ok.groupBy(*k).agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean")).join(
-        exact_percentiles(ok, k, F.col("value"), 1.0 / 4096, {"median": 0.5, "p05": 0.05, "p95": 0.95}), k)
+        exact_percentiles(ok, k, F.col("value"), {"median": 0.5, "p05": 0.05, "p95": 0.95}), k)
     base = s.where("run = 0").select(*keys, *[F.col(c).alias(f"{c}_0") for c in ("n", "mean", "median", "p05", "p95")])
     d = s.join(base, keys)
     rtol, atol = tolerances(F.col("scalar"))

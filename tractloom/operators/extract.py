@@ -6,9 +6,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tractloom import constants as C
 from tractloom.functions import geometry as G
-from tractloom.functions.joins import lookup_join
 from tractloom.functions.numeric import count_if, lit, ratio
-from tractloom.functions.ranking import exact_percentiles, two_stage_rank
+from tractloom.functions.ranking import exact_percentiles, two_stage_rank, with_buckets
 from tractloom.operators.geometry import voxelise
 from tractloom.operators.streamlines import KEY, arc_lengths, endpoints
 
@@ -198,16 +197,16 @@ def overlap_scores(vox_points: DataFrame, density: DataFrame, keys: list[str] |
     return every.join(s, [*k, *KEY], "left").withColumn("score", F.coalesce("score", F.lit(0)))
 
 
-def select_top(scores: DataFrame, caps: DataFrame, keys: list[str], width: int = 64) -> DataFrame:
+def select_top(scores: DataFrame, caps: DataFrame, keys: list[str]) -> DataFrame:
     """The best ``cap`` scored streamlines per key, never one with score 0.
 
-    Ties go to the higher streamline id. Ranks come from score bins, so a whole side is never
-    ordered in one task.
+    Ties go to the higher streamline id. Ranks come from buckets cut at the key's own score
+    quantiles, so a whole side is never ordered in one task.
     """
-    pos = scores.where(F.col("score") > 0)
-    r = two_stage_rank(pos, keys, -F.floor(F.col("score") / width),
-                       [F.col("score").desc(), F.col("streamline_id").desc()], out="rank")
-    kept = lookup_join(r, caps.select(*keys, "cap"), keys, salt_on=["streamline_id"])
+    pos = with_buckets(scores.where(F.col("score") > 0), keys, -F.col("score"), "_by_score")
+    r = two_stage_rank(pos, keys, F.col("_by_score"),
+                       [F.col("score").desc(), F.col("streamline_id").desc()], out="rank").drop("_by_score")
+    kept = r.join(caps.select(*keys, "cap"), keys)
     return kept.where(F.col("rank") < F.col("cap")).drop("cap")
 
 
@@ -290,8 +289,8 @@ def peduncle_fa(brainstem: DataFrame, fa_map: DataFrame, mask_grid: G.Grid | Non
         b = b.join(h, VOX, "left").withColumn("is_left", F.coalesce("_l", F.lit(False))).drop("_l")
     else:
         b = b.withColumn("is_left", F.col("wx") < (midline_x if midline_x is not None else lit(0.0)))
-    cut = exact_percentiles(b, ["subject_id"], F.col("wz"), 1.0, {"z_cut": 0.7})
-    b = lookup_join(b.select(*VOX, "wx", "wy", "wz", "is_left"), cut, ["subject_id"], salt_on=["i", "j", "k"])
+    cut = exact_percentiles(b, ["subject_id"], F.col("wz"), {"z_cut": 0.7})
+    b = b.select(*VOX, "wx", "wy", "wz", "is_left").join(cut, ["subject_id"])
     top = b.where(F.col("wz") >= F.col("z_cut"))
     v = G.nearest_voxel(fa_grid, (F.col("wx"), F.col("wy"), F.col("wz")))
     p = top.select("subject_id", "is_left", *[c.alias(a) for a, c in zip("ijk", v)])

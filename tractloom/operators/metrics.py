@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tractloom import constants as C
 from tractloom.functions import geometry as G
-from tractloom.functions.joins import lookup_join
 from tractloom.functions.laterality import li_columns
 from tractloom.functions.numeric import lit
 from tractloom.functions.ranking import exact_percentiles, two_stage_rank
@@ -28,7 +27,7 @@ STATS = ("mean", "std", "median", "min", "max")
 
 def bundle_points(points: DataFrame, sides: DataFrame) -> DataFrame:
     """Vertices of the streamlines listed in ``sides`` (subject_id, streamline_id, side)."""
-    return lookup_join(points, sides.select(*KEY, "side"), KEY, salt_on=["pt_idx"])
+    return points.join(sides.select(*KEY, "side"), KEY)
 
 
 def sample(vox_points: DataFrame, maps: DataFrame, scalars: tuple[str, ...] = C.SCALARS) -> DataFrame:
@@ -47,10 +46,6 @@ def _long(df: DataFrame, keys: list[str], scalars: tuple[str, ...]) -> DataFrame
     return df.unpivot(keys, list(scalars), "scalar", "value")
 
 
-# bin widths that balance the exact percentiles: FA spans 0..1, diffusivities some 1e-3 mm^2/s
-_WIDTH = 1.0 / 4096
-
-
 def _stats(df: DataFrame, scalars: tuple[str, ...], prefix: str, n_name: str) -> DataFrame:
     """mean, std, min, max, n of all maps in one pass over the wide rows, medians on long rows."""
     wide = df.groupBy(*SIDE).agg(*[
@@ -59,7 +54,7 @@ def _stats(df: DataFrame, scalars: tuple[str, ...], prefix: str, n_name: str) ->
     rows = [F.struct(F.lit(c).alias("scalar"), *[F.col(f"{c}__{n}").alias(f"{prefix}{n}") for n in ("mean", "std", "min", "max")],
                      F.col(f"{c}__n").alias(n_name)) for c in scalars]
     base = wide.select(*SIDE, F.inline(F.array(*rows)))
-    med = exact_percentiles(_long(df, SIDE, scalars), [*SIDE, "scalar"], F.col("value"), _WIDTH, {f"{prefix}median": 0.5})
+    med = exact_percentiles(_long(df, SIDE, scalars), [*SIDE, "scalar"], F.col("value"), {f"{prefix}median": 0.5})
     return base.join(med, [*SIDE, "scalar"])
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tractloom import constants as C
 from tractloom.functions.numeric import count_if, lit, ratio
-from tractloom.functions.ranking import exact_percentiles, summary_stats, two_stage_rank
+from tractloom.functions.ranking import exact_percentiles, summary_stats, two_stage_rank, with_buckets
 
 S = ["subject_id"]
 
@@ -16,7 +16,7 @@ def tracking_report(lengths: DataFrame, n_seeds: DataFrame) -> DataFrame:
 
     ``lengths``: subject_id, streamline_id, length, n_points; ``n_seeds``: subject_id, n_seeds.
     """
-    st = summary_stats(lengths, S, F.col("length"), 0.25, {"median": 0.5, "p25": 0.25, "p75": 0.75}, "length_")
+    st = summary_stats(lengths, S, F.col("length"), {"median": 0.5, "p25": 0.25, "p75": 0.75}, "length_")
     pts = lengths.groupBy(*S).agg(F.avg("n_points").alias("points_mean"), F.min("n_points").alias("points_min"), F.max("n_points").alias("points_max"))
     d = n_seeds.join(st, S, "left").join(pts, S, "left").withColumnRenamed("length_n", "count").na.fill(0)
     return d.withColumn("yield_pct", ratio(F.col("count") * 100, F.col("n_seeds"), 0.0))
@@ -25,12 +25,13 @@ def tracking_report(lengths: DataFrame, n_seeds: DataFrame) -> DataFrame:
 def positive_voxel_stats(maps: DataFrame, scalars: tuple[str, ...] = C.SCALARS) -> DataFrame:
     """Mean, std, median of each map over its voxels above 0."""
     lng = maps.unpivot(S, list(scalars), "scalar", "value").where("value > 0")
-    return summary_stats(lng, [*S, "scalar"], F.col("value"), 1.0 / 4096).select(*S, "scalar", "n", "mean", "std", "median")
+    return summary_stats(lng, [*S, "scalar"], F.col("value")).select(*S, "scalar", "n", "mean", "std", "median")
 
 
 def length_distribution(lengths: DataFrame) -> DataFrame:
     """Percentage of a subject's streamlines up to each one in order of length."""
-    r = two_stage_rank(lengths, S, F.floor(F.col("length") * 4), [F.col("length"), F.col("streamline_id")], out="_r", total="_n")
+    d = with_buckets(lengths, S, F.col("length"), "_by_length")
+    r = two_stage_rank(d, S, F.col("_by_length"), [F.col("length"), F.col("streamline_id")], out="_r", total="_n")
     return r.select(*S, "streamline_id", "length", ((F.col("_r") + 1) / F.col("_n") * 100).alias("cumulative_pct"))
 
 
@@ -78,7 +79,7 @@ def motion_summary(affines: DataFrame) -> DataFrame:
         F.max(F.greatest(*[F.abs(f"{n}_rel") for n in ("roll", "pitch", "yaw")])).alias("max_rotation"))
 
 
-def residuals(volumes: DataFrame, width: float = 1.0 / 1024) -> DataFrame:
+def residuals(volumes: DataFrame) -> DataFrame:
     """Inside the brain mean and std before and after, mean and 99th percentile of the
     absolute difference; mask coverage of the whole grid.
 
@@ -88,6 +89,6 @@ def residuals(volumes: DataFrame, width: float = 1.0 / 1024) -> DataFrame:
     g = volumes.groupBy(*S).agg(F.count(F.lit(1)).alias("total_voxels"), count_if(F.col("brain")).alias("brain_voxels"))
     b = brain.groupBy(*S).agg(*[f(c).alias(f"{c}_{n}") for c in ("before", "after") for n, f in (("mean", F.avg), ("std", F.stddev_pop))],
                               F.avg("diff").alias("diff_mean"))
-    p = exact_percentiles(brain, S, F.col("diff"), width, {"diff_p99": 0.99})
+    p = exact_percentiles(brain, S, F.col("diff"), {"diff_p99": 0.99})
     return (g.join(b, S, "left").join(p, S, "left")
             .withColumn("coverage_pct", F.col("brain_voxels") / F.col("total_voxels") * lit(100.0)))

@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tractloom import constants as C
 from tractloom.functions import geometry as G
-from tractloom.functions.joins import lookup_join
 from tractloom.functions.numeric import count_if, lit, ratio
 from tractloom.functions.ranking import exact_percentiles
 from tractloom.functions.stage import materialize
@@ -152,12 +151,12 @@ def midline_x(space: DataFrame, subjects: DataFrame, grid: G.Grid | None = None)
     w = [_world(c, grid) for c in "xyz"]
     b = midline_boundary(space, grid).withColumns(dict(zip(("wx", "wy", "wz"), w)))
     b = materialize(b.select(*VOX, "wx", "wy", "wz"))
-    lim = exact_percentiles(b, ["subject_id"], F.col("wy"), 1.0, {"y_lo": 0.15, "y_hi": 0.85}).join(
-        exact_percentiles(b, ["subject_id"], F.col("wz"), 1.0, {"z_lo": 0.15, "z_hi": 0.85}), "subject_id")
-    b = lookup_join(b, lim, ["subject_id"], salt_on=["i", "j", "k"])
+    lim = exact_percentiles(b, ["subject_id"], F.col("wy"), {"y_lo": 0.15, "y_hi": 0.85}).join(
+        exact_percentiles(b, ["subject_id"], F.col("wz"), {"z_lo": 0.15, "z_hi": 0.85}), "subject_id")
+    b = b.join(lim, ["subject_id"])
     slab = F.col("wy").between(F.col("y_lo"), F.col("y_hi")) & F.col("wz").between(F.col("z_lo"), F.col("z_hi"))
-    inside = exact_percentiles(b.where(slab), ["subject_id"], F.col("wx"), 1.0, {"m_slab": 0.5})
-    whole = exact_percentiles(b, ["subject_id"], F.col("wx"), 1.0, {"m_all": 0.5})
+    inside = exact_percentiles(b.where(slab), ["subject_id"], F.col("wx"), {"m_slab": 0.5})
+    whole = exact_percentiles(b, ["subject_id"], F.col("wx"), {"m_all": 0.5})
     return (subjects.join(inside, "subject_id", "left").join(whole, "subject_id", "left")
             .select("subject_id", F.coalesce("m_slab", "m_all", lit(0.0)).alias("midline_x")))
 

@@ -6,7 +6,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from tractloom.functions.joins import lookup_join
 from tractloom.functions.numeric import finite_or_zero, lit
 from tractloom.functions.stage import materialize
 
@@ -59,7 +58,7 @@ def solver_rows(gradients: DataFrame) -> DataFrame:
     normal = g.groupBy("subject_id").agg(*[F.sum(F.col("row")[r] * F.col("row")[c]).alias(f"n{r}{c}") for r, c in pairs])
     normal = normal.select("subject_id", F.array(*[F.col(f"n{min(r, c)}{max(r, c)}") for r in range(7) for c in range(7)]).alias("m"))
     inv = normal.withColumn("inv", _invert7(F.col("m"))).drop("m")
-    d = lookup_join(g, inv, ["subject_id"], salt_on=["vol_idx"])
+    d = g.join(inv, ["subject_id"])
     w = F.transform(F.sequence(F.lit(0), F.lit(6)), lambda r: F.aggregate(
         F.sequence(F.lit(0), F.lit(6)), lit(0.0), lambda acc, c: acc + F.get("inv", r * 7 + c) * F.get("row", c)))
     return d.select("subject_id", "vol_idx", w.alias("weights"))
@@ -94,7 +93,7 @@ def fit_ols(signals: DataFrame, gradients: DataFrame) -> DataFrame:
     """
     w = solver_rows(gradients)
     s = signals.withColumn("ln", F.log(F.greatest(F.col("signal"), lit(MIN_SIGNAL))))
-    s = lookup_join(s, w, ["subject_id", "vol_idx"], salt_on=["i", "j", "k"])
+    s = s.join(w, ["subject_id", "vol_idx"])
     g = s.groupBy(*VOX).agg(*[F.sum(F.col("weights")[n] * F.col("ln")).alias(c) for n, c in enumerate(COEF)])
     return tensor_scalars(g).select(*VOX, *COEF, "fa", "md", "rd", "ad")
 
@@ -109,8 +108,8 @@ def fit_wls(signals: DataFrame, gradients: DataFrame) -> DataFrame:
     coef = materialize(fit_ols(signals, gradients).select(*VOX, F.array(*COEF).alias("coef")))
     rows = gradients.select("subject_id", "vol_idx", F.array(*_design(
         F.col("bval"), F.col("bx"), F.col("by"), F.col("bz"))).alias("row"))
-    d = lookup_join(signals, rows, ["subject_id", "vol_idx"], salt_on=["i", "j", "k"])
-    d = lookup_join(d, coef, VOX, salt_on=["vol_idx"])
+    d = signals.join(rows, ["subject_id", "vol_idx"])
+    d = d.join(coef, VOX)
     r = [F.col("row")[n] for n in range(7)]
     fitted = sum((r[n] * F.col("coef")[n] for n in range(1, 7)), r[0] * F.col("coef")[0])
     d = d.select(*VOX, "row", F.exp(lit(2.0) * fitted).alias("w"), F.log(F.greatest(F.col("signal"), lit(MIN_SIGNAL))).alias("ln"))

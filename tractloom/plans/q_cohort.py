@@ -39,16 +39,16 @@ _UNIT_FILES = ("dwi/run%_dwi.nii.gz", "dwi/x%.nii.gz", "dwi/i%.dcm", "dwi/IM%",
 
 @query("S2_input_type", """WITH f AS (SELECT 'sub-' || o_custkey AS unit, o_orderkey % 9 AS m, o_orderkey % 2 = 0 AS magic,
   replace(['dwi/run%_dwi.nii.gz', 'dwi/x%.nii.gz', 'dwi/i%.dcm', 'dwi/IM%', 'a%_dwi.nii.gz', 'b%.nii.gz', 'c%.DCM', '.h%', 'anat/d%.nii.gz'][o_orderkey % 9 + 1], '%', o_orderkey::VARCHAR) AS rel
-  FROM orders WHERE o_orderkey % 9 >= o_custkey % 9),
+  FROM orders),
 c AS (SELECT unit, rel, magic, CASE WHEN m < 4 THEN 0 ELSE 1 END AS dr, CASE m WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 3 WHEN 4 THEN 1 WHEN 5 THEN 2 WHEN 6 THEN 3 END AS kind,
    unit || CASE WHEN m < 4 THEN '/dwi' ELSE '' END AS dir, m FROM f WHERE m < 8),
 k AS (SELECT unit, dr, kind, CASE WHEN kind < 3 THEN unit || '/' || rel ELSE dir END AS path FROM c WHERE kind IS NOT NULL
-  UNION ALL SELECT unit, dr, 4, dir FROM (SELECT * FROM c WHERE m <> 7 QUALIFY row_number() OVER (PARTITION BY unit, dr ORDER BY rel) = 1) WHERE magic AND kind IS NULL),
+  UNION ALL SELECT unit, dr, 4, dir FROM c WHERE magic AND m <> 7),
 b AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY unit ORDER BY dr, kind, path) = 1)
 SELECT u.unit, CASE WHEN kind <= 2 THEN 'nifti' WHEN kind >= 3 THEN 'dicom' ELSE 'none' END AS input_type, path AS input_path
 FROM (SELECT DISTINCT unit FROM c) u LEFT JOIN b ON u.unit = b.unit""")
 def s2(spark, sf):
-    o = fx.table(spark, sf, "orders").where("o_orderkey % 9 >= o_custkey % 9")
+    o = fx.table(spark, sf, "orders")
     unit = F.concat(F.lit("sub-"), _str("o_custkey"))
     rel = F.replace(F.array(*map(F.lit, _UNIT_FILES))[(F.col("o_orderkey") % 9).cast("int")], F.lit("%"), _str("o_orderkey"))
     return fl.detect_input(o.select(unit.alias("unit"), F.concat_ws("/", unit, rel).alias("path"), (F.col("o_orderkey") % 2 == 0).alias("magic")))
@@ -159,18 +159,19 @@ def s6b(spark, sf):
 # ---------------------------------------------------------------------------------- S7-S9
 
 @query("S7_study_scan", """WITH r AS (SELECT l_suppkey AS study, l_partkey % 6 AS d, l_orderkey AS o, l_linenumber AS n FROM lineitem),
-f AS (SELECT study, ['', 'a', 'a/b', 'c/d/e', 'c/d/e/f', '.hid/x'][d + 1] AS dir, CASE WHEN (study + d) % 5 = 4 AND o % 3 = 0 THEN '.' ELSE '' END || 'IM' || o || '_' || n || ['.dcm', '.DCM', '', '.txt', '.dicom'][(study + d) % 5 + 1] AS fn,
-   (study + d) % 5 AS e, o % 3 = 0 AND (study + d) % 5 = 2 AS magic FROM r WHERE d < 4),
-k AS (SELECT *, e < 2 AS dcm, (e < 2 OR e = 4 OR magic) AND NOT starts_with(fn, '.') AS okf, row_number() OVER (PARTITION BY study, dir ORDER BY CASE WHEN dir = '' THEN fn ELSE dir || '/' || fn END) AS rn FROM f),
-g AS (SELECT study, dir, count(*) FILTER (dcm) AS nd, count(*) FILTER (okf) AS nm, bool_or(okf AND rn <= 10) AS hit FROM k GROUP BY 1, 2),
+f AS (SELECT study, ['', 'a', 'a/b', 'c/d/e/f/g', 'c/d/e', '.hid/x'][d + 1] AS dir, CASE WHEN (study + d) % 5 = 4 AND o % 3 = 0 THEN '.' ELSE '' END || 'IM' || o || '_' || n || ['.dcm', '.DCM', '', '.txt', '.dicom'][(study + d) % 5 + 1] AS fn,
+   (study + d) % 5 AS e, o % 3 = 0 AND (study + d) % 5 = 2 AS magic FROM r WHERE d < 5),
+k AS (SELECT *, e < 2 AS dcm, (e < 2 OR e = 4 OR magic) AND NOT starts_with(fn, '.') AS okf FROM f),
+g AS (SELECT study, dir, count(*) FILTER (dcm) AS nd, count(*) FILTER (okf) AS nm, bool_or(okf) AS hit FROM k GROUP BY 1, 2),
 s AS (SELECT study, dir, CASE WHEN nd > 0 THEN nd ELSE nm END AS n_files, CAST(CASE WHEN dir = '' THEN 0 ELSE len(string_split(dir, '/')) END AS INT) AS depth FROM g WHERE nd > 0 OR hit)
-SELECT study, dir, n_files, depth, regexp_extract(dir, '[^/]*$') AS name FROM s WHERE n_files >= 10
-  AND NOT (dir = 'a/b' AND EXISTS (SELECT 1 FROM s t WHERE t.study = s.study AND t.dir = 'a'))""")
+SELECT study, dir, n_files, depth, regexp_extract(dir, '[^/]*$') AS name FROM s
+  WHERE NOT (dir = 'a/b' AND EXISTS (SELECT 1 FROM s t WHERE t.study = s.study AND t.dir = 'a'))
+  AND NOT (dir = 'c/d/e/f/g' AND EXISTS (SELECT 1 FROM s t WHERE t.study = s.study AND t.dir = 'c/d/e'))""")
 def s7(spark, sf):
     li = fx.table(spark, sf, "lineitem")
     d = (F.col("l_partkey") % 6).cast("int")
     e = ((F.col("l_suppkey") + d) % 5).cast("int")
-    folder = F.array(*map(F.lit, ("", "a/", "a/b/", "c/d/e/", "c/d/e/f/", ".hid/x/")))[d]
+    folder = F.array(*map(F.lit, ("", "a/", "a/b/", "c/d/e/f/g/", "c/d/e/", ".hid/x/")))[d]
     dot = F.when((e == 4) & (F.col("l_orderkey") % 3 == 0), ".").otherwise("")
     p = F.concat(folder, dot, F.lit("IM"), _str("l_orderkey"), F.lit("_"), _str("l_linenumber"), F.array(*map(F.lit, (".dcm", ".DCM", "", ".txt", ".dicom")))[e])
     return fl.scan_study(li.select(F.col("l_suppkey").alias("study"), p.alias("path"), ((F.col("l_orderkey") % 3 == 0) & (e == 2)).alias("magic")))

@@ -41,14 +41,14 @@ def u2(spark, sf):
 
 @query("J12_hemisphere_alignment", f"""WITH {SQL_POINTS},
 q AS (SELECT *, y + CASE WHEN subject_id % 2 = 1 AND {CAND_SQL} THEN 4e1 ELSE 0e0 END AS y2 FROM pts),
-c AS (SELECT subject_id, avg(x) AS x, avg(y2) AS y, avg(z) AS z FROM q JOIN (SELECT DISTINCT streamline_id, dense_rank() OVER (PARTITION BY subject_id ORDER BY streamline_id) AS d FROM q WHERE {CAND_SQL}) USING (streamline_id) WHERE d <= 50 GROUP BY 1),
-r AS (SELECT subject_id, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM q JOIN (SELECT DISTINCT streamline_id, dense_rank() OVER (PARTITION BY subject_id ORDER BY streamline_id) AS d FROM q WHERE {REF_SQL}) USING (streamline_id) WHERE d <= 50 GROUP BY 1),
+c AS (SELECT subject_id, avg(x) AS x, avg(y2) AS y, avg(z) AS z FROM q WHERE {CAND_SQL} GROUP BY 1),
+r AS (SELECT subject_id, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM q WHERE {REF_SQL} GROUP BY 1),
 e AS (SELECT c.subject_id, sqrt((c.x-r.x)*(c.x-r.x) + (c.y-r.y)*(c.y-r.y) + (c.z-r.z)*(c.z-r.z)) AS d FROM c JOIN r USING (subject_id))
 SELECT subject_id, {r6('d')} AS distance, d > 3e1 AS warn FROM e""")
 def j12(spark, sf):
     p = fx.points(spark, sf)
     c = p.where(CAND).withColumn("y", F.col("y") + F.when(F.col("subject_id") % 2 == 1, 40.0).otherwise(0.0))
-    d = cp.hemisphere_alignment(c, p.where(REF), p.select("subject_id").distinct(), n=50)
+    d = cp.hemisphere_alignment(c, p.where(REF), p.select("subject_id").distinct())
     return d.withColumn("distance", rnd(F.col("distance")))
 
 

@@ -232,7 +232,7 @@ SELECT subject_id, {r6('coalesce(avg(fa) FILTER (l), 0e0)')} AS left_mean_fa, {r
   count(*) FILTER (l) AS left_n, count(*) FILTER (NOT l) AS right_n FROM s GROUP BY 1""")
 def j17(spark, sf):
     from tractloom.functions import geometry as G
-    v = G.attach_grid(fx.volumes(spark, sf), fx.volume_grids(spark, sf), ["i", "j", "k"])
+    v = G.attach_grid(fx.volumes(spark, sf), fx.volume_grids(spark, sf))
     fa_grid = G.Grid(((2.0, 0.0, 0.0, -12.0), (0.0, 2.0, 0.0, -12.0), (0.0, 0.0, 2.0, -20.0), (0.0, 0.0, 0.0, 1.0)), (12, 12, 12))
     s = ex.peduncle_fa(v.where("label = 8"), fx.volumes(spark, sf), None, fa_grid, lit(0.5))
     return s.withColumns({n: rnd(F.col(n)) for n in ("left_mean_fa", "right_mean_fa")})

@@ -37,7 +37,7 @@ JAC = JAC.replace("PARTITION BY subject_id", "PARTITION BY f.subject_id")
 
 
 def _dets(spark, sf):
-    f = G.attach_grid(_field(spark, sf), fx.volume_grids(spark, sf), ["i", "j", "k"])
+    f = G.attach_grid(_field(spark, sf), fx.volume_grids(spark, sf))
     return fd.jacobian(f, G.voxel_size_columns(F.col("affine"))).select("subject_id", "i", "j", "k", "det")
 
 
@@ -58,7 +58,7 @@ t AS (SELECT f.subject_id, f.i, f.j, f.k, CAST(round_even((sx*f.i + sh*f.j + ox
    CAST(round_even((25e-1*f.k - 2e1 + uz + 2e1) / 2e0, 0) AS INT) AS sk FROM fld f JOIN grd USING (subject_id))
 SELECT t.subject_id, t.i, t.j, t.k, coalesce(v.label, 0) AS label FROM t LEFT JOIN vol v ON v.subject_id = t.subject_id AND v.i = si AND v.j = sj AND v.k = sk""")
 def j16(spark, sf):
-    t = G.attach_grid(fx.volumes(spark, sf), fx.volume_grids(spark, sf), ["i", "j", "k"])
+    t = G.attach_grid(fx.volumes(spark, sf), fx.volume_grids(spark, sf))
     src = G.Grid(((2.0, 0.0, 0.0, -12.0), (0.0, 2.0, 0.0, -12.0), (0.0, 0.0, 2.0, -20.0), (0.0, 0.0, 0.0, 1.0)), (12, 12, 12))
     return fd.resample_labels(t.select("subject_id", "i", "j", "k", "affine"), None, fx.volumes(spark, sf), src, _field(spark, sf))
 

@@ -24,7 +24,7 @@ def f1(spark, sf):
 SELECT subject_id, i, j, k, {r6(fx.SQL_WORLD_X)} AS wx, {r6(fx.SQL_WORLD_Y)} AS wy, {r6(fx.SQL_WORLD_Z)} AS wz
 FROM vol JOIN grd USING (subject_id)""")
 def f2(spark, sf):
-    v = G.attach_grid(fx.volumes(spark, sf), fx.volume_grids(spark, sf), ["i", "j", "k"])
+    v = G.attach_grid(fx.volumes(spark, sf), fx.volume_grids(spark, sf))
     w = geo.voxels_to_world(v, None)
     return w.select("subject_id", "i", "j", "k", *[rnd(F.col(c)).alias(c) for c in ("wx", "wy", "wz")])
 
@@ -139,7 +139,7 @@ SELECT subject_id, i, j, k, CAST(CASE WHEN sx < 0 THEN 11 - i ELSE i END AS INT)
 def f11(spark, sf):
     g = geo.ras_axes(fx.volume_grids(spark, sf)).withColumn("x_sign", geo.axis_world_x_sign(0)) \
         .withColumn("left_on_right", geo.shows_left_on_right(0))
-    v = G.attach_grid(fx.volumes(spark, sf), g, ["i", "j", "k"])
+    v = G.attach_grid(fx.volumes(spark, sf), g)
     r = geo.to_ras(v)
     back = geo.from_ras(r.withColumnRenamed("i", "i0").withColumnRenamed("j", "j0").withColumnRenamed("k", "k0"))
     return back.select("subject_id", F.col("i0").alias("i"), F.col("j0").alias("j"), F.col("k0").alias("k"),

@@ -33,7 +33,7 @@ masks AS (SELECT g.subject_id, roi, i, j, k FROM grown g JOIN grd USING (subject
 
 def _labels(spark, sf):
     """Raw labels with the grid attached, cortical labels split by side, brainstem kept whole."""
-    v = G.attach_grid(fx.volumes(spark, sf), fx.volume_grids(spark, sf), ["i", "j", "k"])
+    v = G.attach_grid(fx.volumes(spark, sf), fx.volume_grids(spark, sf))
     stem = v.where("label = 8")
     return v, rois.split_hemispheres(v.where("label <> 8")).unionByName(stem)
 
@@ -113,7 +113,7 @@ SELECT subject_id, roi, {r6(f'avg({SQL_WORLD_X})')} AS com_x, {r6(f'avg({SQL_WOR
   count(*) AS voxel_count, {r6(f'abs(avg({SQL_WORLD_X}))')} AS midline_dist
 FROM masks JOIN grd USING (subject_id) GROUP BY 1, 2""")
 def a8(spark, sf):
-    m = G.attach_grid(_masks(spark, sf), fx.volume_grids(spark, sf), ["i", "j", "k"])
+    m = G.attach_grid(_masks(spark, sf), fx.volume_grids(spark, sf))
     g = rois.roi_geometry(m)
     return g.select("subject_id", "roi", "voxel_count",
                     *[rnd(F.col(c)).alias(c) for c in ("com_x", "com_y", "com_z", "x_min", "x_max", "midline_dist")])
@@ -127,7 +127,7 @@ SELECT subject_id, roi, count(*) FILTER ({SQL_WORLD_X} < 1e0) AS left_voxels, co
   {r6(f'count(*) FILTER ({SQL_WORLD_X} >= 1e0)::DOUBLE / count(*) * 100')} AS right_pct
 FROM masks JOIN grd USING (subject_id) GROUP BY 1, 2""")
 def a9(spark, sf):
-    m = G.attach_grid(_masks(spark, sf), fx.volume_grids(spark, sf), ["i", "j", "k"])
+    m = G.attach_grid(_masks(spark, sf), fx.volume_grids(spark, sf))
     g = rois.roi_hemisphere_split(m, 1.0)
     return g.withColumns({c: rnd(F.col(c)) for c in ("lr_ratio", "left_pct", "right_pct")})
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tractloom import constants as C
 from tractloom.functions.stage import materialize
@@ -67,8 +67,8 @@ def discover_subjects(files: DataFrame, include: list[str] | None = None,
 def detect_input(files: DataFrame) -> DataFrame:
     """NIfTI or DICOM input of each unit (``unit`` column = subject or session folder).
 
-    Looks in ``dwi/`` first, then the unit itself: *_dwi.nii.gz, any .nii.gz, .dcm, then the magic
-    of the first visible file only. The least (folder, kind, path) wins, so it is one aggregate.
+    Looks in ``dwi/`` first, then the unit itself: *_dwi.nii.gz, any .nii.gz, .dcm, then any visible
+    file with the magic. The least (folder, kind, path) wins, so it is one aggregate.
     """
     rel = F.expr("substring(path, length(unit) + 2)")
     d = files.withColumn("_rel", rel)
@@ -77,11 +77,11 @@ def detect_input(files: DataFrame) -> DataFrame:
     n = F.col("_n")
     kind = F.when(n.endswith("_dwi.nii.gz"), 1).when(n.endswith(".nii.gz"), 2).when(n.endswith(".dcm") | n.endswith(".DCM"), 3)
     folder = parent_dir(F.col("path"))
-    visible = F.when(~n.startswith("."), F.col("path"))
+    magic = ~n.startswith(".") & F.col("magic")
     g = d.groupBy("unit", "_rank").agg(
         F.min(F.when(kind.isNotNull(), F.struct(kind.alias("kind"), F.when(kind < 3, F.col("path")).otherwise(folder).alias("path")))).alias("_k"),
-        F.min_by("magic", visible).alias("_magic"), F.min_by(folder, visible).alias("_dir"))
-    hit = F.coalesce(F.col("_k"), F.when(F.col("_magic"), F.struct(F.lit(4).alias("kind"), F.col("_dir").alias("path"))))
+        F.min(F.when(magic, folder)).alias("_dir"))
+    hit = F.coalesce(F.col("_k"), F.when(F.col("_dir").isNotNull(), F.struct(F.lit(4).alias("kind"), F.col("_dir").alias("path"))))
     best = g.groupBy("unit").agg(F.min(F.when(hit.isNotNull(), F.struct("_rank", hit.alias("hit")))).alias("_b"))
     k = F.col("_b.hit.kind")
     return best.select("unit", F.when(k <= 2, "nifti").when(k >= 3, "dicom").otherwise("none").alias("input_type"),
@@ -120,12 +120,12 @@ def is_dicom_name(path: Column) -> Column:
     return F.lower(path).rlike(r"\.(dcm|dicom)$")
 
 
-def scan_study(files: DataFrame, min_files: int = C.DICOM_MIN_FILES) -> DataFrame:
+def scan_study(files: DataFrame) -> DataFrame:
     """Folders that are a DICOM series, with file count and depth.
 
-    A folder counts if it holds a .dcm file or one of its first ten visible files is DICOM. The
-    search goes three levels down, not into hidden folders and not below a series; the root is
-    looked at by itself.
+    A folder counts if any of its files is DICOM by name or, unless hidden, by content. The search
+    goes to any depth, not into hidden folders and not below a series; the root is looked at by
+    itself. ``large_series`` and ``shallow_series`` narrow the result.
     """
     n = _name(F.col("path"))
     d = files.select("study", "path", "magic", parent_dir(F.col("path")).alias("dir"), n.alias("_n"))
@@ -133,20 +133,27 @@ def scan_study(files: DataFrame, min_files: int = C.DICOM_MIN_FILES) -> DataFram
     dcm = F.col("_n").endswith(".dcm") | F.col("_n").endswith(".DCM")
     ok = (is_dicom_name(F.col("_n")) | F.col("magic")) & ~F.col("_n").startswith(".")
     g = d.groupBy("study", "dir").agg(F.count(F.when(dcm, 1)).alias("n_dcm"), F.count(F.when(ok, 1)).alias("n_magic"))
-    w = Window.partitionBy("study", "dir").orderBy("path")
-    probe = d.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= C.DICOM_MAGIC_PROBE)
-    probe = probe.groupBy("study", "dir").agg(F.max(ok.cast("int")).alias("_hit"))
-    g = g.join(probe, ["study", "dir"]).where((F.col("n_dcm") > 0) | (F.col("_hit") == 1))
+    g = g.where((F.col("n_dcm") > 0) | (F.col("n_magic") > 0))
     depth = F.when(F.col("dir") == "", 0).otherwise(F.size(F.split("dir", "/")))
     s = g.select("study", "dir", F.when(F.col("n_dcm") > 0, F.col("n_dcm")).otherwise(F.col("n_magic")).alias("n_files"),
-                 depth.alias("depth")).where(F.col("depth") <= C.DICOM_MAX_DEPTH)
+                 depth.alias("depth"))
     s = materialize(s)
     part = F.split("dir", "/")
     above = F.transform(F.sequence(F.lit(1), F.col("depth") - 1), lambda k: F.array_join(F.slice(part, 1, k), "/"))
     anc = s.where("depth > 1").select("study", "dir", F.explode(above).alias("up"))
     below = anc.join(s.where("depth > 0").select("study", F.col("dir").alias("up")), ["study", "up"], "left_semi")
     s = s.join(below.select("study", "dir").distinct(), ["study", "dir"], "left_anti")
-    return s.where(F.col("n_files") >= min_files).withColumn("name", _name(F.col("dir")))
+    return s.withColumn("name", _name(F.col("dir")))
+
+
+def large_series(series: DataFrame, min_files: int = C.DICOM_MIN_FILES) -> DataFrame:
+    """Series of a scan with at least ``min_files`` files."""
+    return series.where(F.col("n_files") >= min_files)
+
+
+def shallow_series(series: DataFrame, max_depth: int = C.DICOM_MAX_DEPTH) -> DataFrame:
+    """Series of a scan at most ``max_depth`` folders below the root."""
+    return series.where(F.col("depth") <= max_depth)
 
 
 def group_series(headers: DataFrame) -> DataFrame:
