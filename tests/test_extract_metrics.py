@@ -157,7 +157,7 @@ def test_nearest_distance_brute_force_with_hot_cell_and_outlier(spark):
 def test_selection_caps_and_ties(spark):
     sc = spark.createDataFrame([(0, "left", s, v) for s, v in ((1, 5), (2, 5), (3, 0), (4, 900), (5, 5))], "subject_id long, side string, streamline_id long, score long")
     caps = spark.createDataFrame([(0, "left", 3)], "subject_id long, side string, cap long")
-    kept = ex.select_top(sc, caps, ["subject_id", "side"], width=4).orderBy("rank").collect()
+    kept = ex.select_top(sc, caps, ["subject_id", "side"]).orderBy("rank").collect()
     assert [r.streamline_id for r in kept] == [4, 5, 2]
 
 
@@ -167,3 +167,38 @@ def test_metric_difference(spark):
     d = {r.metric: r for r in cp.metric_difference(a, b).collect()}
     assert d["fa"].status == "equal" and d["md"].status == "different" and math.isinf(d["md"].relative_diff)
     assert d["x"].status == "missing_in_second" and d["y"].status == "missing_in_first"
+
+
+def test_an_empty_side_is_zero(spark, grid, make_points, ramp):
+    """Subject 0 has a left bundle only, subject 1 a right one, subject 2 none."""
+    lines = {1: [(5, 5, z) for z in range(2, 9)]}
+    b = make_points(lines).withColumn("side", F.lit("left")).union(make_points(lines, 1).withColumn("side", F.lit("right")))
+    maps = ramp.union(ramp.withColumn("subject_id", F.lit(1).cast("long")))
+    m = me.metrics_long(b, grid, maps, ("fa",), spark.range(3).withColumnRenamed("id", "subject_id"))
+    c = {(r.subject_id, r.quantity): r for r in me.compare_sides(m, me.comparison_metrics(("fa",))).collect()}
+    assert {q for s, q in c if s == 2} == {q for s, q in c if s == 0} and len(c) == 3 * 7
+    assert {c[0, q].laterality_index for q in ("volume", "streamline_count", "fa")} == {1.0} and c[0, "fa"].right_value == 0
+    assert c[1, "fa"].laterality_index == -1 and c[1, "fa"].interpretation == "strong asymmetry (right > left)"
+    assert {r.interpretation for (s, _), r in c.items() if s == 2} == {"no data"}
+    assert me.tract_profile(b, grid, maps, ("fa",), subjects=spark.range(2, 3).withColumnRenamed("id", "subject_id")).count() == 2 * 20
+
+
+def test_missing_side_in_the_index(spark):
+    d = spark.createDataFrame([(0, None, 0.4), (1, 0.4, None), (2, None, None)], "n int, l double, r double")
+    got = d.select("n", *[c.alias(k) for k, c in li_columns(F.col("l"), F.col("r")).items()]).orderBy("n").collect()
+    assert [(r.laterality_index, r.interpretation) for r in got] == [(-1, "strong asymmetry (right > left)"), (1, "strong asymmetry (left > right)"), (0, "no data")]
+
+
+def test_an_empty_bundle_has_nan_distances(spark, make_points):
+    a = make_points({1: [(0, 0, z) for z in range(6)]})
+    got = {r.subject_id: r for r in cp.mean_closest_distance(a, make_points({1: [(0, 2, z) for z in range(6)]}).where("false"), subjects=spark.range(2).withColumnRenamed("id", "subject_id")).collect()}
+    assert set(got) == {0, 1} and all(math.isnan(v) for r in got.values() for v in (r.symmetric, r.cand_to_ref, r.ref_to_cand, r.std))
+
+
+def test_distance_over_a_gap(spark):
+    from tractloom.operators import rois
+    i = [0, 1, 2, 8, 9, 10]
+    d = spark.createDataFrame([(0, n, 0, 0, n < 2, True, 12, 1, 1) for n in i] + [(1, 3, 0, 0, True, True, 12, 1, 1)],
+                              "subject_id long, i int, j int, k int, left boolean, brain boolean, nx int, ny int, nz int")
+    got = {(r.subject_id, r.i): r.distance for r in rois.midline_distance(d, (lit(1.0), lit(1.0), lit(1.0))).collect()}
+    assert got == {(0, 0): -1, (0, 1): 0, (0, 2): 1, (0, 8): 7, (0, 9): 8, (0, 10): 9, (1, 3): None}

@@ -163,3 +163,17 @@ def test_isotropic_tensor_has_no_anisotropy(spark):
                               "subject_id long, i int, j int, k int, dxx double, dyy double, dzz double, dxy double, dxz double, dyz double")
     got = {r.i: (r.fa, r.md, r.ad) for r in tn.tensor_scalars(d).collect()}
     assert got[0] == pytest.approx((0.0, 1e-3, 1e-3), abs=1e-9) and got[1] == (0.0, 0.0, 0.0) and got[2][0] == pytest.approx(1.0)
+
+
+def test_deep_and_late_dicom_series_are_found(spark):
+    files = [("s", f"a/b/c/d/e/IM{n}.dcm", False) for n in range(2)] + [("s", f"late/a{n:02}.txt", False) for n in range(30)] + [("s", "late/z1", True), ("s", "late/.hidden", True)]
+    d = spark.createDataFrame(files, "study string, path string, magic boolean")
+    got = {(r.dir, r.n_files, r.depth) for r in fl.scan_study(d).collect()}
+    assert got == {("a/b/c/d/e", 2, 5), ("late", 1, 1)}
+    assert fl.large_series(fl.scan_study(d)).count() == 0 and {r.dir for r in fl.shallow_series(fl.scan_study(d)).collect()} == {"late"}
+
+
+def test_two_inputs_under_one_label_are_an_error(spark):
+    d = spark.createDataFrame([("a-very-long-series-name-1",), ("a-very-long-series-name-2",), ("short",), ("short",)], "raw string")
+    got = nm.label_collisions(d.withColumn("label", nm.sanitize_label(F.col("raw"))), "label", "raw").collect()
+    assert [(r.label, r.first_key, r.last_key) for r in got] == [("a-very-long-series-n", "a-very-long-series-name-1", "a-very-long-series-name-2")]

@@ -176,10 +176,11 @@ def _descend(cand: DataFrame, tgt: DataFrame, size: float, parent: float) -> Dat
     return d.where(near <= F.col("u")).select(*_PID, "weight", "u", "a", "b", "c")
 
 
-def mean_closest_distance(candidate: DataFrame, reference: DataFrame, step: float = 2.0) -> DataFrame:
+def mean_closest_distance(candidate: DataFrame, reference: DataFrame, step: float = 2.0, subjects: DataFrame | None = None) -> DataFrame:
     """Symmetric mean of nearest-point distances between two resampled bundles.
 
-    Every streamline is resampled to max(2, int(length/step)) points and all of them are used.
+    Every streamline is resampled to max(2, int(length/step)) points and all of them are used. A
+    subject of ``subjects`` (by default of either bundle) with an empty bundle has NaN throughout.
     """
     n_out = F.when(F.col("length") < step, F.lit(2)).otherwise(F.greatest(F.lit(2), F.floor(F.col("length") / lit(step))))
     c, r = materialize(resample(candidate, n_out)), materialize(resample(reference, n_out))
@@ -193,9 +194,11 @@ def mean_closest_distance(candidate: DataFrame, reference: DataFrame, step: floa
     g = d.groupBy("subject_id").agg(
         mean(F.col("way") == "c2r").alias("cand_to_ref"), mean(F.col("way") == "r2c").alias("ref_to_cand"),
         (F.sum(w * x) / F.sum(w)).alias("_m"), (F.sum(w * x * x) / F.sum(w)).alias("_q"))
-    return g.select("subject_id", ((F.col("cand_to_ref") + F.col("ref_to_cand")) / 2).alias("symmetric"),
-                    "cand_to_ref", "ref_to_cand",
-                    F.sqrt(F.greatest(F.col("_q") - F.col("_m") * F.col("_m"), lit(0.0))).alias("std"))
+    g = g.select("subject_id", ((F.col("cand_to_ref") + F.col("ref_to_cand")) / 2).alias("symmetric"),
+                 "cand_to_ref", "ref_to_cand",
+                 F.sqrt(F.greatest(F.col("_q") - F.col("_m") * F.col("_m"), lit(0.0))).alias("std"))
+    every = subjects if subjects is not None else c.select("subject_id").union(r.select("subject_id"))
+    return every.select("subject_id").distinct().join(g, "subject_id", "left").na.fill(float("nan"))
 
 
 # ----------------------------------------------------------------------------- run to run

@@ -13,8 +13,9 @@ VOX = ["subject_id", "i", "j", "k"]
 def jacobian(field: DataFrame, spacing: tuple[Column, Column, Column]) -> DataFrame:
     """Determinant of I + grad(u) of a displacement field (ux, uy, uz in mm) per voxel.
 
-    Central differences inside, one-sided at the ends of a line. Each window runs along one voxel
-    line, which is as long as the grid's edge.
+    Central differences where both neighbours are there, one-sided where one is missing (at the ends
+    of a line and beside gaps of a sparse field), no change along an axis without any. Each window
+    runs along one voxel line, which is as long as the grid's edge.
     """
     d = field.withColumns({f"_s{a}": s for a, s in zip("ijk", spacing)})
     for axis in "ijk":
@@ -22,10 +23,9 @@ def jacobian(field: DataFrame, spacing: tuple[Column, Column, Column]) -> DataFr
         step = F.col(f"_s{axis}")
         grads = {}
         for u in ("ux", "uy", "uz"):
-            before, after = F.lag(u).over(w), F.lead(u).over(w)
-            grads[f"_{u}{axis}"] = (
-                F.when(before.isNull(), (after - F.col(u)) / step).when(after.isNull(), (F.col(u) - before) / step)
-                .otherwise((after - before) / (step * lit(2.0))))
+            before = F.when(F.lag(axis).over(w) == F.col(axis) - 1, F.lag(u).over(w))
+            after = F.when(F.lead(axis).over(w) == F.col(axis) + 1, F.lead(u).over(w))
+            grads[f"_{u}{axis}"] = F.coalesce((after - before) / (step * lit(2.0)), (after - F.col(u)) / step, (F.col(u) - before) / step, lit(0.0))
         d = d.withColumns(grads)
     g = {(u, a): F.col(f"_u{u}{a}") for u in "xyz" for a in "ijk"}
     one = lit(1.0)

@@ -58,27 +58,45 @@ def _stats(df: DataFrame, scalars: tuple[str, ...], prefix: str, n_name: str) ->
     return base.join(med, [*SIDE, "scalar"])
 
 
-def scalar_summary(samples: DataFrame, scalars: tuple[str, ...] = C.SCALARS) -> DataFrame:
-    """A5: headline over streamline means (one vote each) and the pool of all samples."""
+def both_sides(subjects: DataFrame) -> DataFrame:
+    """Left and right of every subject."""
+    return subjects.select("subject_id", F.explode(F.array(F.lit("left"), F.lit("right"))).alias("side"))
+
+
+def fill_sides(stats: DataFrame, subjects: DataFrame | None, **more: list) -> DataFrame:
+    """Statistics of nothing are 0: a row for each side of each subject (and each value of ``more``), zeros where it has none."""
+    if subjects is None:
+        return stats
+    every = both_sides(subjects)
+    for name, values in more.items():
+        every = every.withColumn(name, F.explode(F.array(*map(F.lit, values))))
+    return every.join(stats, [*SIDE, *more], "left").na.fill(0)
+
+
+def scalar_summary(samples: DataFrame, scalars: tuple[str, ...] = C.SCALARS, subjects: DataFrame | None = None) -> DataFrame:
+    """A5: headline over streamline means (one vote each) and the pool of all samples.
+
+    With ``subjects`` (subject_id) every side of each has its rows, zeros without samples.
+    """
     samples = materialize(samples.select(*SKEY, *scalars))
     head = _stats(materialize(per_streamline(samples, scalars)), scalars, "", "n_streamlines")
     pool = _stats(samples, scalars, "pool_", "n_samples")
-    return head.join(pool, [*SIDE, "scalar"])
+    return fill_sides(head.join(pool, [*SIDE, "scalar"]), subjects, scalar=list(scalars))
 
 
-def morphology(bundle: DataFrame, vox_points: DataFrame, voxel_volume: Column) -> DataFrame:
-    """A2: streamline count, length statistics, volume of distinct voxels (not bounds-checked)."""
+def morphology(bundle: DataFrame, vox_points: DataFrame, voxel_volume: Column, subjects: DataFrame | None = None) -> DataFrame:
+    """A2: streamline count, length statistics, volume of distinct voxels (not bounds-checked); zeros for an empty side of ``subjects``."""
     a = arc_lengths(bundle.select(*SKEY, "pt_idx", "x", "y", "z"), SKEY).groupBy(*SIDE).agg(
         F.count(F.lit(1)).alias("n_streamlines"), F.avg("length").alias("mean_length"),
         F.stddev_pop("length").alias("std_length"), F.min("length").alias("min_length"),
         F.max("length").alias("max_length"))
     v = vox_points.select(*SIDE, "i", "j", "k").distinct().groupBy(*SIDE).agg(F.count(F.lit(1)).alias("n_voxels"))
-    return a.join(v, SIDE).withColumn("tract_volume", F.col("n_voxels") * voxel_volume).drop("n_voxels")
+    return fill_sides(a.join(v, SIDE).withColumn("tract_volume", F.col("n_voxels") * voxel_volume).drop("n_voxels"), subjects)
 
 
 def tract_profile(bundle: DataFrame, grid: G.Grid | None, maps: DataFrame,
-                  scalars: tuple[str, ...] = C.SCALARS, n_points: int = C.PROFILE_POINTS) -> DataFrame:
-    """Mean value at ``n_points`` places along the lower-to-upper oriented tract.
+                  scalars: tuple[str, ...] = C.SCALARS, n_points: int = C.PROFILE_POINTS, subjects: DataFrame | None = None) -> DataFrame:
+    """Mean value at ``n_points`` places along the lower-to-upper oriented tract; zeros for an empty side of ``subjects``.
 
     Which samples a streamline gives to which place depends only on how many it has, so the
     places (and interpolation weights of short streamlines) are fixed before any map is read and
@@ -113,7 +131,7 @@ def tract_profile(bundle: DataFrame, grid: G.Grid | None, maps: DataFrame,
     e = e.join(maps.select(*VOX, *scalars), VOX, "left")
     g = e.groupBy(*SIDE, "place").agg(*[
         (F.sum(F.coalesce(F.col(c), lit(0.0)) * F.col("w")) / F.sum("w")).alias(c) for c in scalars])
-    return _long(g, [*SIDE, "place"], scalars)
+    return _long(fill_sides(g, subjects, place=list(range(n_points))), [*SIDE, "place"], scalars)
 
 
 def region_means(profile: DataFrame, n_points: int = C.PROFILE_POINTS) -> DataFrame:
@@ -123,24 +141,18 @@ def region_means(profile: DataFrame, n_points: int = C.PROFILE_POINTS) -> DataFr
     return p.groupBy(*SIDE, "scalar", "region").agg(F.avg("value").alias("value"))
 
 
-def empty_safe(stats: DataFrame, sides: DataFrame) -> DataFrame:
-    """Statistics of nothing are 0: adds zero rows for (subject, side, scalar) without samples."""
-    s = sides.join(stats, [*SIDE, "scalar"], "left")
-    return s.na.fill(0)
-
-
 def metrics_long(bundle: DataFrame, grid: G.Grid, maps: DataFrame,
-                 scalars: tuple[str, ...] = C.SCALARS) -> DataFrame:
-    """All metrics of a bundle as (subject_id, side, metric, value)."""
+                 scalars: tuple[str, ...] = C.SCALARS, subjects: DataFrame | None = None) -> DataFrame:
+    """All metrics of a bundle as (subject_id, side, metric, value); zeros for an empty side of ``subjects``."""
     v = materialize(voxelise(bundle, grid))
     bundle = v
-    morph = morphology(bundle, v, lit(grid.voxel_volume)).unpivot(
+    morph = morphology(bundle, v, lit(grid.voxel_volume), subjects).unpivot(
         SIDE, ["n_streamlines", "mean_length", "std_length", "min_length", "max_length", "tract_volume"], "metric", "value")
-    summ = scalar_summary(sample(v, maps, scalars), scalars).withColumnRenamed("n_streamlines", "n_sampled")
+    summ = scalar_summary(sample(v, maps, scalars), scalars, subjects).withColumnRenamed("n_streamlines", "n_sampled")
     summ = summ.withColumns({c: F.col(c).cast("double") for c in ("n_sampled", "n_samples")})
     summ = summ.unpivot([*SIDE, "scalar"], [c for c in summ.columns if c not in (*SIDE, "scalar")], "stat", "value") \
         .select(*SIDE, F.concat_ws("_", "scalar", "stat").alias("metric"), "value")
-    reg = region_means(tract_profile(bundle, grid, maps, scalars)) \
+    reg = region_means(tract_profile(bundle, grid, maps, scalars, subjects=subjects)) \
         .select(*SIDE, F.concat_ws("_", "scalar", "region").alias("metric"), "value")
     return morph.unionByName(summ).unionByName(reg)
 
@@ -155,14 +167,12 @@ def comparison_metrics(scalars: tuple[str, ...] = C.SCALARS) -> dict[str, str]:
 def compare_sides(metrics: DataFrame, names: dict[str, str] | None = None) -> DataFrame:
     """Left and right value of each compared metric with its laterality row.
 
-    Both sides of a metric meet in one grouped pass; a metric present on one side only is left out.
+    Both sides of a metric meet in one grouped pass; a side without the metric counts as 0.
     """
     names = names or comparison_metrics()
     label = F.create_map(*[F.lit(x) for name, metric in names.items() for x in (metric, name)])
     m = metrics.where(F.col("metric").isin(*names.values()))
     g = m.groupBy("subject_id", "metric").agg(
-        F.max(F.when(F.col("side") == "left", F.col("value"))).alias("left_value"),
-        F.max(F.when(F.col("side") == "right", F.col("value"))).alias("right_value"))
-    g = g.where(F.col("left_value").isNotNull() & F.col("right_value").isNotNull())
+        *[F.coalesce(F.max(F.when(F.col("side") == s, F.col("value"))), lit(0.0)).alias(f"{s}_value") for s in ("left", "right")])
     return g.select("subject_id", label[F.col("metric")].alias("quantity"), "left_value", "right_value",
                     *[c.alias(n) for n, c in li_columns(F.col("left_value"), F.col("right_value")).items()])

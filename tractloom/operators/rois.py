@@ -162,13 +162,24 @@ def midline_x(space: DataFrame, subjects: DataFrame, grid: G.Grid | None = None)
 
 
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
-def _line_distance(line: pd.Series, spacing: pd.Series) -> pd.Series:
-    """Squared distance along one dense voxel line: min over m of line[m] + (spacing*(n-m))^2."""
+def _line_distance(places: pd.Series, values: pd.Series, low: pd.Series, high: pd.Series, spacing: pd.Series) -> pd.Series:
+    """Squared distances at the places low..high of each line: min over its known places m of value + (spacing * (n - m))^2.
+
+    Lines are padded to one length and computed together, some hundred thousand numbers at a time.
+    """
+    known = places.map(len).to_numpy()
+    at, of = np.full((len(known), known.max()), 0.0), np.full((len(known), known.max()), np.inf)
+    row, col = np.repeat(np.arange(len(known)), known), np.concatenate([np.arange(k) for k in known])
+    at[row, col], of[row, col] = np.concatenate(places.to_numpy()), np.concatenate(values.to_numpy())
+    lo, length, s = low.to_numpy(), (high - low + 1).to_numpy(), spacing.to_numpy()
+    steps = np.arange(length.max())
+    each = max(1, 500_000 // (len(steps) * at.shape[1]))
     out = []
-    for d, s in zip(line, spacing):
-        v = np.asarray(d, dtype=float)
-        step = (np.arange(v.size)[:, None] - np.arange(v.size)[None, :]) * s
-        out.append((v[None, :] + step * step).min(axis=1))
+    for k in range(0, len(known), each):
+        part = slice(k, k + each)
+        gap = (lo[part, None, None] + steps[None, :, None] - at[part, None, :]) * s[part, None, None]
+        nearest = (of[part, None, :] + gap * gap).min(axis=2)
+        out += [nearest[i, :n] for i, n in enumerate(length[part])]
     return pd.Series(out)
 
 
@@ -176,27 +187,26 @@ def midline_distance(space: DataFrame, sizes: tuple[Column, Column, Column],
                      grid: G.Grid | None = None) -> DataFrame:
     """Exact Euclidean distance (mm) to the boundary, negative on the left, 0 outside brain.
 
-    The separable transform: one pass along each axis over whole voxel lines. A line is one row
-    of the grid, so a group holds at most a grid's edge length of voxels.
+    The separable transform on voxel indices, so ``space`` may be sparse: one pass along each axis
+    over the lines that hold a known squared distance, which fills these lines between the
+    subject's first and last index. A line holds at most a grid's edge length of voxels. Only the
+    squared distance travels; sides and brain are joined at the end. A brain voxel of a subject
+    without any boundary has no distance (NULL).
     """
-    b = midline_boundary(space, grid).select(*VOX, F.lit(True).alias("_b"))
-    inf = lit(float("inf"))
-    d = space.join(b, VOX, "left").select(
-        *VOX, "left", "brain", *[s.alias(f"_s{a}") for a, s in zip("ijk", sizes)],
-        F.when(F.col("_b"), lit(0.0)).otherwise(inf).alias("d2"))
+    s = space.withColumns({f"_s{a}": c for a, c in zip("ijk", sizes)})
+    frame = s.groupBy("subject_id").agg(
+        *[f(a).alias(f"{n}_{a}") for a in "ijk" for n, f in (("lo", F.min), ("hi", F.max))], *[F.first(f"_s{a}").alias(f"_s{a}") for a in "ijk"])
+    d = midline_boundary(space, grid).select(*VOX, lit(0.0).alias("d2"))
     for axis in "kji":
         others = [a for a in "ijk" if a != axis]
-        line = (d.groupBy("subject_id", *others)
-                .agg(F.array_sort(F.collect_list(F.struct(axis, "d2", "left", "brain"))).alias("_l"),
-                     *[F.first(f"_s{a}").alias(f"_s{a}") for a in "ijk"]))
-        line = line.withColumn("_d", _line_distance(F.col("_l.d2"), F.col(f"_s{axis}")))
-        d = line.select("subject_id", *others, "_si", "_sj", "_sk",
-                        F.explode(F.arrays_zip("_l", "_d")).alias("_z"))
-        d = d.select("subject_id", *others, F.col(f"_z._l.{axis}").alias(axis), "_si", "_sj", "_sk",
-                     F.col("_z._l.left").alias("left"), F.col("_z._l.brain").alias("brain"),
-                     F.col("_z._d").alias("d2"))
+        line = d.groupBy("subject_id", *others).agg(F.collect_list(F.struct(axis, "d2")).alias("_l"))
+        line = line.join(frame.select("subject_id", f"lo_{axis}", f"hi_{axis}", f"_s{axis}"), "subject_id")
+        along = _line_distance(F.col(f"_l.{axis}"), F.col("_l.d2"), F.col(f"lo_{axis}"), F.col(f"hi_{axis}"), F.col(f"_s{axis}"))
+        d = line.select("subject_id", *others, f"lo_{axis}", F.posexplode(along).alias("_n", "d2"))
+        d = d.select("subject_id", *others, (F.col(f"lo_{axis}") + F.col("_n")).cast("int").alias(axis), "d2")
+    out = space.select(*VOX, "left", "brain").join(d, VOX, "left")
     dist = F.sqrt("d2")
-    return d.select(*VOX, F.when(~F.col("brain"), lit(0.0)).when(F.col("left"), -dist).otherwise(dist).alias("distance"))
+    return out.select(*VOX, F.when(~F.col("brain"), lit(0.0)).when(F.col("left"), -dist).otherwise(dist).alias("distance"))
 
 
 def label_inventory(labels: DataFrame, subjects: DataFrame, expected: list[int]) -> DataFrame:

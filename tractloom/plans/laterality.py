@@ -14,13 +14,13 @@ def fa_laterality(points: DataFrame, grid: G.Grid, roi_voxels: DataFrame, maps:
     """Select left and right streamlines, average FA per streamline, compare the sides.
 
     Vertices are exchanged once by voxel (regions and FA joined together) and once by streamline
-    block (lengths); everything after is one row per streamline.
+    block (lengths); everything after is one row per streamline. A subject without selected
+    streamlines keeps its row; an empty side is 0.
     """
     t = extract.assign_fates(extract.streamline_table(points, grid, roi_voxels, maps.select(
         "subject_id", "i", "j", "k", "fa"), ("fa",)), band)
-    kept = t.where(F.col("fate").isin("left", "right") & F.col("fa_mean").isNotNull())
-    g = kept.groupBy("subject_id").agg(
-        *[f(F.when(F.col("fate") == s, F.col("fa_mean"))).alias(f"{s}_{n}")
+    g = t.groupBy("subject_id").agg(
+        *[F.coalesce(f(F.when(F.col("fate") == s, F.col("fa_mean"))), F.lit(0)).alias(f"{s}_{n}")
           for s in ("left", "right") for n, f in (("n", F.count), ("fa", F.avg))])
     return g.select("subject_id", "left_n", "right_n", "left_fa", "right_fa",
                     *[c.alias(n) for n, c in li_columns(F.col("left_fa"), F.col("right_fa")).items()])

@@ -10,7 +10,7 @@ from tractloom.operators import acquisition as aq, cohort as co, metrics as me
 from tractloom.plans import fixtures as fx
 from tractloom.plans.fixtures import GRID, SQL_GRADIENTS, r6
 from tractloom.plans.q_acquisition import DIRS
-from tractloom.plans.q_metrics import ALL_METRICS, bundles
+from tractloom.plans.q_metrics import ALL_METRICS, bundles, subjects
 from tractloom.plans.registry import query
 from tractloom.sources import files as fl, tables as tb
 
@@ -221,7 +221,7 @@ def s9(spark, sf):
 # ----------------------------------------------------------------------- reports S10-S12
 
 def _metric_columns(spark, sf):
-    m = materialize(me.metrics_long(bundles(spark, sf), GRID, fx.voxels(spark)))
+    m = materialize(me.metrics_long(bundles(spark, sf), GRID, fx.voxels(spark), subjects=subjects(spark, sf)))
     return co.side_columns(m, me.compare_sides(m))
 
 

@@ -46,6 +46,29 @@ def w4(spark, sf):
     return _dets(spark, sf).withColumn("det", rnd(F.col("det")))
 
 
+def _near(u: str, axis: str, size: str) -> str:
+    return f"coalesce((a{axis}.{u} - b{axis}.{u}) / (2e0 * {size}), (a{axis}.{u} - f.{u}) / {size}, (f.{u} - b{axis}.{u}) / {size}, 0e0)"
+
+
+_SIZES = (("i", "abs(sx)"), ("j", "sqrt(sh*sh + 4e0)"), ("k", "25e-1"))
+
+
+def _beside(name: str, axis: str, step: int) -> str:
+    on = " AND ".join(f"{name}.{a} = f.{a}" + (f" + {step}" if a == axis else "") for a in "ijk")
+    return f"LEFT JOIN fls {name} ON {name}.subject_id = f.subject_id AND {on}"
+
+
+@query("W4_jacobian_sparse", VG + FIELD + f""",
+fls AS (SELECT * FROM fld WHERE (i + 2*j + k*k + subject_id) % 3 > 0 AND (subject_id % 5 > 0 OR k = 4)),
+g AS (SELECT f.subject_id, f.i, f.j, f.k, {", ".join(f"{_near('u' + u, a, s)} AS {u}{a}" for u in "xyz" for a, s in _SIZES)}
+  FROM fls f JOIN grd r ON f.subject_id = r.subject_id {" ".join(_beside(f"{n}{a}", a, d) for a in "ijk" for n, d in (("b", -1), ("a", 1)))})
+SELECT subject_id, i, j, k, {r6('(1+xi)*((1+yj)*(1+zk) - yk*zj) - xj*(yi*(1+zk) - yk*zi) + xk*(yi*zj - (1+yj)*zi)')} AS det FROM g""")
+def w4_sparse(spark, sf):
+    f = _field(spark, sf).where("(i + 2*j + k*k + subject_id) % 3 > 0 and (subject_id % 5 > 0 or k = 4)")
+    d = fd.jacobian(G.attach_grid(f, fx.volume_grids(spark, sf)), G.voxel_size_columns(F.col("affine")))
+    return d.select("subject_id", "i", "j", "k", rnd(F.col("det")).alias("det"))
+
+
 @query("A15_jacobian_sides", JAC + f""" SELECT subject_id, CASE WHEN i < 6 THEN 'left' ELSE 'right' END AS side, {r6('avg(det)')} AS mean, {r6('stddev_pop(det)')} AS std,
   {r6('count(*) FILTER (det < 0) * 100e0 / count(*)')} AS negative_pct FROM jac GROUP BY 1, 2""")
 def a15(spark, sf):

@@ -166,6 +166,20 @@ def a17(spark, sf):
     return d.withColumn("distance", rnd(F.col("distance")))
 
 
+_SPARSE = "(i + 2*j + k + subject_id) % 3 > 0 AND (subject_id % 7 > 0 OR lft)"  # a third of the voxels is missing; every seventh subject has one side only
+
+
+@query("A17_distance_sparse", WITH + BOUND.replace("spc AS (", "sp0 AS (", 1).replace("rgt AS (", f"spc AS (SELECT * FROM sp0 WHERE {_SPARSE}), rgt AS (", 1) + f""",
+sz AS (SELECT subject_id, abs(sx) AS vx, sqrt(sh*sh + 4e0) AS vy, 25e-1 AS vz FROM grd),
+dst AS (SELECT s.subject_id, s.i, s.j, s.k, sqrt(min(((s.i-b.i)*vx)*((s.i-b.i)*vx) + ((s.j-b.j)*vy)*((s.j-b.j)*vy) + ((s.k-b.k)*vz)*((s.k-b.k)*vz))) AS d
+  FROM spc s JOIN bnd b USING (subject_id) JOIN sz USING (subject_id) WHERE s.brain GROUP BY ALL)
+SELECT s.subject_id, s.i, s.j, s.k, {r6('CASE WHEN NOT brain THEN 0e0 WHEN lft THEN -d ELSE d END')} AS distance
+FROM spc s LEFT JOIN dst d ON s.subject_id = d.subject_id AND s.i = d.i AND s.j = d.j AND s.k = d.k""")
+def a17_sparse(spark, sf):
+    d = rois.midline_distance(_space(spark, sf).where(_SPARSE.replace("lft", "left")), G.voxel_size_columns(F.col("affine")))
+    return d.withColumn("distance", rnd(F.col("distance")))
+
+
 @query("A18_label_inventory", WITH + SPLIT + """,
 f AS (SELECT subject_id, label2 AS label, count(*) AS voxels FROM hem WHERE label2 > 0 GROUP BY 1, 2),
 e AS (SELECT s_suppkey AS subject_id, CAST(unnest([7, 107, 8, 55]) AS INT) AS label FROM supplier WHERE s_suppkey % 3 > 0
