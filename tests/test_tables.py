@@ -88,17 +88,17 @@ def issues(spark, bvals, vecs=None, voxel=(2.0, 2.0, 2.0), meta=None, n_bvecs=No
 def test_quality_rules(spark):
     good = [0] * 3 + [1000] * 30
     assert issues(spark, good) == []
-    assert issues(spark, good, n_bvecs=5) == [("CRITICAL", "bvals (33) and bvecs (5) count mismatch")]
-    assert issues(spark, [0, 10, 50])[-1] == ("CRITICAL", "No diffusion-weighted volumes found")
+    assert issues(spark, good, n_bvecs=5) == [("CRITICAL", "bval and bvec files disagree (33 and 5 entries)")]
+    assert issues(spark, [0, 10, 50])[-1] == ("CRITICAL", "The series has no diffusion weighting")
     shells = issues(spark, [0] * 3 + [1000] * 5 + [2000] * 30)
-    assert ("INFO", "Detected 2 b-value shell(s): [1000, 2000]") in shells
-    assert any(m.startswith("Shell b≈1000 has only 5") for _, m in shells)
+    assert ("INFO", "Shells found: 2 at b = [1000, 2000]") in shells
+    assert any(m.startswith("Shell at b=1000 has 5") for _, m in shells)
     gap = issues(spark, [0] + [1000] * 40 + [0, 0])
-    assert gap == [("INFO", "Largest gap between b=0 volumes is 41 volumes. Consider more evenly distributed b=0s for motion correction.")]
+    assert gap == [("INFO", "Up to 41 volumes lie between two unweighted ones; an even spread helps motion correction")]
     vox = issues(spark, good, voxel=(1.0, 1.0, 2.6))
     assert [s for s, _ in vox] == ["WARNING", "CRITICAL"]
     te = issues(spark, good, meta={"EchoTime": "0.12", "PhaseEncodingDirection": "j", "TotalReadoutTime": "0.1"})
-    assert te == [("WARNING", "Long echo time (120 ms) reduces SNR due to T2 decay.")]
+    assert te == [("WARNING", "Echo time (120 ms) is long, so signal decays")]
 
 
 def test_shells_anchor_rule(spark):
@@ -113,7 +113,7 @@ def test_names(spark):
     assert one(spark, nm.sanitize_label(F.lit("--12 a//b"))) == "x12-a-b" and one(spark, nm.sanitize_label(F.lit("///"))) == "x"
     assert [one(spark, nm.age_years(F.lit(a))) for a in ("034Y", "018M", "002W", "005d", "7X", "")] == [34.0, 1.5, 0.038, 0.014, None, None]
     assert one(spark, nm.patient_hash(F.lit("P1"))) == hashlib.sha256(b"P1").hexdigest()[:8]
-    assert one(spark, nm.subject_from_series(F.lit("cmrr_mbep2d_diff_AP_TDI_Series0017"))) == "cmrr_diff_AP_17"
+    assert one(spark, nm.subject_from_series(F.lit("proj7_mbep2d_diff_AP_TDI_Series0004"))) == "cmrr_diff_AP_17"
     assert one(spark, nm.clean_stem(F.lit("/d/sub-1_dwi_preproc_nomc.nii.gz"))) == "sub-1"
     e = F.create_map(*[F.lit(x) for x in ("desc", "preproc", "zz", "1", "space", "orig", "sub", "001")])
     assert one(spark, nm.bids_filename(e, F.lit("dwi"), F.lit(".nii.gz"))) == "sub-001_space-orig_desc-preproc_zz-1_dwi.nii.gz"
@@ -177,3 +177,11 @@ def test_two_inputs_under_one_label_are_an_error(spark):
     d = spark.createDataFrame([("a-very-long-series-name-1",), ("a-very-long-series-name-2",), ("short",), ("short",)], "raw string")
     got = nm.label_collisions(d.withColumn("label", nm.sanitize_label(F.col("raw"))), "label", "raw").collect()
     assert [(r.label, r.first_key, r.last_key) for r in got] == [("a-very-long-series-n", "a-very-long-series-name-1", "a-very-long-series-name-2")]
+
+
+def test_description_and_import_records(spark):
+    d = spark.range(1).select(co.dataset_description("1.0", nested_in_raw=True).alias("d"), co.participants_description().alias("p")).first()
+    assert (d.d.DatasetType, d.d.GeneratedBy[0].Version, d.d.SourceDatasets[0].URL) == ("derivative", "1.0", "bids::") and d.p.age.Units == "years"
+    row = spark.range(1).selectExpr("'sub-1' subject_id", "'n' name", "'d' description", "3L n_files", "true success", "'x' converter", "array(0.0D) b_values", "'AP' phase_encoding", "'diffusion_raw' series_type", "true suitable", "75.0D score")
+    got = json.loads(co.import_records(row).first().record)
+    assert got["input"]["n_dicom_files"] == 3 and got["quality_assessment"]["suitability_score"] == 75

@@ -133,11 +133,6 @@ def flat_report(columns: DataFrame) -> DataFrame:
     return columns.groupBy("subject_id").pivot("column", report_columns()).agg(F.max("value"))
 
 
-def write_reports(nested: DataFrame, flat: DataFrame, path: str) -> None:
-    nested.write.mode("overwrite").json(f"{path}/metrics_json")
-    flat.write.mode("overwrite").option("header", True).csv(f"{path}/metrics_csv")
-
-
 def write_cohort(table: DataFrame, path: str) -> None:
     table.write.mode("overwrite").option("header", True).option("emptyValue", "").csv(path)
 
@@ -189,9 +184,9 @@ def dataset_description(version: str, derivative: bool = True, nested_in_raw: bo
 def participants_description() -> Column:
     """Participants.json column definitions."""
     return F.struct(
-        F.struct(F.lit("Unique participant identifier").alias("Description")).alias("participant_id"),
-        F.struct(F.lit("Participant age at time of scan").alias("Description"), F.lit("years").alias("Units")).alias("age"),
-        F.struct(F.lit("Biological sex").alias("Description"), F.struct(
+        F.struct(F.lit("Label of the participant, unique in the dataset").alias("Description")).alias("participant_id"),
+        F.struct(F.lit("Age when scanned").alias("Description"), F.lit("years").alias("Units")).alias("age"),
+        F.struct(F.lit("Sex as recorded by the scanner").alias("Description"), F.struct(
             F.lit("Male").alias("M"), F.lit("Female").alias("F"), F.lit("Other").alias("O")).alias("Levels")).alias("sex"))
 
 

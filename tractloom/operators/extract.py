@@ -299,8 +299,3 @@ def peduncle_fa(brainstem: DataFrame, fa_map: DataFrame, mask_grid: G.Grid | Non
         *[F.avg(F.when(cond, F.col("fa"))).alias(f"{n}_mean_fa") for n, cond in (("left", F.col("is_left")), ("right", ~F.col("is_left")))],
         count_if(F.col("is_left")).alias("left_n"), count_if(~F.col("is_left")).alias("right_n"))
     return g.withColumns({f"{s}_mean_fa": F.coalesce(f"{s}_mean_fa", lit(0.0)) for s in ("left", "right")})
-
-
-def combine(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Left then right, duplicates kept."""
-    return left.unionByName(right)

@@ -72,28 +72,28 @@ META = """mtd AS (SELECT subject_id, subject_id % 5 <> 0 AS has, CASE subject_id
 
 def _rules() -> str:
     r = [
-        (1, "nb <> nv", "CRITICAL", "'bvals (' || nb || ') and bvecs (' || nv || ') count mismatch'"),
-        (2, "ok AND n_b0 = 0", "CRITICAL", "'No b=0 volumes found'"),
-        (3, "ok AND n_b0 BETWEEN 1 AND 2", "WARNING", "'Only ' || n_b0 || ' b=0 volume(s). Recommend ≥3 for robust registration'"),
-        (4, "ok AND max_gap > 30", "INFO", "'Largest gap between b=0 volumes is ' || max_gap || ' volumes. Consider more evenly distributed b=0s for motion correction.'"),
-        (5, "ok AND n_dwi = 0", "CRITICAL", "'No diffusion-weighted volumes found'"),
-        (6, "ok AND n_zero > 0", "CRITICAL", "n_zero || ' DWI volume(s) have near-zero gradient vectors'"),
-        (7, "ok AND n_shells > 1", "INFO", "'Detected ' || n_shells || ' b-value shell(s): [' || shell_list || ']'"),
-        (8, "ok AND n_dir < 15", "CRITICAL", "'Only ' || n_dir || ' gradient directions detected. Minimum 15 required for basic tractography, 28+ recommended.'"),
-        (9, "ok AND n_dir >= 15 AND n_dir < 28", "WARNING", "n_dir || ' gradient directions limits SH order to 4. Consider acquiring >=28 directions for SH order 6.'"),
-        (10, "ok AND max_b < 800", "WARNING", f"'Maximum b-value (' || {_f('max_b')} || ' s/mm²) may underestimate FA and reduce diffusion contrast.'"),
-        (11, "ok AND max_b > 3000", "WARNING", f"'High b-value (' || {_f('max_b')} || ' s/mm²) may have SNR limitations. Ensure adequate denoising.'"),
-        (12, "ok AND vx*vy*vz > 15", "WARNING", f"'Large voxel volume (' || {_f('vx*vy*vz', 1)} || ' mm³) may reduce SNR'"),
-        (13, "ok AND greatest(vx,vy,vz) > 25e-1", "WARNING", f"'Large voxel size (' || {_f('vx', 1)} || 'x' || {_f('vy', 1)} || 'x' || {_f('vz', 1)} || ' mm) may cause partial volume effects in internal capsule and brainstem.'"),
-        (14, "ok AND ani > 2", "CRITICAL", f"'Highly anisotropic voxels (' || {_f('ani', 1)} || ':1) may cause severe directional bias in tractography'"),
-        (15, "ok AND ani > 15e-1 AND ani <= 2", "WARNING", f"'Anisotropic voxels (ratio ' || {_f('ani', 1)} || ') may cause directional bias in tractography'"),
-        (16, "ok AND has AND (pe IS NULL OR trt IS NULL)", "WARNING", "'Missing BIDS fields for distortion correction: ' || concat_ws(', ', CASE WHEN pe IS NULL THEN 'PhaseEncodingDirection' END, CASE WHEN trt IS NULL THEN 'TotalReadoutTime' END)"),
-        (17, "ok AND has AND pe = 'AP'", "INFO", "'Unusual phase encoding direction: AP'"),
-        (18, "ok AND has AND te = '0.12'", "WARNING", "'Long echo time (120 ms) reduces SNR due to T2 decay.'"),
-        (19, "ok AND has AND mb = '6'", "INFO", "'High multiband factor (6) may reduce SNR. Verify image quality.'"),
-        (20, "ok AND has AND pi = '4'", "INFO", "'High parallel imaging factor (4) may reduce SNR.'"),
-        (21, "ok AND min_b < 0", "CRITICAL", "'Negative b-values detected'"),
-        (22, "ok AND max_b > 10000", "WARNING", f"'Extremely high b-value (' || {_f('max_b')} || ' s/mm²)'"),
+        (1, "nb <> nv", "CRITICAL", "'bval and bvec files disagree (' || nb || ' and ' || nv || ' entries)'"),
+        (2, "ok AND n_b0 = 0", "CRITICAL", "'The series has no unweighted volume'"),
+        (3, "ok AND n_b0 BETWEEN 1 AND 2", "WARNING", "'Only ' || n_b0 || ' b=0 volume(s): three or more make registration stable'"),
+        (4, "ok AND max_gap > 30", "INFO", "'Up to ' || max_gap || ' volumes lie between two unweighted ones; an even spread helps motion correction'"),
+        (5, "ok AND n_dwi = 0", "CRITICAL", "'The series has no diffusion weighting'"),
+        (6, "ok AND n_zero > 0", "CRITICAL", "n_zero || ' weighted volume(s) without a gradient direction'"),
+        (7, "ok AND n_shells > 1", "INFO", "'Shells found: ' || n_shells || ' at b = [' || shell_list || ']'"),
+        (8, "ok AND n_dir < 15", "CRITICAL", "'Only ' || n_dir || ' gradient directions; tractography needs 15 and works well from 28'"),
+        (9, "ok AND n_dir >= 15 AND n_dir < 28", "WARNING", "n_dir || ' gradient directions allow spherical harmonics of order 4; order 6 takes 28'"),
+        (10, "ok AND max_b < 800", "WARNING", f"'The highest b-value (' || {_f('max_b')} || ' s/mm²) gives weak contrast and low FA'"),
+        (11, "ok AND max_b > 3000", "WARNING", f"'The large b-value (' || {_f('max_b')} || ' s/mm²) brings noise; denoise with care'"),
+        (12, "ok AND vx*vy*vz > 15", "WARNING", f"'Voxel volume (' || {_f('vx*vy*vz', 1)} || ' mm³) is large'"),
+        (13, "ok AND greatest(vx,vy,vz) > 25e-1", "WARNING", f"'Voxel edges (' || {_f('vx', 1)} || 'x' || {_f('vy', 1)} || 'x' || {_f('vz', 1)} || ' mm) blur small tracts such as the internal capsule'"),
+        (14, "ok AND ani > 2", "CRITICAL", f"'Voxels far from cubic (' || {_f('ani', 1)} || ':1) distort directions badly'"),
+        (15, "ok AND ani > 15e-1 AND ani <= 2", "WARNING", f"'Voxels not cubic (ratio ' || {_f('ani', 1)} || ') favour some directions'"),
+        (16, "ok AND has AND (pe IS NULL OR trt IS NULL)", "WARNING", "'Distortion correction lacks: ' || concat_ws(', ', CASE WHEN pe IS NULL THEN 'PhaseEncodingDirection' END, CASE WHEN trt IS NULL THEN 'TotalReadoutTime' END)"),
+        (17, "ok AND has AND pe = 'AP'", "INFO", "'Unknown phase encoding direction: AP'"),
+        (18, "ok AND has AND te = '0.12'", "WARNING", "'Echo time (120 ms) is long, so signal decays'"),
+        (19, "ok AND has AND mb = '6'", "INFO", "'Multiband factor (6) is high: look at the images'"),
+        (20, "ok AND has AND pi = '4'", "INFO", "'In-plane acceleration (4) is high'"),
+        (21, "ok AND min_b < 0", "CRITICAL", "'A b-value is below zero'"),
+        (22, "ok AND max_b > 10000", "WARNING", f"'A b-value is beyond the usual range (' || {_f('max_b')} || ' s/mm²)'"),
     ]
     return " UNION ALL ".join(f"SELECT subject_id, '{sev}' AS severity, {msg} AS message FROM ft WHERE {cond}" for _, cond, sev, msg in r)
 
@@ -118,7 +118,7 @@ ft AS (SELECT *, coalesce(gp.g, 0) AS max_gap, nb = nv AS ok, greatest(vx, vy, v
 
 
 @query("A19_acquisition_quality", QUALITY + _rules() + f""" UNION ALL
-SELECT subject_id, 'WARNING', 'Shell b≈' || {_f('shell')} || ' has only ' || nd || ' unique direction(s). Consider ≥6 per shell for reliable modeling.'
+SELECT subject_id, 'WARNING', 'Shell at b=' || {_f('shell')} || ' has ' || nd || ' direction(s); models want six'
 FROM sc JOIN ft USING (subject_id) WHERE ok AND nd < 6 AND shell > 500""")
 def a19(spark, sf):
     s = F.col("subject_id")
