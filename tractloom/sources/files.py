@@ -15,7 +15,7 @@ from tractloom.functions.stage import materialize
 
 
 def list_files(spark: SparkSession, root: str, magic: bool = False) -> DataFrame:
-    """Listing of a folder; with ``magic`` only extension-less files have their head looked at."""
+    """Listing of a folder; with ``magic`` files without an extension are read for their magic, all others are judged by name."""
     base = root.rstrip("/")
     opts = {"recursiveFileLookup": "true"}
     rel = F.regexp_replace("path", "^.*?" + base.replace(".", "\\.") + "/", "")
@@ -23,7 +23,7 @@ def list_files(spark: SparkSession, root: str, magic: bool = False) -> DataFrame
     files = found.select(rel.alias("path"), F.col("length").alias("size"))
     if not magic:
         return files.withColumn("magic", F.lit(False))
-    head = found.where(~is_dicom_name(F.col("path"))).select(
+    head = found.where(~_name(F.col("path")).contains(".")).select(
         rel.alias("path"), (F.substring("content", 129, 4) == F.lit(b"DICM")).alias("magic"))
     return files.join(head, "path", "left").withColumn("magic", F.coalesce("magic", F.lit(False)))
 
