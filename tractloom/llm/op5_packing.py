@@ -25,7 +25,7 @@ END_ID = 2
 #: Pieces of a group, on average.
 GROUP = 4096
 SEED = 11
-#: Encoded words that a worker keeps; rows of one output batch.
+#: Encoded words in a generation that a worker keeps; rows of one output batch.
 CACHE, ROWS = 400_000, 256
 
 
@@ -36,23 +36,36 @@ class Words:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.known: dict[str, bytes] = {"": b""}
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.ends = {c: self._library(c) for c in ".,"}
+
+    def _library(self, word: str) -> bytes:
+        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def _word(self, word: str) -> bytes:
+        """Ids of a word that is not among the recent ones.
+
+        Two generations are kept: what the older one still has moves to the younger, and the older is dropped when the
+        younger is full. A sign after a letter is a pre-token of its own, and plain letters have the ids of their small forms.
+        """
+        ids = self.older.get(word)
+        if ids is None:
+            if word[-1:] in self.ends and word[-2:-1].isalpha():
+                return (self.known.get(word[:-1]) or self._word(word[:-1])) + self.ends[word[-1]]
+            if word.isascii() and word.isalpha() and word != (small := word.lower()):
+                return self.known.get(small) or self._word(small)
+            ids = self._library(word)
         if len(self.known) >= CACHE:
-            self.known = {"": b""}
-        ids = self.known[word] = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
+            self.older, self.known = self.known, {}
+        self.known[word] = ids
         return ids
 
     def encode(self, text: str | None) -> bytes:
         """Ids of a text as little-endian unsigned 32-bit integers; none for null."""
         if not text:
             return b""
-        known, words = self.known.get, text.replace("\n", " ").split(" ")
-        found = [known(w) for w in words]
-        if None in found:
-            found = [self._word(w) if f is None else f for f, w in zip(found, words)]
-        return b"".join(found)
+        return b"".join([self.known.get(w) or self._word(w) for w in text.replace("\n", " ").split(" ") if w])
 
 
 @functools.lru_cache(maxsize=4)
