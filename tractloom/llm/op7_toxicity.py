@@ -12,21 +12,22 @@ Insult words and stems are a small seed list plus those that labelled texts show
 
 from __future__ import annotations
 
+import heapq
 import math
 import re
 from collections import Counter
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import xxhash
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tractloom.functions.stage import materialize
 from tractloom.llm.common import fit_logistic, labelled_sample, read, remainder
 
 DIVISOR, HELD_OUT = 4, 2
-#: Bounds of the fit: labelled texts of either class, and words and stems of the learned lexicon.
+#: Bound of the fit: labelled texts of either class.
 TRAIN_PER_CLASS = 4000
-LEXICON = 4000
 THRESHOLD = 0.3
 #: A learned word or stem is in this many toxic texts at least, and this share of its texts is toxic.
 SUPPORT, PRECISION = 4, 0.95
@@ -137,11 +138,18 @@ def prior() -> np.ndarray:
 def _terms(batches):
     for batch in batches:
         counts: dict[int, Counter] = {0: Counter(), 1: Counter()}
-        for text, y in zip(batch["text"], batch["y"]):
+        who: tuple[Counter, Counter] = (Counter(), Counter())
+        for doc, text, y in zip(batch["doc_id"], batch["text"], batch["y"]):
             words = {t for t in _TOKEN.findall(text.lower()) if t not in _END} if text else set()
-            counts[int(y)].update(words | {w[:n] + "*" for w in words for n in range(*STEM) if len(w) > n})
+            held = words | {w[:n] + "*" for w in words for n in range(*STEM) if len(w) > n}
+            counts[int(y)].update(held)
+            if y:
+                high, low = divmod(xxhash.xxh64_intdigest(f"{doc} {text}"), 1 << 32)  # halves, so that no sum overflows
+                for t in held:
+                    who[0][t] += high
+                    who[1][t] += low
         terms = list(counts[0].keys() | counts[1].keys())
-        yield pd.DataFrame({"term": terms, "toxic": [counts[1][t] for t in terms], "clean": [counts[0][t] for t in terms]})
+        yield pd.DataFrame({"term": terms, "toxic": [counts[1][t] for t in terms], "clean": [counts[0][t] for t in terms], "who": [who[0][t] for t in terms], "who2": [who[1][t] for t in terms]})
 
 
 def _held(candidates: list[str]):
@@ -169,15 +177,20 @@ def cover(held: list[list[int]], n: int) -> list[int]:
         for c in candidates:
             where[c].append(text)
     need = [len(w) for w in where]
+    queue = [(-k, c) for c, k in enumerate(need)]  # needs only shrink, so an entry that is still true is the largest
+    heapq.heapify(queue)
     taken = []
-    while n and need[best := max(range(n), key=need.__getitem__)] >= SUPPORT:
+    while queue and -queue[0][0] >= SUPPORT:
+        known, best = heapq.heappop(queue)
+        if need[best] != -known:
+            heapq.heappush(queue, (-need[best], best))
+            continue
         taken.append(best)
         for text in where[best]:
             left[text] -= 1
             if left[text] == 0:
                 for c in held[text]:
                     need[c] -= 1
-        need[best] = 0
     return taken
 
 
@@ -185,12 +198,15 @@ def learn(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, float], np.ndar
     """Lexicon and weights from a bounded sample of the learning rows; without labels the seeds and the prior."""
     may = remainder("doc_id", DIVISOR) != HELD_OUT
     sample = materialize(labelled_sample(docs, labels, "toxic", may, TRAIN_PER_CLASS))
-    terms = sample.mapInPandas(_terms, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    terms = sample.mapInPandas(_terms, "term string, toxic long, clean long, who long, who2 long").groupBy("term").agg(
+        F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"), F.sum("who").alias("who"), F.sum("who2").alias("who2"))
     share = F.col("toxic") / (F.col("toxic") + F.col("clean") + F.lit(0.2))
-    top = terms.withColumn("share", share).where((F.col("toxic") >= SUPPORT) & (F.col("share") >= PRECISION)).orderBy(F.desc("toxic"), "term").limit(LEXICON)
-    top = top.collect()
+    top = terms.withColumn("share", share).where((F.col("toxic") >= SUPPORT) & (F.col("share") >= PRECISION))
+    # terms of the same toxic texts: after EXPLAIN of them no text needs another, so cover() would never take more
+    same = Window.partitionBy("toxic", "who", "who2").orderBy("term")
+    top = top.withColumn("nth", F.row_number().over(same)).where(F.col("nth") <= EXPLAIN).orderBy(F.desc("toxic"), "term").select("term", "share").collect()
     terms = [r["term"] for r in top]
-    toxic = sample.where("y = 1").mapInPandas(_held(terms), "held array<int>").collect()  # at most TRAIN_PER_CLASS lists of at most LEXICON numbers
+    toxic = sample.where("y = 1").mapInPandas(_held(terms), "held array<int>").collect()  # at most TRAIN_PER_CLASS lists
     taken = cover([r["held"] for r in toxic], len(terms))
     weights = {**{w: 1.0 for w in INSULTS}, **{terms[k]: float(top[k]["share"]) for k in taken}}
     for w in _FUNCTION:  # the grammar's own words keep their part
