@@ -15,7 +15,10 @@ from tractloom.functions.stage import materialize
 
 
 def list_files(spark: SparkSession, root: str, magic: bool = False) -> DataFrame:
-    """Listing of a folder; with ``magic`` files without an extension are read for their magic, all others are judged by name."""
+    """Listing of a folder; with ``magic`` all files but those named as DICOM or NIfTI are looked into for their magic.
+
+    Of files in a mounted folder 132 bytes are read; files in any other store come through ``binaryFile``, whole.
+    """
     base = root.rstrip("/")
     opts = {"recursiveFileLookup": "true"}
     rel = F.regexp_replace("path", "^.*?" + base.replace(".", "\\.") + "/", "")
@@ -23,9 +26,20 @@ def list_files(spark: SparkSession, root: str, magic: bool = False) -> DataFrame
     files = found.select(rel.alias("path"), F.col("length").alias("size"))
     if not magic:
         return files.withColumn("magic", F.lit(False))
-    head = found.where(~_name(F.col("path")).contains(".")).select(
-        rel.alias("path"), (F.substring("content", 129, 4) == F.lit(b"DICM")).alias("magic"))
-    return files.join(head, "path", "left").withColumn("magic", F.coalesce("magic", F.lit(False)))
+    unnamed = found.where(~F.lower("path").rlike(r"\.(dcm|dicom|nii|nii\.gz)$"))
+    mounted = F.col("path").startswith("file:")
+    near = unnamed.where(mounted).select("path").mapInPandas(_heads, "path string, magic boolean").select(rel.alias("path"), "magic")
+    far = unnamed.where(~mounted).select(rel.alias("path"), (F.substring("content", 129, 4) == F.lit(b"DICM")).alias("magic"))
+    return files.join(near.union(far), "path", "left").withColumn("magic", F.coalesce("magic", F.lit(False)))
+
+
+def _heads(batches):
+    for batch in batches:
+        found = []
+        for path in batch["path"]:
+            with open("/" + path.removeprefix("file:").lstrip("/"), "rb") as f:
+                found.append(f.read(132)[128:] == b"DICM")
+        yield batch.assign(magic=found)
 
 
 def _name(path: Column) -> Column:
