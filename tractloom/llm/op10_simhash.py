@@ -142,7 +142,12 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Rows of ``docs`` without near-duplicates: of each group the document with the smallest id stays, once."""
-    stay = near_duplicates(docs, radius).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return keep_smallest(docs, near_duplicates(docs, radius))
+
+
+def keep_smallest(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """Of each root in ``found`` (doc_id, text_hash, root, component_id of ``docs``) the row with the smallest id, once."""
+    stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     stay = stay.groupBy("root").agg(F.min("doc_id").alias("_id"), F.min_by("text_hash", F.coalesce("doc_id", F.lit(0))).alias("_hash")).drop("root")
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["doc_id"].alias("_key"), F.xxhash64(docs["text"]).alias("_text"))
     joined = rows.join(materialize(stay), F.col("_key").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_hash")))
