@@ -44,6 +44,14 @@ def materialize(df: DataFrame, name: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, *names: str) -> None:
+    """Delete staged tables of this session by name, once no later step reads them."""
+    jvm = spark.sparkContext._jvm
+    for name in names:
+        path = jvm.org.apache.hadoop.fs.Path(f"{stage_dir(spark)}/{name}")
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def release(spark: SparkSession) -> None:
     """Delete all staged tables of this session; data frames built on them end with it."""
     jvm = spark.sparkContext._jvm
