@@ -56,9 +56,9 @@ def test_equals_all_windows(spark, docs_of, rows, often):
 
 def test_long_texts_and_batches_are_cut_without_loss(spark, docs_of, rows, monkeypatch):
     for words in (np.arange(5000, dtype=np.uint64), np.array([3, 3, 3, 1] * 100, dtype=np.uint64)):
-        whole = [np.concatenate(x) for x in zip(*[(np.repeat(a, n), f[0] + np.arange(n.sum()), w) for a, f, n, w in op13.segments(words)])]
+        whole = [np.concatenate(x) for x in zip(*[(np.repeat(a, n), f[0] + np.arange(n.sum()), w) for a, f, n, _, w in op13.segments(words)])]
         monkeypatch.setattr(op13, "SLICE", 97)
-        parts = [np.concatenate(x) for x in zip(*[(np.repeat(a, n), f[0] + np.arange(n.sum()), w) for a, f, n, w in op13.segments(words)])]
+        parts = [np.concatenate(x) for x in zip(*[(np.repeat(a, n), f[0] + np.arange(n.sum()), w) for a, f, n, _, w in op13.segments(words)])]
         monkeypatch.undo()
         assert all((a == b).all() for a, b in zip(whole, parts))
     assert (op13._word_hashes("ab cd " * 1_000_000) == np.tile(op13._word_hashes("ab cd"), 1_000_000)).all()

@@ -2,13 +2,14 @@
 
 A window is ``WINDOW`` consecutive words. Every window is filed under its anchor, the k-gram of least
 hash inside it (the leftmost of equal ones), so equal windows have equal anchors at equal places, and
-a stretch of windows with one anchor is one segment. An anchor that occurs once in the corpus has no
-equal windows; only segments of recurring anchors travel. The segments that meet at an anchor are a
+a stretch of windows with equal anchors is one segment. An anchor that is taken at one place only has
+no equal windows; only segments of recurring anchors travel. The segments that meet at an anchor are a
 reference block, indexed by their windows, and each of them is factored greedily against the rest of
 its block: a factor starts where a window is found in another place and goes on while the following
 windows are found at the following places there; where it ends, the windows across its end are looked
 up afresh. A factor of m windows covers WINDOW + m - 1 words, and these become spans to remove.
-Segments of very frequent anchors are split into their windows, which Spark counts and joins.
+Segments of very frequent anchors do not meet in one task: equal ones are counted by Spark first,
+and of the others the windows are.
 """
 
 from __future__ import annotations
@@ -28,10 +29,10 @@ from tractloom.llm.common import read
 WINDOW = 35
 ANCHOR = 8
 SEED = 42
-#: Anchors with more occurrences than this are split into single windows.
-OFTEN = 4096
 #: Words that are hashed at a time, and windows that are parsed at a time, about.
 SLICE = 1 << 20
+#: Most segments of a reference block; anchors with more are compared by counts.
+OFTEN = SLICE // WINDOW
 _ODD = 0x9E3779B97F4A7C15
 _PLACE = np.uint64((1 << 24) - 1)
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
@@ -68,8 +69,8 @@ def _grams(h: np.ndarray, sums: np.ndarray, k: int) -> np.ndarray:
     return _mix((sums[k:] - sums[:n]) * _DOWN[:n])
 
 
-def segments(words: np.ndarray, window: int = WINDOW, k: int = ANCHOR) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(anchors, first window of each segment, number of its windows, hashes of all windows), some windows at a time.
+def segments(words: np.ndarray, window: int = WINDOW, k: int = ANCHOR) -> Iterator[tuple[np.ndarray, ...]]:
+    """(anchors, first window of each segment, number of its windows, number of places of its anchor, hashes of all windows), some windows at a time.
 
     Cutting a long document between windows only cuts a segment in two.
     """
@@ -84,22 +85,25 @@ def segments(words: np.ndarray, window: int = WINDOW, k: int = ANCHOR) -> Iterat
         n = len(h) - window + 1
         least = np.minimum(least[:n], least[spread - width:spread - width + n])
         place = (least & _PLACE).astype(np.int64)
-        first = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
-        yield grams[place[first]].view(np.int64), s + first, np.diff(np.r_[first, n]), _grams(h, sums, window).view(np.int64)
+        moves, anchor = np.r_[True, place[1:] != place[:-1]], grams[place]
+        first = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]])
+        yield anchor[first].view(np.int64), s + first, np.diff(np.r_[first, n]), np.add.reduceat(moves.astype(np.int64), first), _grams(h, sums, window).view(np.int64)
 
 
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows, anchors, firsts = [], [], []
+        rows, anchors, firsts, places = [], [], [], []
         for i, text in enumerate(batch.column("text")):
-            for a, first, _, _ in segments(_word_hashes(text.as_py())):
+            for a, first, _, number, _ in segments(_word_hashes(text.as_py())):
                 rows.append(np.full(len(a), i))
                 anchors.append(a)
                 firsts.append(first)
+                places.append(number)
         if rows:
             at = pa.array(np.concatenate(rows))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(at), batch.column("text_hash").take(at), pa.array(np.concatenate(anchors), pa.int64()),
-                                              pa.array(np.concatenate(firsts), pa.int32())], [*_KEY, "anchor", "first"])
+                                              pa.array(np.concatenate(firsts), pa.int32()), pa.array(np.concatenate(places), pa.int32())],
+                                             [*_KEY, "anchor", "first", "places"])
 
 
 def _wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,7 +112,7 @@ def _wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, anchors, firsts, sizes, windows = [], [], [], [], []
         for i, (text, wanted) in enumerate(zip(batch.column("text"), batch.column("firsts"))):
             wanted = np.sort(wanted.values.to_numpy())
-            for a, first, count, hashes in segments(_word_hashes(text.as_py())):
+            for a, first, count, _, hashes in segments(_word_hashes(text.as_py())):
                 mine = np.flatnonzero(np.isin(first, wanted))
                 inside = np.zeros(len(hashes) + 1, dtype=np.int64)
                 inside[first[mine] - first[0]] += 1
@@ -210,10 +214,11 @@ def repeated_spans(rows: DataFrame, often: int = OFTEN) -> DataFrame:
     spark = rows.sparkSession
     key = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, text_hash bigint"
     name = uuid.uuid4().hex
-    anchors = materialize(rows.mapInArrow(_anchors, f"{key}, anchor bigint, first int"), name)
-    met = anchors.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor", (F.col("n") > often).alias("hot"))
+    anchors = materialize(rows.mapInArrow(_anchors, f"{key}, anchor bigint, first int, places int"), name)
+    met = anchors.groupBy("anchor").agg(F.sum("places").alias("places"), F.count(F.lit(1)).alias("n")).where("places > 1")
+    met = materialize(met.select("anchor", (F.col("n") > often).alias("hot")), f"{name}-met")
     wanted = materialize(anchors.join(met, "anchor").groupBy(*_KEY, "hot").agg(F.collect_set("first").alias("firsts")))
-    discard(spark, name)
+    discard(spark, name, f"{name}-met")
 
     def of(hot: bool) -> DataFrame:
         mine = wanted.where(F.col("hot") == hot)
@@ -221,12 +226,21 @@ def repeated_spans(rows: DataFrame, often: int = OFTEN) -> DataFrame:
             _wanted, f"{key}, anchor bigint, first int, windows array<bigint>")
 
     spans = of(False).repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_parse(WINDOW), f"{key}, start int, stop int")
-    if wanted.where("hot").isEmpty():
-        return spans
-    single = of(True).select(*_KEY, "anchor", "first", F.posexplode("windows").alias("at", "window"))
-    twice = single.groupBy("anchor", "window").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor", "window")
+    return spans if wanted.where("hot").isEmpty() else spans.union(_frequent(of(True)))
+
+
+def _frequent(found: DataFrame) -> DataFrame:
+    """Spans of segments whose anchors are too frequent for one task: equal segments are counted, of single ones the windows."""
+    found = found.withColumn("code", F.xxhash64("windows"))
+    one = F.struct(*_KEY, "first", "windows")
+    kinds = materialize(found.groupBy("anchor", "code").agg(F.count(F.lit(1)).alias("n"), F.min_by(one, "first").alias("one")))
+    several = materialize(kinds.where("n > 1").select("anchor", "code"))
+    whole = found.join(several, ["anchor", "code"]).select(*_KEY, F.col("first").alias("start"), (F.col("first") + F.size("windows") + (WINDOW - 1)).alias("stop"))
+    single = kinds.select("anchor", "n", *[F.col(f"one.{c}") for c in (*_KEY, "first")], F.posexplode("one.windows").alias("at", "window"))
+    twice = materialize(single.groupBy("anchor", "window").agg(F.sum("n").alias("places")).where("places > 1").select("anchor", "window"))
     start = F.col("first") + F.col("at")
-    return spans.union(single.join(twice, ["anchor", "window"]).select(*_KEY, start, start + F.lit(WINDOW)))
+    alone = single.where("n = 1").join(twice, ["anchor", "window"]).select(*_KEY, start, start + F.lit(WINDOW))
+    return whole.union(alone)
 
 
 def remove_repeated(docs: DataFrame, often: int = OFTEN) -> DataFrame:
