@@ -72,8 +72,6 @@ DEFAULT_TOLERANCE = (1e-8, 1e-9)
 # series scan limits
 DICOM_MAX_DEPTH = 3
 DICOM_MIN_FILES = 10
-DICOM_HEADER_SAMPLE = 200
-DICOM_MAGIC_PROBE = 10
 
 
 def cohort_headers() -> list[str]:

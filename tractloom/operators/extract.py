@@ -8,6 +8,7 @@ from tractloom import constants as C
 from tractloom.functions import geometry as G
 from tractloom.functions.numeric import count_if, lit, ratio
 from tractloom.functions.ranking import exact_percentiles, two_stage_rank, with_buckets
+from tractloom.operators import bricks
 from tractloom.operators.geometry import voxelise
 from tractloom.operators.streamlines import KEY, arc_lengths, endpoints
 
@@ -107,20 +108,18 @@ def streamline_table(points: DataFrame, grid: G.Grid | None, roi_voxels: DataFra
                      maps: DataFrame | None = None, scalars: tuple[str, ...] = ()) -> DataFrame:
     """One row per streamline with all that selection and sampling need.
 
-    Region flags and (if given) scalar maps are put together per voxel first, so vertices go through
-    one exchange and one join on their voxel, which AQE can split if a voxel is crowded; length comes
+    Region flags and (if given) scalar maps are packed into bricks first, so vertices go through one
+    exchange and one join on their brick, which AQE can split if a brick is crowded; length comes
     from the block-wise pass along the streamline.
     """
-    v, info = voxelise(points, grid), roi_flags(roi_voxels)
+    packed = bricks.pack(maps, scalars) if maps is not None else None
+    v = bricks.visit(voxelise(points, grid), bricks.pack_masks(roi_voxels, ROIS), ROIS, packed, scalars)
     extra = [F.min("x").alias("x_min"), F.max("x").alias("x_max"), F.avg("x").alias("x_mean"),
              F.min("z").alias("z_min"),
              F.min_by("x", F.when(F.col("brainstem"), F.col("pt_idx"))).alias("entry_x")]
     if maps is not None:
-        info = maps.select(*VOX, *scalars).join(info, VOX, "full_outer")
-        sampled = F.col("inb")
-        extra += [F.avg(F.when(sampled, F.coalesce(s, lit(0.0)))).alias(f"{s}_mean") for s in scalars]
-        extra += [count_if(sampled).alias("n_samples")]
-    return passes(v, info, ROIS, extra).join(arc_lengths(points), KEY)
+        extra += [F.avg(s).alias(f"{s}_mean") for s in scalars] + [count_if(F.col("inb")).alias("n_samples")]
+    return v.groupBy(*KEY).agg(*[F.bool_or(r).alias(r) for r in ROIS], *extra).join(arc_lengths(points), KEY)
 
 
 def assign_fates(table: DataFrame, band: tuple[float, float] = C.LENGTH_BAND_PASSTHROUGH,

@@ -304,13 +304,14 @@ def s12b(spark, sf):
 
 # --------------------------------------------------------- participants, provenance, batch
 
-@query("S13_participants_upsert", f"""WITH e AS (SELECT 'sub-' || c_custkey AS participant_id, 'n/a' AS age, 'F' AS sex FROM customer WHERE c_custkey % 2 = 0),
+@query("S13_participants_upsert", f"""WITH e AS (SELECT 'sub-' || CASE WHEN c_custkey % 2 = 0 THEN '' ELSE 'x' END || c_custkey AS participant_id, 'n/a' AS age, 'F' AS sex FROM customer),
 f AS (SELECT 'sub-' || o_custkey AS participant_id, arg_min(o_orderkey, o_orderkey) AS o FROM orders GROUP BY 1)
 SELECT * FROM e UNION ALL SELECT participant_id, CASE WHEN o % 4 = 0 THEN 'n/a' ELSE printf('%.1f', {r6('o / 7e0', 1)}) END AS age, CASE o % 3 WHEN 0 THEN 'M' WHEN 1 THEN 'O' ELSE 'n/a' END AS sex
 FROM f WHERE participant_id NOT IN (SELECT participant_id FROM e)""")
 def s13(spark, sf):
-    e = fx.table(spark, sf, "customer").where("c_custkey % 2 = 0").select(
-        F.concat(F.lit("sub-"), _str("c_custkey")).alias("participant_id"), F.lit("n/a").alias("age"), F.lit("F").alias("sex"))
+    site = F.when(F.col("c_custkey") % 2 == 0, "").otherwise("x")  # the other half is of another site
+    e = fx.table(spark, sf, "customer").select(
+        F.concat(F.lit("sub-"), site, _str("c_custkey")).alias("participant_id"), F.lit("n/a").alias("age"), F.lit("F").alias("sex"))
     o = F.col("o_orderkey")
     n = fx.table(spark, sf, "orders").select(F.concat(F.lit("sub-"), _str("o_custkey")).alias("participant_id"), F.when(o % 4 != 0, o / lit(7)).alias("age"),
                                              F.when(o % 3 == 0, "male").when(o % 3 == 1, "Other").otherwise("?").alias("sex"), o.alias("seq"))

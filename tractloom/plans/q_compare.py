@@ -68,10 +68,12 @@ def j11(spark, sf):
     return d.withColumns({n: rnd(F.col(n)) for n, t in d.dtypes if t == "double"})
 
 
-@query("J15_run_difference", f"""WITH a AS (SELECT s_suppkey AS subject_id, m AS metric, s_acctbal + CASE WHEN m = 'left_n' THEN 1 ELSE 0 END AS value
-   FROM supplier, (VALUES ('fa_mean'), ('md_mean'), ('left_n')) t(m) WHERE s_suppkey % 11 <> 3),
-b AS (SELECT s_suppkey AS subject_id, m AS metric, (s_acctbal + CASE WHEN m = 'left_n' THEN 1 ELSE 0 END) * CASE WHEN s_suppkey % 7 = 0 THEN 11e-1 ELSE 1e0 + 1e-12 END AS value
-   FROM supplier, (VALUES ('fa_mean'), ('md_mean'), ('left_n')) t(m) WHERE s_suppkey % 10 <> 0),
+@query("J15_run_difference", f"""WITH a0 AS (SELECT s_suppkey AS subject_id, m AS metric, s_acctbal + CASE WHEN m = 'left_n' THEN 1 ELSE 0 END AS value
+   FROM supplier, (VALUES ('fa_mean'), ('md_mean'), ('left_n')) t(m)),
+b0 AS (SELECT s_suppkey AS subject_id, m AS metric, (s_acctbal + CASE WHEN m = 'left_n' THEN 1 ELSE 0 END) * CASE WHEN s_suppkey % 7 = 0 THEN 11e-1 ELSE 1e0 + 1e-12 END AS value
+   FROM supplier, (VALUES ('fa_mean'), ('md_mean'), ('left_n')) t(m)),
+a AS (SELECT * FROM a0 UNION ALL SELECT -subject_id - 1, metric, value FROM a0 WHERE subject_id % 10 = 0),
+b AS (SELECT * FROM b0 UNION ALL SELECT subject_id + 1000000000, metric, value FROM b0 WHERE subject_id % 11 = 3),
 d AS (SELECT coalesce(a.subject_id, b.subject_id) AS subject_id, coalesce(a.metric, b.metric) AS metric, a.value AS v1, b.value AS v2
    FROM a FULL JOIN b ON a.subject_id = b.subject_id AND a.metric = b.metric)
 SELECT subject_id, metric, {r6('v1')} AS value1, {r6('v2', 4)} AS value2, {r6('abs(v1 - v2)', 4)} AS absolute_diff,
@@ -82,9 +84,12 @@ def j15(spark, sf):
     s = F.col("s_suppkey")
     base = fx.table(spark, sf, "supplier").withColumn("metric", F.explode(F.array(*map(F.lit, ("fa_mean", "md_mean", "left_n")))))
     v = F.col("s_acctbal") + F.when(F.col("metric") == "left_n", 1).otherwise(0)
-    a = base.where(s % 11 != 3).select(s.alias("subject_id"), "metric", v.alias("value"))
-    b = base.where(s % 10 != 0).select(s.alias("subject_id"), "metric",
+    a = base.select(s.alias("subject_id"), "metric", v.alias("value"))
+    b = base.select(s.alias("subject_id"), "metric",
                                        (v * F.when(s % 7 == 0, lit(1.1)).otherwise(lit(1.0) + lit(1e-12))).alias("value"))
+    i = F.col("subject_id")  # each run has subjects of its own besides
+    a = a.union(a.where(i % 10 == 0).withColumn("subject_id", -i - 1))
+    b = b.union(b.where(i % 11 == 3).withColumn("subject_id", i + 1_000_000_000))
     d = cp.metric_difference(a, b)
     return d.withColumns({"value1": rnd(F.col("value1")), "value2": rnd(F.col("value2"), 4),
                           "absolute_diff": rnd(F.col("absolute_diff"), 4), "relative_diff": rnd(F.col("relative_diff"))})

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tractloom.functions.numeric import lit, rnd
 from tractloom.functions.stage import materialize
-from tractloom.operators import extract as ex, streamlines as sl
+from tractloom.operators import bricks, extract as ex, streamlines as sl
 from tractloom.operators.geometry import voxelise
 from tractloom.plans import fixtures as fx
 from tractloom.plans.fixtures import GRID, SQL_LENS, SQL_VOX, r6, sql_fates
@@ -26,6 +26,13 @@ def j2(spark, sf):
     return ex.filter_by_roi(fx.points(spark, sf), v, fx.roi_voxels(spark).where("roi = 'brainstem'"))
 
 
+@query("J2_brick_passes", f"""WITH {SQL_VOX}
+SELECT subject_id, streamline_id, bool_or(inb AND k BETWEEN 4 AND 9) AS brainstem, bool_or(inb AND k BETWEEN 26 AND 40 AND i < 25) AS motor_left,
+  bool_or(inb AND k BETWEEN 26 AND 40 AND i >= 25) AS motor_right FROM vox GROUP BY 1, 2""")
+def j2_bricks(spark, sf):
+    return bricks.passes(_vox(spark, sf), bricks.pack_masks(fx.roi_voxels(spark), ex.ROIS), ex.ROIS, ["subject_id", "streamline_id"])
+
+
 ENDS = """,
 ends AS (SELECT subject_id, streamline_id, arg_min(CASE WHEN NOT inb THEN '-' WHEN k BETWEEN 4 AND 9 THEN 'b'
      WHEN k BETWEEN 26 AND 40 THEN CASE WHEN i < 25 THEN 'l' ELSE 'r' END ELSE '-' END, pt_idx) AS s,

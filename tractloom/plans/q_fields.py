@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tractloom.functions import geometry as G
 from tractloom.functions.numeric import lit, rnd
-from tractloom.operators import fields as fd, qc, streamlines as sl, tensor as tn
+from tractloom.operators import bricks, fields as fd, qc, streamlines as sl, tensor as tn
 from tractloom.plans import fixtures as fx
 from tractloom.plans.fixtures import SQL_GRADIENTS, SQL_LENS, SQL_POINTS, SQL_VOLUME_GRIDS, SQL_VOLUMES, r6
 from tractloom.plans.registry import query
@@ -38,7 +38,7 @@ JAC = JAC.replace("PARTITION BY subject_id", "PARTITION BY f.subject_id")
 
 def _dets(spark, sf):
     f = G.attach_grid(_field(spark, sf), fx.volume_grids(spark, sf))
-    return fd.jacobian(f, G.voxel_size_columns(F.col("affine"))).select("subject_id", "i", "j", "k", "det")
+    return bricks.jacobian(f, G.voxel_size_columns(F.col("affine")))
 
 
 @query("W4_jacobian", JAC + f" SELECT subject_id, i, j, k, {r6('det')} AS det FROM jac")
@@ -65,7 +65,7 @@ g AS (SELECT f.subject_id, f.i, f.j, f.k, {", ".join(f"{_near('u' + u, a, s)} AS
 SELECT subject_id, i, j, k, {r6('(1+xi)*((1+yj)*(1+zk) - yk*zj) - xj*(yi*(1+zk) - yk*zi) + xk*(yi*zj - (1+yj)*zi)')} AS det FROM g""")
 def w4_sparse(spark, sf):
     f = _field(spark, sf).where("(i + 2*j + k*k + subject_id) % 3 > 0 and (subject_id % 5 > 0 or k = 4)")
-    d = fd.jacobian(G.attach_grid(f, fx.volume_grids(spark, sf)), G.voxel_size_columns(F.col("affine")))
+    d = bricks.jacobian(G.attach_grid(f, fx.volume_grids(spark, sf)), G.voxel_size_columns(F.col("affine")))
     return d.select("subject_id", "i", "j", "k", rnd(F.col("det")).alias("det"))
 
 

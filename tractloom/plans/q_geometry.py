@@ -125,12 +125,15 @@ def _fp_sql(name: str, cond: str) -> str:
 
 
 @query("U3_fingerprint_match", f"""WITH {SQL_POINTS}{SQL_LENS},
-{_fp_sql('a', 'streamline_id % 7 <> 0')}, {_fp_sql('b', 'streamline_id % 11 <> 0')}
+{_fp_sql('every', 'true')}, {_fp_sql('sevenths', 'streamline_id % 7 = 0')}, {_fp_sql('elevenths', 'streamline_id % 11 = 0')},
+a AS (SELECT * FROM every UNION SELECT * REPLACE (n_points + 1000 AS n_points) FROM sevenths),
+b AS (SELECT * FROM every UNION SELECT * REPLACE (n_points + 2000 AS n_points) FROM elevenths)
 SELECT *, 'first' AS only_in FROM (SELECT * FROM a EXCEPT SELECT * FROM b)
 UNION ALL SELECT *, 'second' AS only_in FROM (SELECT * FROM b EXCEPT SELECT * FROM a)""")
 def u3(spark, sf):
     f = sl.fingerprints(fx.points(spark, sf))
-    return sl.fingerprint_difference(f.where("streamline_id % 7 <> 0"), f.where("streamline_id % 11 <> 0"))
+    more = lambda every, n: f.unionByName(f.where(F.col("streamline_id") % every == 0).withColumn("n_points", F.col("n_points") + n))  # noqa: E731  runs with added streamlines
+    return sl.fingerprint_difference(more(7, 1000), more(11, 2000))
 
 
 @query("F11_ras_orientation", f"""WITH {SQL_VOLUMES}, {SQL_VOLUME_GRIDS}
@@ -146,24 +149,24 @@ def f11(spark, sf):
                        "i_ras", "j_ras", "k_ras", "x_sign", "left_on_right", F.col("i").alias("i_back"))
 
 
-@query("A25_plane_limits", f"""WITH {SQL_POINTS}, s AS (SELECT DISTINCT subject_id FROM pts),
-g AS (SELECT subject_id, min(x) AS x0, max(x) AS x1, min(z) AS z0, max(z) AS z1 FROM pts WHERE subject_id <> 3 GROUP BY 1),
+@query("A25_plane_limits", f"""WITH {SQL_POINTS}, s AS (SELECT DISTINCT subject_id FROM pts UNION ALL SELECT 8),
+g AS (SELECT subject_id, min(x) AS x0, max(x) AS x1, min(z) AS z0, max(z) AS z1 FROM pts GROUP BY 1),
 h AS (SELECT subject_id, coalesce(x0, -5e1) AS x0, coalesce(x1, 5e1) AS x1, coalesce(z0, -4e1) AS z0, coalesce(z1, 8e1) AS z1
       FROM s LEFT JOIN g USING (subject_id)),
 p AS (SELECT *, CASE WHEN x1 <> x0 THEN (x1-x0)*5e-2 ELSE 1e0 END AS px, CASE WHEN z1 <> z0 THEN (z1-z0)*5e-2 ELSE 1e0 END AS pz FROM h)
 SELECT subject_id, {r6('x0 - px')} AS x_min, {r6('x1 + px')} AS x_max, {r6('z0 - pz')} AS z_min, {r6('z1 + pz')} AS z_max FROM p""")
 def a25(spark, sf):
     p = fx.points(spark, sf)
-    subjects = p.select("subject_id").distinct()
-    d = geo.plane_limits(p.where("subject_id <> 3"), subjects, "x", "z", ((-50.0, 50.0), (-40.0, 80.0)))
+    subjects = p.select("subject_id").distinct().union(spark.range(8, 9))  # one without points
+    d = geo.plane_limits(p, subjects, "x", "z", ((-50.0, 50.0), (-40.0, 80.0)))
     return d.select("subject_id", *[rnd(F.col(c)).alias(c) for c in d.columns[1:]])
 
 
 @query("A26_coordinate_validation", f"""WITH {SQL_POINTS},
 q AS (SELECT subject_id, x + CASE WHEN subject_id % 3 = 1 THEN 6e1 ELSE 0e0 END AS x,
    y + CASE WHEN subject_id % 3 = 1 THEN 6e1 WHEN subject_id % 3 = 2 THEN 9e1 ELSE 0e0 END AS y,
-   z + CASE WHEN subject_id % 3 = 1 THEN 6e1 ELSE 0e0 END AS z FROM pts WHERE subject_id <> 5),
-s AS (SELECT DISTINCT subject_id FROM pts),
+   z + CASE WHEN subject_id % 3 = 1 THEN 6e1 ELSE 0e0 END AS z FROM pts),
+s AS (SELECT DISTINCT subject_id FROM pts UNION ALL SELECT 8),
 b AS (SELECT subject_id, count(*) AS n, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1, min(z) AS z0, max(z) AS z1 FROM q GROUP BY 1),
 c AS (SELECT s.subject_id, coalesce(n, 0) AS n_points,
    coalesce(least(x0,y0,z0) >= -1 AND greatest(x1,y1,z1) < 300 AND greatest(x1-x0,y1-y0,z1-z0) < 260, false) AS vs,
@@ -179,12 +182,12 @@ SELECT subject_id, n_points, CAST(vs::INT + (na > 1)::INT AS INT) AS n_errors,
 def a26(spark, sf):
     p = fx.points(spark, sf)
     s = F.col("subject_id")
-    moved = p.where("subject_id <> 5").select(
+    moved = p.select(
         s, (F.col("x") + F.when(s % 3 == 1, 60.0).otherwise(0.0)).alias("x"),
         (F.col("y") + F.when(s % 3 == 1, 60.0).when(s % 3 == 2, 90.0).otherwise(0.0)).alias("y"),
         (F.col("z") + F.when(s % 3 == 1, 60.0).otherwise(0.0)).alias("z"))
     flat = [v for row in GRID.affine for v in row]
-    grids = p.select("subject_id").distinct().select(
+    grids = p.select("subject_id").distinct().union(spark.range(8, 9)).select(
         "subject_id", F.array(*[F.lit(v) for v in flat]).alias("affine"),
         *[F.lit(n).alias(c) for c, n in zip(("nx", "ny", "nz"), GRID.shape)])
     return geo.validate_coordinates(moved, grids)

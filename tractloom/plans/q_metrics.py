@@ -8,7 +8,7 @@ from tractloom import constants as C
 from tractloom.functions.laterality import li_columns
 from tractloom.functions.numeric import lit, rnd
 from tractloom.functions.stage import materialize
-from tractloom.operators import extract as ex, metrics as me
+from tractloom.operators import bricks, extract as ex, metrics as me
 from tractloom.operators.geometry import voxelise
 from tractloom.plans import fixtures as fx
 from tractloom.plans.fixtures import GRID, SQL_MAPS, r6, sql_fates
@@ -76,8 +76,9 @@ def bundles(spark, sf):
 
 
 def subjects(spark, sf):
-    """The subjects of the points and one without any streamline."""
-    return fx.points(spark, sf).select("subject_id").distinct().union(spark.range(8, 9).select("id"))
+    """The subjects of the points and one without any streamline; only the streamline ids are read."""
+    ids = fx.table(spark, sf, "lineitem").select((F.col("l_partkey") % fx.N_SUBJECTS).alias("subject_id")).distinct()
+    return ids.union(spark.range(8, 9).select("id"))
 
 
 def _samples(spark, sf):
@@ -90,6 +91,13 @@ def j1(spark, sf):
     return _samples(spark, sf).select("subject_id", "side", "streamline_id", "pt_idx", *[rnd(F.col(c), 9).alias(c) for c in C.SCALARS])
 
 
+@query("J1_brick_sampling", SAMPLES + f""" SELECT subject_id, side, streamline_id, pt_idx,
+  {", ".join(f"{r6(c, 9)} AS {c}" for c in C.SCALARS)} FROM smp""")
+def j1_bricks(spark, sf):
+    s = bricks.sample(voxelise(bundles(spark, sf), GRID), bricks.pack(fx.voxels(spark)))
+    return s.select("subject_id", "side", "streamline_id", "pt_idx", *[rnd(F.col(c), 9).alias(c) for c in C.SCALARS])
+
+
 @query("A4_per_streamline_mean", LONG + f"SELECT subject_id, side, streamline_id, scalar, {r6('value', 9)} AS value FROM psl")
 def a4(spark, sf):
     p = me.per_streamline(_samples(spark, sf))
