@@ -100,8 +100,8 @@ def _rules() -> str:
 
 # every eleventh subject gets a raised b-value set, the b0 volumes of every thirteenth are weighted
 QGRAD = SQL_GRADIENTS.replace("grad AS (", "grad0 AS (") + """,
-grad AS (SELECT subject_id, vol_idx, CASE WHEN subject_id % 13 = 4 AND bval = 0 THEN 1e3 WHEN subject_id % 11 = 5 THEN bval * 4 WHEN subject_id % 17 = 3 THEN bval / 4 WHEN subject_id % 19 = 7 AND bval = 0 THEN -5e0 ELSE bval END AS bval, bx, by_, bz
-  FROM grad0)"""
+grad AS (SELECT subject_id, vol_idx, CASE WHEN subject_id % 11 = 5 THEN bval * 4 WHEN subject_id % 17 = 3 THEN bval / 4 WHEN subject_id % 19 = 7 AND bval = 0 THEN -5e0 ELSE bval END AS bval, bx, by_, bz
+  FROM (SELECT * REPLACE (CASE WHEN subject_id % 13 = 4 AND bval = 0 THEN 1e3 ELSE bval END AS bval) FROM grad0))"""
 QSHELL = """shl AS (SELECT d.*, CASE WHEN bval > f * 15e-1 THEN bval WHEN bval > f * (1 + 5e-2) THEN m2 ELSE f END AS shell
   FROM (SELECT *, min(bval) OVER (PARTITION BY subject_id) AS f FROM dir WHERE bval > 50) d
   LEFT JOIN (SELECT subject_id, min(bval) AS m2 FROM (SELECT *, min(bval) OVER (PARTITION BY subject_id) AS f FROM dir WHERE bval > 50) WHERE bval > f * (1 + 5e-2) GROUP BY 1) USING (subject_id))"""
@@ -122,8 +122,8 @@ SELECT subject_id, 'WARNING', 'Shell at b=' || {_f('shell')} || ' has ' || nd ||
 FROM sc JOIN ft USING (subject_id) WHERE ok AND nd < 6 AND shell > 500""")
 def a19(spark, sf):
     s = F.col("subject_id")
-    g = fx.gradients(spark, sf).withColumn(
-        "bval", F.when((s % 13 == 4) & (F.col("bval") == 0), 1000.0).when(s % 11 == 5, F.col("bval") * 4).when(s % 17 == 3, F.col("bval") / 4)
+    g = fx.gradients(spark, sf).withColumn("bval", F.when((s % 13 == 4) & (F.col("bval") == 0), 1000.0).otherwise(F.col("bval"))).withColumn(
+        "bval", F.when(s % 11 == 5, F.col("bval") * 4).when(s % 17 == 3, F.col("bval") / 4)
         .when((s % 19 == 7) & (F.col("bval") == 0), -5.0).otherwise(F.col("bval")))
     n = g.groupBy("subject_id").agg(F.count(F.lit(1)).alias("n_bvals")).withColumn(
         "n_bvecs", F.col("n_bvals") + F.when(s % 23 == 9, 1).otherwise(0))
