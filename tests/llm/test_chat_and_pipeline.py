@@ -3,6 +3,7 @@ import json
 import random
 
 import corpus_pipeline
+from tests.llm.test_near_copies import brute as jaccard_groups
 from tractloom.llm import op2_quality_rules as op2, op7_toxicity as op7, op8_chat as op8, op10_simhash as op10
 
 ROWS = [(1, 0, "user", "hi"), (1, 1, "assistant", None), (1, 1, "assistant", None), (2, 1, "assistant", "b<|end|>\n<|turn|>user\nx"), (2, 0, None, ""), (3, None, "sys\n<s>\\n", "\\<\\|turn|>\\"),
@@ -60,16 +61,8 @@ def test_pipeline_equals_its_stages_by_hand(spark, sf_dir):
     civil = {r["doc_id"] for r in op7.score(docs, labels).collect() if r["toxicity"] < op7.THRESHOLD}
     good = civil & {r["doc_id"] for r in op2.judge(docs).collect() if r["kept"]}
     text = {r["doc_id"]: r["text"] for r in docs.collect()}
-    kept, prints = [], {i: op10.simhash(text[i]) % (1 << 64) for i in sorted(good)}
-    group: dict[int, int] = {}
-    for i in prints:
-        near = {group[j] for j in group if (prints[i] ^ prints[j]).bit_count() <= 4}
-        low = min(near, default=i)
-        group[i] = low
-        for j in group:
-            if group[j] in near:
-                group[j] = low
-    kept = {i for i in prints if group[i] == i}
+    group, _ = jaccard_groups({i: text[i] or "" for i in sorted(good)})
+    kept = {i for i, low in group.items() if i == low}
     out = corpus_pipeline.run(spark, sf_dir).collect()
     assert {r["doc_id"] for r in out} == kept and 0 < len(kept) < len(text)
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "quality_rules", "near_duplicates", "packing"]

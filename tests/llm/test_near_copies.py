@@ -47,17 +47,40 @@ def test_pipeline_stage_equals_brute_force(spark, docs_of):
     assert got == group
 
 
-def test_any_order_of_shingles_meets_every_similar_pair():
+def test_heads_of_similar_sets_meet_and_agree():
     rng = np.random.default_rng(0)
-    for _ in range(300):
-        base = rng.choice(400, size=rng.integers(1, 60), replace=False)
-        x = np.unique(base).astype(np.int64)
-        y = np.unique(np.concatenate([rng.choice(x, size=rng.integers(1, len(x) + 1), replace=False), rng.choice(400, size=rng.integers(0, 6))])).astype(np.int64)
-        both = len(np.intersect1d(x, y))
-        if 5 * both >= 4 * (len(x) + len(y) - both):
-            common = np.sort(rng.choice(400, size=rng.integers(0, 200), replace=False)).astype(np.int64)
-            counts = rng.integers(3, 9, size=len(common))
-            assert len(np.intersect1d(nc.prefix(x, common, counts), nc.prefix(y, common, counts)))
+    near = 0
+    for _ in range(2000):
+        n = int(rng.integers(1, 600))
+        x = rng.integers(-(1 << 62), 1 << 62, n)
+        lost = int(rng.integers(0, n // 9 + 1))
+        y = np.concatenate([x[lost:], rng.integers(-(1 << 62), 1 << 62, int(rng.integers(0, n // 9 + 1)))])
+        x, y = np.unique(x), np.unique(y)
+        both = np.array([len(np.intersect1d(x, y))])
+        sizes = np.array([len(x)]), np.array([len(y)])
+        if nc.similar(both, *sizes)[0]:
+            near += 1
+            assert len(np.intersect1d(x[:nc.KEYS], y[:nc.KEYS]))
+            assert nc.judge_heads(np.array([len(np.intersect1d(x[:nc.HEAD], y[:nc.HEAD]))]), *sizes)[0]
+    assert near > 500
+
+
+def test_shared_counts(monkeypatch):
+    rng = np.random.default_rng(1)
+    sets = [np.unique(rng.integers(0, 50, rng.integers(0, 40))) for _ in range(30)]
+    ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int64)
+    i, j = rng.integers(0, 30, 500), rng.integers(0, 30, 500)
+    for step in (1, 100, 1 << 20):
+        monkeypatch.setattr(nc, "STEP", step)
+        assert nc.shared(np.concatenate(sets), ends, i, j).tolist() == [len(np.intersect1d(sets[a], sets[b])) for a, b in zip(i, j)]
+
+
+def test_long_texts(spark, docs_of):
+    rng = random.Random(3)
+    words = [f"w{rng.randrange(10 ** 6)}" for _ in range(120_000)]
+    far = [f"v{rng.randrange(10 ** 6)}" for _ in range(60_000)] + words[:60_000]
+    docs = docs_of([(1, " ".join(words)), (2, " ".join(edited(rng, words, 0.01))), (3, " ".join(far)), (4, "\n".join(words).upper())])
+    assert {r["doc_id"]: r["component_id"] for r in nc.near_copies(docs).collect()} == {1: 1, 2: 1, 3: 3, 4: 1}
 
 
 def test_odd_rows(spark, docs_of):
