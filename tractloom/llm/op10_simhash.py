@@ -10,12 +10,16 @@ two fingerprints have equal keys: no pair within the radius is missed.
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from tractloom.functions.stage import materialize
+from tractloom.functions.stage import discard, materialize
 from tractloom.llm.common import connected_components, read, sorted_groups
 
 BITS = 64
@@ -80,7 +84,7 @@ def _cross_links(radius: int):
     """Compare two blocks of a bucket; one link for each pair of components that some pair of members joins."""
 
     def run(batches):
-        for (_, _, bi, bj), g in sorted_groups(batches, ["t", "key", "bi", "bj"]):
+        for (_, bi, bj), g in sorted_groups(batches, ["key", "bi", "bj"]):
             fp, comp, block = (g[c].to_numpy() for c in ("fp", "comp", "block"))
             left = np.flatnonzero(block == bi)
             right = left if bi == bj else np.flatnonzero(block == bj)
@@ -93,34 +97,62 @@ def _cross_links(radius: int):
     return run
 
 
+def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, fp) of a partition sorted by both that share their key with a neighbour, each with the first fp of its key here.
+
+    Rows of a partition's first and last key stay too, as a key may go on in another partition.
+    """
+    held, start = None, None  # the last row so far: key, fp, first, kept
+
+    def out(key, fp, first):
+        return pa.RecordBatch.from_arrays([pa.array(np.asarray(x, dtype=np.int64)) for x in (key, fp, first)], ["key", "fp", "first"])
+
+    for batch in batches:
+        key, fp = batch.column("key").to_numpy(), batch.column("fp").to_numpy()
+        if not len(key):
+            continue
+        start = key[0] if held is None else start
+        new = np.r_[held is None or held[0] != key[0], key[1:] != key[:-1]]
+        head = np.maximum.accumulate(np.where(new, np.arange(len(key)), -1))
+        first = np.where(head >= 0, fp[head], 0 if held is None else held[2])
+        keep = ~new | (key == start)
+        keep[:-1] |= ~new[1:]
+        if held is not None and (held[3] or not new[0]):
+            yield out([held[0]], [held[1]], [held[2]])
+        held = key[-1], fp[-1], first[-1], bool(keep[-1])
+        yield out(key[:-1][keep[:-1]], fp[:-1][keep[:-1]], first[:-1][keep[:-1]])
+    if held is not None:
+        yield out([held[0]], [held[1]], [held[2]])
+
+
 def link_fingerprints(fps: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
     """(fp, root) for every fingerprint of ``fps`` that links with another; root is one per component.
 
-    ``fps`` has distinct values in column fp. Members of a bucket are first compared with the
-    bucket's smallest one; components of those links are then found, and only buckets that still
-    hold several components are compared in full, block by block, so a large group of close
-    fingerprints is not compared pair by pair.
+    ``fps`` has distinct values in column fp. All tables together are sorted once by bucket and
+    fingerprint, in ranges, so a bucket of any size is spread over tasks. Members of a bucket are first
+    compared with the first of them in their range; components of those links are then found, and only
+    buckets that still hold several components are compared in full, block by block, so a large group
+    of close fingerprints is not compared pair by pair.
     """
-    tables = F.array(*[F.struct(F.lit(t).cast("int").alias("t"), F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)).alias("key"))
-                       for t, m in enumerate(masks(radius))])
-    rows = fps.select("fp", F.inline(tables))
-    shared = materialize(rows.groupBy("t", "key").agg(F.min("fp").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"))
-    members = materialize(rows.join(shared, ["t", "key"]))
+    spark, run = fps.sparkSession, uuid.uuid4().hex
+    tables = F.array(*[F.xxhash64(F.lit(t), F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m))) for t, m in enumerate(masks(radius))])
+    rows = fps.select("fp", F.explode(tables).alias("key")).repartitionByRange("key", "fp").sortWithinPartitions("key", "fp")
+    members = materialize(rows.select("key", "fp").mapInArrow(_buckets, "key long, fp long, first long"), f"{run}-members")
     differ = F.bit_count(F.col("fp").bitwiseXOR(F.col("first")))
     star = members.where(differ.between(1, radius)).select(F.col("fp").alias("a"), F.col("first").alias("b"))
     first = materialize(connected_components(star))
-    open_ = members.where("n > 2").join(first.withColumnsRenamed({"node": "fp", "component": "comp"}), "fp", "left").withColumn(
-        "comp", F.coalesce("comp", "fp"))
-    open_ = materialize(open_.select("t", "key", "n", "fp", "comp"))
-    mixed = materialize(open_.groupBy("t", "key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("t", "key"))
-    blocks = open_.join(mixed, ["t", "key"]).withColumn("nb", F.ceil(F.col("n") / block).cast("int")).withColumn(
-        "block", F.pmod(F.xxhash64("fp"), F.col("nb")).cast("int"))
+    open_ = members.join(first.withColumnsRenamed({"node": "fp", "component": "comp"}), "fp", "left").select("key", "fp", F.coalesce("comp", "fp").alias("comp"))
+    open_ = materialize(open_, f"{run}-open")
+    mixed = open_.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count(F.lit(1)).alias("n")).where("c0 <> c1")
+    mixed = materialize(mixed.select("key", F.ceil(F.col("n") / block).cast("int").alias("nb")), f"{run}-mixed")
+    blocks = open_.join(mixed, "key").withColumn("block", F.pmod(F.xxhash64("fp"), F.col("nb")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("nb") - 1))
     tiles = blocks.withColumn("other", other).select(
-        "t", "key", "fp", "comp", "block", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"))
-    keys = ["t", "key", "bi", "bj"]
+        "key", "fp", "comp", "block", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"))
+    keys = ["key", "bi", "bj"]
     more = tiles.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(_cross_links(radius), "a long, b long")
-    edges = first.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)
+    edges = materialize(first.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more.distinct()))
+    discard(spark, *[f"{run}-{n}" for n in ("members", "open", "mixed")])
     return connected_components(edges).withColumnsRenamed({"node": "fp", "component": "root"})
 
 
