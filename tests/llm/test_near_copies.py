@@ -72,6 +72,12 @@ def test_shared_counts(monkeypatch):
     i, j = rng.integers(0, 30, 500), rng.integers(0, 30, 500)
     for step in (1, 100, 1 << 20):
         monkeypatch.setattr(nc, "STEP", step)
+        matrix = nc.overlaps(np.concatenate(sets), ends, np.arange(30), np.arange(10, 30))
+        below = nc.overlaps(np.concatenate(sets), ends, np.arange(30), np.arange(10, 30), 17)
+        for a in range(30):
+            for b in range(10, 30):
+                both = np.intersect1d(sets[a], sets[b])
+                assert matrix[a, b - 10] == len(both) and below[a, b - 10] == (both < 17).sum()
         assert nc.shared(np.concatenate(sets), ends, i, j).tolist() == [len(np.intersect1d(sets[a], sets[b])) for a, b in zip(i, j)]
 
 
