@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -202,3 +203,40 @@ def test_distance_over_a_gap(spark):
                               "subject_id long, i int, j int, k int, left boolean, brain boolean, nx int, ny int, nz int")
     got = {(r.subject_id, r.i): r.distance for r in rois.midline_distance(d, (lit(1.0), lit(1.0), lit(1.0))).collect()}
     assert got == {(0, 0): -1, (0, 1): 0, (0, 2): 1, (0, 8): 7, (0, 9): 8, (0, 10): 9, (1, 3): None}
+
+
+@pytest.mark.parametrize("spacing", (0.5, 1.0, 2.75))
+def test_envelope_of_a_line_equals_all_pairs(spark, spacing):
+    """Whole, sparse and single-voxel lines of up to 512 places, in any order, with ties."""
+    from tractloom.operators import rois
+    rng = np.random.default_rng(int(spacing * 4))
+    lines = [rng.permutation(512)[:n] for n in (1, 2, 7, 200, 512)]
+    values = [np.round(rng.exponential(400, len(p))) if n % 2 else np.zeros(len(p)) for n, p in enumerate(lines)]
+    values[-1] = ((lines[-1] - 256.0) ** 2)
+    got = rois._line_distance.func(pd.Series(list(lines)), pd.Series(values), pd.Series([0] * 5), pd.Series([511] * 5), pd.Series([spacing] * 5))
+    for p, v, d in zip(lines, values, got):
+        gap = (np.arange(512)[:, None] - p[None, :]) * spacing
+        assert np.allclose(d, (v[None, :] + gap * gap).min(axis=1), rtol=1e-12)
+
+
+def test_equal_scores_are_split(spark):
+    from tractloom.functions.ranking import BUCKETS, with_buckets
+    n = 4000
+    s = spark.range(n).selectExpr("0L subject_id", "'left' side", "id streamline_id", "case when id % 4 < 3 then 7L else id + 8 end score")
+    sizes = [r["count"] for r in with_buckets(s, ["subject_id"], -F.col("score"), tie=-F.col("streamline_id")).groupBy("_bucket").count().collect()]
+    assert max(sizes) <= 2 * n / BUCKETS
+    caps = spark.createDataFrame([(0, "left", n)], "subject_id long, side string, cap long")
+    kept = ex.select_top(s, caps, ["subject_id", "side"]).orderBy("rank").collect()
+    want = sorted(((i if i % 4 == 3 else -1, i) for i in range(n)), key=lambda v: (v[0] + 8 if v[0] >= 0 else 7, v[1]), reverse=True)
+    assert [r.streamline_id for r in kept] == [i for _, i in want] and [r["rank"] for r in kept] == list(range(n))
+
+
+def test_subjects_have_their_own_midline(spark):
+    from tractloom.operators import rois
+    mid = spark.createDataFrame([(0, 2.0), (1, None)], "subject_id long, midline_x double")
+    t = spark.createDataFrame([(n, s, 100.0, True, s == 1, False, -20.0, 1.0, 1.0, 1.0, 0.0) for n in range(3) for s in (1, 2)],
+                              "subject_id long, streamline_id long, length double, brainstem boolean, motor_left boolean, motor_right boolean, x_min double, x_max double, x_mean double, entry_x double, z_min double")
+    f = ex.assign_fates(rois.attach_midline(t, mid), midline_x=F.col("midline_x"))
+    got = {r.subject_id: (r.input_left, r.input_right) for r in ex.funnel(f, F.col("midline_x")).collect()}
+    assert got == {0: (2, 0), 1: (0, 2), 2: (0, 2)}
+    assert {(r.subject_id, r.side, r.n_correct) for r in ex.entry_diagnostics(f, F.col("midline_x")).collect()} == {(0, "left", 2), (1, "right", 2), (2, "right", 2)}

@@ -18,11 +18,23 @@ _BEFORE = (Window.unboundedPreceding, -1)
 BUCKETS = 64
 
 
-def with_buckets(df: DataFrame, keys: list[str], value: Column, out: str = "_bucket", buckets: int = BUCKETS) -> DataFrame:
-    """Add the number of the key's approximate quantiles below ``value``: 0 to ``buckets`` - 1, rising with it; equal values share a bucket."""
-    d = df.withColumn("_cut_by", value.cast("double"))
-    cuts = d.groupBy(*keys).agg(F.percentile_approx("_cut_by", [n / buckets for n in range(1, buckets)], 20 * buckets).alias("_cuts"))
-    return d.join(cuts, keys).withColumn(out, F.size(F.filter("_cuts", lambda c: c < F.col("_cut_by")))).drop("_cuts", "_cut_by")
+def with_buckets(df: DataFrame, keys: list[str], value: Column, out: str = "_bucket", buckets: int = BUCKETS, tie: Column | None = None) -> DataFrame:
+    """Add the number of the key's approximate quantiles below ``value``, rising with it; equal values share a bucket.
+
+    With ``tie``, a value so frequent that two neighbouring quantiles are equal to it has buckets of
+    its own, cut at the key's quantiles of ``tie``; numbers then rise with (value, tie), and where
+    that pair is unique no bucket grows with the number of equal values.
+    """
+    by = {"_cut_by": value} if tie is None else {"_cut_by": value, "_tie_by": tie}
+    d = df.withColumns({n: c.cast("double") for n, c in by.items()})
+    at = [n / buckets for n in range(1, buckets)]
+    cuts = d.groupBy(*keys).agg(*[F.percentile_approx(n, at, 20 * buckets).alias(f"{n}_cuts") for n in by])
+    below = lambda n: F.size(F.filter(f"{n}_cuts", lambda c: c < F.col(n)))
+    number = below("_cut_by")
+    if tie is not None:
+        full = F.size(F.filter("_cut_by_cuts", lambda c: c == F.col("_cut_by"))) > 1
+        number = number * (buckets + 1) + F.when(full, below("_tie_by") + 1).otherwise(0)
+    return d.join(cuts, keys).withColumn(out, number).drop(*by, *[f"{n}_cuts" for n in by])
 
 
 def two_stage_rank(df: DataFrame, keys: list[str], bucket: Column, order: list[Column],

@@ -138,8 +138,11 @@ def assign_fates(table: DataFrame, band: tuple[float, float] = C.LENGTH_BAND_PAS
     return table.withColumn("fate", fate)
 
 
-def funnel(fates: DataFrame, midline_x: float = 0.0) -> DataFrame:
-    """A10: counts, ratios and yields of every stage of pass-through extraction."""
+def funnel(fates: DataFrame, midline_x: float | Column = 0.0) -> DataFrame:
+    """A10: counts, ratios and yields of every stage of pass-through extraction.
+
+    ``midline_x`` may be a column of ``fates``, see ``rois.attach_midline``.
+    """
     ok = F.col("fate") != "length"
     left = F.col("x_mean") < midline_x
     stem = ok & F.col("brainstem")
@@ -163,8 +166,11 @@ def funnel(fates: DataFrame, midline_x: float = 0.0) -> DataFrame:
         "extraction_rate": ratio((c("left_count") + c("right_count")) * 100, c("total_input"), 0.0)})
 
 
-def entry_diagnostics(fates: DataFrame, midline_x: float = 0.0) -> DataFrame:
-    """Where streamlines enter the brainstem and how low the failing ones reach, per side."""
+def entry_diagnostics(fates: DataFrame, midline_x: float | Column = 0.0) -> DataFrame:
+    """Where streamlines enter the brainstem and how low the failing ones reach, per side.
+
+    ``midline_x`` may be a column of ``fates``, see ``rois.attach_midline``.
+    """
     f = fates.where(F.col("fate") != "length").withColumn(
         "side", F.when(F.col("x_mean") < midline_x, "left").otherwise("right"))
     on_side = F.when(F.col("side") == "left", F.col("entry_x") < midline_x).otherwise(F.col("entry_x") >= midline_x)
@@ -200,9 +206,10 @@ def select_top(scores: DataFrame, caps: DataFrame, keys: list[str]) -> DataFrame
     """The best ``cap`` scored streamlines per key, never one with score 0.
 
     Ties go to the higher streamline id. Ranks come from buckets cut at the key's own score
-    quantiles, so a whole side is never ordered in one task.
+    quantiles, and at id quantiles where many scores are equal, so a whole side is never ordered
+    in one task.
     """
-    pos = with_buckets(scores.where(F.col("score") > 0), keys, -F.col("score"), "_by_score")
+    pos = with_buckets(scores.where(F.col("score") > 0), keys, -F.col("score"), "_by_score", tie=-F.col("streamline_id"))
     r = two_stage_rank(pos, keys, F.col("_by_score"),
                        [F.col("score").desc(), F.col("streamline_id").desc()], out="rank").drop("_by_score")
     kept = r.join(caps.select(*keys, "cap"), keys)

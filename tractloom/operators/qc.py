@@ -30,7 +30,7 @@ def positive_voxel_stats(maps: DataFrame, scalars: tuple[str, ...] = C.SCALARS)
 
 def length_distribution(lengths: DataFrame) -> DataFrame:
     """Percentage of a subject's streamlines up to each one in order of length."""
-    d = with_buckets(lengths, S, F.col("length"), "_by_length")
+    d = with_buckets(lengths, S, F.col("length"), "_by_length", tie=F.col("streamline_id"))
     r = two_stage_rank(d, S, F.col("_by_length"), [F.col("length"), F.col("streamline_id")], out="_r", total="_n")
     return r.select(*S, "streamline_id", "length", ((F.col("_r") + 1) / F.col("_n") * 100).alias("cumulative_pct"))
 

@@ -127,8 +127,11 @@ def roi_geometry(mask: DataFrame, grid: G.Grid | None = None) -> DataFrame:
     return g.withColumn("midline_dist", F.abs("com_x"))
 
 
-def roi_hemisphere_split(mask: DataFrame, midline_x: float = 0.0, grid: G.Grid | None = None) -> DataFrame:
-    """Voxels left and right of the midline, their ratio (0 if none right) and percentages."""
+def roi_hemisphere_split(mask: DataFrame, midline_x: float | Column = 0.0, grid: G.Grid | None = None) -> DataFrame:
+    """Voxels left and right of the midline, their ratio (0 if none right) and percentages.
+
+    ``midline_x`` may be a column of ``mask``, see ``attach_midline``.
+    """
     x = _world("x", grid)
     g = mask.groupBy("subject_id", "roi").agg(
         count_if(x < midline_x).alias("left_voxels"), count_if(x >= midline_x).alias("right_voxels"),
@@ -161,25 +164,59 @@ def midline_x(space: DataFrame, subjects: DataFrame, grid: G.Grid | None = None)
             .select("subject_id", F.coalesce("m_slab", "m_all", lit(0.0)).alias("midline_x")))
 
 
+def attach_midline(rows: DataFrame, midlines: DataFrame) -> DataFrame:
+    """Each subject's own midline (``midline_x`` of A16) as a column; 0 for subjects without one."""
+    m = midlines.select("subject_id", "midline_x")
+    return rows.join(m, "subject_id", "left").withColumn("midline_x", F.coalesce("midline_x", lit(0.0)))
+
+
+def _envelope(at: np.ndarray, of: np.ndarray, known: np.ndarray, spacing: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Lower envelopes of the parabolas of + (spacing * (n - at))^2, one line per row of ``at`` and ``of``.
+
+    Row r holds known[r] parabolas by rising place. Returns (which, begin, last): which[r, m] is the
+    parabola that is least from begin[r, m] on, for m up to last[r]. All lines advance together; a
+    parabola enters once and leaves at most once, so the work is linear in the parabolas.
+    """
+    which, begin = np.zeros(at.shape, dtype=np.int64), np.full(at.shape, -np.inf)
+    last, s2 = np.zeros(len(at), dtype=np.int64), spacing * spacing
+    for q in range(1, at.shape[1]):
+        rows = np.flatnonzero(known > q)
+        while len(rows):
+            p = which[rows, last[rows]]
+            here, there = at[rows, q], at[rows, p]
+            cross = (here + there) / 2 + (of[rows, q] - of[rows, p]) / (2 * s2[rows] * (here - there))
+            hidden = cross <= begin[rows, last[rows]]
+            enters = rows[~hidden]
+            last[enters] += 1
+            which[enters, last[enters]], begin[enters, last[enters]] = q, cross[~hidden]
+            rows = rows[hidden]
+            last[rows] -= 1
+    return which, begin, last
+
+
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
 def _line_distance(places: pd.Series, values: pd.Series, low: pd.Series, high: pd.Series, spacing: pd.Series) -> pd.Series:
     """Squared distances at the places low..high of each line: min over its known places m of value + (spacing * (n - m))^2.
 
+    Read off the lower envelope of the parabolas, so time and memory are linear in a line's length.
     Lines are padded to one length and computed together, some hundred thousand numbers at a time.
     """
-    known = places.map(len).to_numpy()
-    at, of = np.full((len(known), known.max()), 0.0), np.full((len(known), known.max()), np.inf)
-    row, col = np.repeat(np.arange(len(known)), known), np.concatenate([np.arange(k) for k in known])
-    at[row, col], of[row, col] = np.concatenate(places.to_numpy()), np.concatenate(values.to_numpy())
-    lo, length, s = low.to_numpy(), (high - low + 1).to_numpy(), spacing.to_numpy()
-    steps = np.arange(length.max())
-    each = max(1, 500_000 // (len(steps) * at.shape[1]))
+    lo, hi, s, known = low.to_numpy(), high.to_numpy(), spacing.to_numpy(dtype=float), places.map(len).to_numpy()
+    each = max(1, 500_000 // known.max())
     out = []
     for k in range(0, len(known), each):
-        part = slice(k, k + each)
-        gap = (lo[part, None, None] + steps[None, :, None] - at[part, None, :]) * s[part, None, None]
-        nearest = (of[part, None, :] + gap * gap).min(axis=2)
-        out += [nearest[i, :n] for i, n in enumerate(length[part])]
+        rows = range(k, min(k + each, len(known)))
+        count = known[k:k + each]
+        at, of = np.zeros((len(rows), count.max())), np.zeros((len(rows), count.max()))
+        for r, n in enumerate(rows):
+            order = np.argsort(places.iat[n])
+            at[r, :count[r]], of[r, :count[r]] = places.iat[n][order], values.iat[n][order]
+        which, begin, last = _envelope(at, of, count, s[k:k + each])
+        for r, n in enumerate(rows):
+            steps = np.arange(lo[n], hi[n] + 1)
+            m = which[r, np.searchsorted(begin[r, :last[r] + 1], steps, side="right") - 1]
+            gap = (steps - at[r, m]) * s[n]
+            out.append(of[r, m] + gap * gap)
     return pd.Series(out)
 
 
@@ -221,15 +258,19 @@ def label_inventory(labels: DataFrame, subjects: DataFrame, expected: list[int])
     return d.join(bad, "subject_id")
 
 
-def densest_slices(masks: DataFrame, subjects: DataFrame, shape: tuple[int, int, int]) -> DataFrame:
-    """Per axis the slice with most region voxels, lowest index on ties, middle if none."""
+def densest_slices(masks: DataFrame, subjects: DataFrame, shape: tuple[int, int, int] | None = None) -> DataFrame:
+    """Per axis the slice with most region voxels, lowest index on ties, middle if none.
+
+    Without a common ``shape`` the middle is that of the subject's own nx, ny, nz.
+    """
     vox = masks.select(*VOX).distinct()
-    out = subjects.select("subject_id")
-    for axis, n in zip("ijk", shape):
+    sizes = [F.col(n).cast("int") for n in ("nx", "ny", "nz")] if shape is None else list(map(F.lit, shape))
+    out = subjects.select("subject_id", *[F.floor(n / 2).cast("int").alias(f"_mid_{a}") for a, n in zip("ijk", sizes)])
+    for axis in "ijk":
         best = (vox.groupBy("subject_id", axis).agg(F.count(F.lit(1)).alias("c"))
                 .groupBy("subject_id").agg(F.max_by(F.col(axis), F.struct("c", -F.col(axis))).alias(f"slice_{axis}"),
                                            F.max("c").alias(f"count_{axis}")))
         out = out.join(best, "subject_id", "left").withColumns({
-            f"slice_{axis}": F.coalesce(f"slice_{axis}", F.lit(n // 2)),
-            f"count_{axis}": F.coalesce(f"count_{axis}", F.lit(0))})
+            f"slice_{axis}": F.coalesce(f"slice_{axis}", f"_mid_{axis}"),
+            f"count_{axis}": F.coalesce(f"count_{axis}", F.lit(0))}).drop(f"_mid_{axis}")
     return out

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tractloom.functions import geometry as G
 from tractloom.functions.numeric import lit, rnd
 from tractloom.functions.stage import materialize
-from tractloom.operators import bricks, extract as ex, streamlines as sl
+from tractloom.operators import bricks, extract as ex, rois, streamlines as sl
 from tractloom.operators.geometry import voxelise
 from tractloom.plans import fixtures as fx
 from tractloom.plans.fixtures import GRID, SQL_LENS, SQL_VOX, r6, sql_fates
+from tractloom.plans.q_rois import A16_TABLE, BOUND, WITH, a16
 from tractloom.plans.registry import query
 
 M = repr(fx.MIDLINE) + "e0"
@@ -197,49 +199,92 @@ def a12(spark, sf):
     return s.withColumns({n: rnd(F.col(n)) for n, t in s.dtypes if t == "double"})
 
 
-@query("A10_passthrough_funnel", f"WITH {sql_fates(M)}" + f""",
+def _funnel_sql(m: str, rows: str = "fates") -> str:
+    return f"""
 g AS (SELECT subject_id, count(*) AS total_input, count(*) FILTER (in_band) AS after_length_filter,
-  count(*) FILTER (in_band AND xmean < {M}) AS input_left, count(*) FILTER (in_band AND xmean >= {M}) AS input_right,
-  count(*) FILTER (in_band AND bs) AS passes_brainstem, count(*) FILTER (in_band AND bs AND xmean < {M}) AS left_bs,
-  count(*) FILTER (in_band AND bs AND xmean >= {M}) AS right_bs, count(*) FILTER (in_band AND bs AND ml) AS passes_left_motor,
+  count(*) FILTER (in_band AND xmean < {m}) AS input_left, count(*) FILTER (in_band AND xmean >= {m}) AS input_right,
+  count(*) FILTER (in_band AND bs) AS passes_brainstem, count(*) FILTER (in_band AND bs AND xmean < {m}) AS left_bs,
+  count(*) FILTER (in_band AND bs AND xmean >= {m}) AS right_bs, count(*) FILTER (in_band AND bs AND ml) AS passes_left_motor,
   count(*) FILTER (in_band AND bs AND mr) AS passes_right_motor, count(*) FILTER (fate = 'left') AS left_count,
   count(*) FILTER (fate = 'right') AS right_count, count(*) FILTER (fate = 'bilateral_excluded') AS bilateral_excluded,
-  count(*) FILTER (fate = 'midline_excluded') AS midline_excluded FROM fates GROUP BY 1)
+  count(*) FILTER (fate = 'midline_excluded') AS midline_excluded FROM {rows} GROUP BY 1)
 SELECT *, left_count + right_count AS total_count,
   {r6('CASE WHEN input_right = 0 THEN 0e0 ELSE input_left / input_right::DOUBLE END')} AS input_lr_ratio,
   {r6('CASE WHEN right_bs = 0 THEN 0e0 ELSE left_bs / right_bs::DOUBLE END')} AS lr_bs,
   {r6('CASE WHEN left_bs = 0 THEN 0e0 ELSE passes_left_motor * 100 / left_bs::DOUBLE END')} AS left_motor_yield,
   {r6('CASE WHEN right_bs = 0 THEN 0e0 ELSE passes_right_motor * 100 / right_bs::DOUBLE END')} AS right_motor_yield,
-  {r6('(left_count + right_count) * 100 / total_input::DOUBLE')} AS extraction_rate FROM g""")
+  {r6('(left_count + right_count) * 100 / total_input::DOUBLE')} AS extraction_rate FROM g"""
+
+
+@query("A10_passthrough_funnel", f"WITH {sql_fates(M)}," + _funnel_sql(M))
 def a10(spark, sf):
     s = ex.funnel(fates(spark, sf, fx.MIDLINE), fx.MIDLINE)
     return s.withColumns({n: rnd(F.col(n)) for n, t in s.dtypes if t == "double"})
 
 
-@query("A11_entry_diagnostics", f"WITH {sql_fates(M)}" + f""",
-f AS (SELECT *, CASE WHEN xmean < {M} THEN 'left' ELSE 'right' END AS side FROM fates WHERE in_band),
+# every subject's own midline, that of A16; 0 where it has no volume
+SQL_OWN = f"{WITH}{BOUND}{A16_TABLE}, " + sql_fates("coalesce((SELECT m FROM mid WHERE mid.subject_id = f.subject_id), 0e0)") + """,
+own AS (SELECT fates.*, coalesce(m, 0e0) AS own_m FROM fates LEFT JOIN mid USING (subject_id)),"""
+
+
+def own_fates(spark, sf):
+    t = ex.streamline_table(fx.points(spark, sf), GRID, fx.roi_voxels(spark))
+    return ex.assign_fates(rois.attach_midline(t, a16(spark, sf)), fx.BAND, F.col("midline_x"))
+
+
+@query("A10_subject_midline", SQL_OWN + _funnel_sql("own_m", "own"))
+def a10_subject(spark, sf):
+    s = ex.funnel(own_fates(spark, sf), F.col("midline_x"))
+    return s.withColumns({n: rnd(F.col(n)) for n, t in s.dtypes if t == "double"})
+
+
+def _entry_sql(m: str, rows: str = "fates") -> str:
+    return f"""
+f AS (SELECT *, CASE WHEN xmean < {m} THEN 'left' ELSE 'right' END AS side FROM {rows} WHERE in_band),
 g AS (SELECT subject_id, side, count(entry_x) AS n_entries, avg(entry_x) AS mx,
-  count(*) FILTER (entry_x IS NOT NULL AND CASE WHEN side = 'left' THEN entry_x < {M} ELSE entry_x >= {M} END) AS n_correct,
+  count(*) FILTER (entry_x IS NOT NULL AND CASE WHEN side = 'left' THEN entry_x < {m} ELSE entry_x >= {m} END) AS n_correct,
   count(*) FILTER (NOT bs) AS n_failing, avg(zmin) FILTER (NOT bs) AS mz FROM f GROUP BY 1, 2)
 SELECT subject_id, side, n_entries, {r6('mx')} AS mean_entry_x, n_correct, n_failing, {r6('mz')} AS mean_min_z_failing,
-  {r6('CASE WHEN n_entries = 0 THEN NULL ELSE n_correct * 100 / n_entries::DOUBLE END')} AS pct_correct FROM g""")
+  {r6('CASE WHEN n_entries = 0 THEN NULL ELSE n_correct * 100 / n_entries::DOUBLE END')} AS pct_correct FROM g"""
+
+
+@query("A11_entry_diagnostics", f"WITH {sql_fates(M)}," + _entry_sql(M))
 def a11(spark, sf):
     s = ex.entry_diagnostics(fates(spark, sf, fx.MIDLINE), fx.MIDLINE)
     return s.withColumns({n: rnd(F.col(n)) for n, t in s.dtypes if t == "double"})
 
 
-@query("J17_peduncle_fa", f"""WITH {fx.SQL_VOLUMES}, {fx.SQL_VOLUME_GRIDS},
+@query("A11_subject_midline", SQL_OWN + _entry_sql("own_m", "own"))
+def a11_subject(spark, sf):
+    s = ex.entry_diagnostics(own_fates(spark, sf), F.col("midline_x"))
+    return s.withColumns({n: rnd(F.col(n)) for n, t in s.dtypes if t == "double"})
+
+
+def _peduncle_sql(m: str, rows: str = "t") -> str:
+    return f"""
 b AS (SELECT subject_id, {fx.SQL_WORLD_X} AS wx, {fx.SQL_WORLD_Y} AS wy, {fx.SQL_WORLD_Z} AS wz FROM vol JOIN grd USING (subject_id) WHERE label = 8),
 c AS (SELECT subject_id, quantile_cont(wz, 7e-1) AS cut FROM b GROUP BY 1),
 t AS (SELECT b.*, CAST(round_even((wx + 12e0) / 2e0, 0) AS INT) AS i, CAST(round_even((wy + 12e0) / 2e0, 0) AS INT) AS j, CAST(round_even((wz + 2e1) / 2e0, 0) AS INT) AS k
   FROM b JOIN c USING (subject_id) WHERE wz >= cut),
-s AS (SELECT t.subject_id, wx < 5e-1 AS l, ((i*7 + j*3 + k*11 + t.subject_id) % 97) / 97e0 AS fa FROM t
+s AS (SELECT t.subject_id, wx < {m} AS l, ((i*7 + j*3 + k*11 + t.subject_id) % 97) / 97e0 AS fa FROM {rows}
   WHERE i BETWEEN 0 AND 11 AND j BETWEEN 0 AND 11 AND k BETWEEN 0 AND 11)
 SELECT subject_id, {r6('coalesce(avg(fa) FILTER (l), 0e0)')} AS left_mean_fa, {r6('coalesce(avg(fa) FILTER (NOT l), 0e0)')} AS right_mean_fa,
-  count(*) FILTER (l) AS left_n, count(*) FILTER (NOT l) AS right_n FROM s GROUP BY 1""")
-def j17(spark, sf):
-    from tractloom.functions import geometry as G
-    v = G.attach_grid(fx.volumes(spark, sf), fx.volume_grids(spark, sf))
+  count(*) FILTER (l) AS left_n, count(*) FILTER (NOT l) AS right_n FROM s GROUP BY 1"""
+
+
+def _peduncle(spark, sf, brainstem, midline_x):
     fa_grid = G.Grid(((2.0, 0.0, 0.0, -12.0), (0.0, 2.0, 0.0, -12.0), (0.0, 0.0, 2.0, -20.0), (0.0, 0.0, 0.0, 1.0)), (12, 12, 12))
-    s = ex.peduncle_fa(v.where("label = 8"), fx.volumes(spark, sf), None, fa_grid, lit(0.5))
+    s = ex.peduncle_fa(brainstem, fx.volumes(spark, sf), None, fa_grid, midline_x)
     return s.withColumns({n: rnd(F.col(n)) for n in ("left_mean_fa", "right_mean_fa")})
+
+
+@query("J17_peduncle_fa", f"WITH {fx.SQL_VOLUMES}, {fx.SQL_VOLUME_GRIDS}," + _peduncle_sql("5e-1"))
+def j17(spark, sf):
+    v = G.attach_grid(fx.volumes(spark, sf), fx.volume_grids(spark, sf))
+    return _peduncle(spark, sf, v.where("label = 8"), lit(0.5))
+
+
+@query("J17_subject_midline", WITH + BOUND + A16_TABLE + "," + _peduncle_sql("coalesce(m, 0e0)", "t LEFT JOIN mid USING (subject_id)"))
+def j17_subject(spark, sf):
+    v = G.attach_grid(fx.volumes(spark, sf), fx.volume_grids(spark, sf))
+    return _peduncle(spark, sf, rois.attach_midline(v.where("label = 8"), a16(spark, sf)), F.col("midline_x"))

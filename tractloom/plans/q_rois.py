@@ -155,6 +155,26 @@ def a16(spark, sf):
     return rois.midline_x(_space(spark, sf), subjects).withColumn("midline_x", rnd(F.col("midline_x")))
 
 
+
+A16_TABLE = f""",
+w AS (SELECT subject_id, {SQL_WORLD_X} AS wx, {SQL_WORLD_Y} AS wy, {SQL_WORLD_Z} AS wz FROM bnd),
+q AS (SELECT subject_id, quantile_cont(wy, 15e-2) AS ylo, quantile_cont(wy, 85e-2) AS yhi,
+   quantile_cont(wz, 15e-2) AS zlo, quantile_cont(wz, 85e-2) AS zhi FROM w GROUP BY 1),
+mid AS (SELECT subject_id, {r6('coalesce(median(wx) FILTER (wy BETWEEN ylo AND yhi AND wz BETWEEN zlo AND zhi), median(wx), 0e0)')} AS m
+  FROM w JOIN q USING (subject_id) GROUP BY 1)"""
+
+
+@query("A9_subject_midline", WITH + MASKS + BOUND + A16_TABLE + f""",
+x AS (SELECT subject_id, roi, {SQL_WORLD_X} < coalesce(m, 0e0) AS l FROM masks JOIN grd USING (subject_id) LEFT JOIN mid USING (subject_id)),
+n AS (SELECT subject_id, roi, count(*) FILTER (l) AS left_voxels, count(*) FILTER (NOT l) AS right_voxels, count(*) AS total_voxels FROM x GROUP BY 1, 2)
+SELECT *, {r6('CASE WHEN right_voxels = 0 THEN 0e0 ELSE left_voxels::DOUBLE / right_voxels END')} AS lr_ratio,
+  {r6('left_voxels::DOUBLE / total_voxels * 100')} AS left_pct, {r6('right_voxels::DOUBLE / total_voxels * 100')} AS right_pct FROM n""")
+def a9_subject(spark, sf):
+    m = rois.attach_midline(G.attach_grid(_masks(spark, sf), fx.volume_grids(spark, sf)), a16(spark, sf))
+    g = rois.roi_hemisphere_split(m, F.col("midline_x"))
+    return g.withColumns({c: rnd(F.col(c)) for c in ("lr_ratio", "left_pct", "right_pct")})
+
+
 @query("A17_midline_distance", WITH + BOUND + f""",
 sz AS (SELECT subject_id, abs(sx) AS vx, sqrt(sh*sh + 4e0) AS vy, 25e-1 AS vz FROM grd),
 dst AS (SELECT s.subject_id, s.i, s.j, s.k, sqrt(min(((s.i-b.i)*vx)*((s.i-b.i)*vx) + ((s.j-b.j)*vy)*((s.j-b.j)*vy) + ((s.k-b.k)*vz)*((s.k-b.k)*vz))) AS d
@@ -197,17 +217,32 @@ def a18(spark, sf):
         rois.label_inventory(lab.where(~few), subjects.where(~few), [7, 107, 8, 55]))
 
 
-@query("A24_densest_slice", WITH + MASKS + """,
+A24 = """,
 v AS (SELECT DISTINCT subject_id, i, j, k FROM masks),
-subj AS (SELECT s_suppkey FROM supplier UNION ALL SELECT -1),
 ci AS (SELECT subject_id, i, count(*) AS c FROM v GROUP BY 1, 2), cj AS (SELECT subject_id, j, count(*) AS c FROM v GROUP BY 1, 2),
 ck AS (SELECT subject_id, k, count(*) AS c FROM v GROUP BY 1, 2),
 bi AS (SELECT subject_id, i, c FROM ci QUALIFY row_number() OVER (PARTITION BY subject_id ORDER BY c DESC, i) = 1),
 bj AS (SELECT subject_id, j, c FROM cj QUALIFY row_number() OVER (PARTITION BY subject_id ORDER BY c DESC, j) = 1),
-bk AS (SELECT subject_id, k, c FROM ck QUALIFY row_number() OVER (PARTITION BY subject_id ORDER BY c DESC, k) = 1)
+bk AS (SELECT subject_id, k, c FROM ck QUALIFY row_number() OVER (PARTITION BY subject_id ORDER BY c DESC, k) = 1)"""
+
+
+@query("A24_densest_slice", WITH + MASKS + A24 + """, subj AS (SELECT s_suppkey FROM supplier UNION ALL SELECT -1)
 SELECT s_suppkey AS subject_id, coalesce(i, 6) AS slice_i, coalesce(bi.c, 0) AS count_i, coalesce(j, 6) AS slice_j,
   coalesce(bj.c, 0) AS count_j, coalesce(k, 6) AS slice_k, coalesce(bk.c, 0) AS count_k
 FROM subj LEFT JOIN bi ON s_suppkey = bi.subject_id LEFT JOIN bj ON s_suppkey = bj.subject_id LEFT JOIN bk ON s_suppkey = bk.subject_id""")
 def a24(spark, sf):
     subjects = fx.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("subject_id"))
     return rois.densest_slices(_masks(spark, sf), subjects.union(spark.range(-1, 0)), (fx.BOX,) * 3)  # and a subject without regions
+
+
+@query("A24_subject_shapes", WITH + MASKS + A24 + """, subj AS (SELECT s_suppkey, 12 AS nx, 12 AS ny, 12 AS nz FROM supplier
+  UNION ALL SELECT -s_suppkey, 3 + s_suppkey % 5, 3 + s_suppkey % 7, 3 + s_suppkey % 11 FROM supplier)
+SELECT s_suppkey AS subject_id, CAST(coalesce(i, nx // 2) AS INT) AS slice_i, coalesce(bi.c, 0) AS count_i, CAST(coalesce(j, ny // 2) AS INT) AS slice_j,
+  coalesce(bj.c, 0) AS count_j, CAST(coalesce(k, nz // 2) AS INT) AS slice_k, coalesce(bk.c, 0) AS count_k
+FROM subj LEFT JOIN bi ON s_suppkey = bi.subject_id LEFT JOIN bj ON s_suppkey = bj.subject_id LEFT JOIN bk ON s_suppkey = bk.subject_id""")
+def a24_shapes(spark, sf):
+    s = F.col("s_suppkey")
+    t = fx.table(spark, sf, "supplier")
+    own = t.select(s.alias("subject_id"), *[F.lit(fx.BOX).cast("long").alias(n) for n in ("nx", "ny", "nz")])
+    empty = t.select((-s).alias("subject_id"), *[(3 + s % d).cast("long").alias(n) for n, d in (("nx", 5), ("ny", 7), ("nz", 11))])
+    return rois.densest_slices(_masks(spark, sf), own.union(empty))
