@@ -100,6 +100,24 @@ def test_language_of_held_out_texts(spark):
     assert op6.identify(docs.where("false")).collect() == []
 
 
+def test_dictionaries_reach_into_texts(spark):
+    """All texts open with the same letterless lines, longer than a slice; those of ``cc`` have one word only, behind them."""
+    rng = random.Random(7)
+    head = "0123456789 -- ** 42\n" * 120
+    syllables = {"aa": ["thi", "ing", "er", "on"], "bb": ["lich", "keit", "ver", "un"]}
+    say = lambda lang: " ".join("".join(rng.choice(syllables[lang]) for _ in range(3)) for _ in range(400))
+    rows = [(i, head + say(lang := "ab"[i % 2] * 2), lang) for i in range(80)] + [(100 + i, head * 3 + "ction", "cc") for i in range(8)] + [(200, head, "dd"), (2, say("aa"), "aa")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    content = op6.dictionaries(docs)
+    assert set(content) == {"aa", "bb", "cc"} and all(len(c) <= op6.TEXTS * (op6.SLICE + 1) for c in content.values())
+    assert b"ction" in content["cc"] and content["aa"].count(head[:1000].encode()) < 10
+    got = {(r["doc_id"], r["lang_pred"], r["rejected"]) for r in op6.identify(docs).collect()}
+    by = op6.compressors(content)
+    want = {(i, *(lambda c: (c[0], c[2]))(op6.classify(t, by))) for i, t, _ in rows}
+    assert got == want and all(p == "ab"[i % 2] * 2 for i, p, _ in got if i < 80) and (200, "und", True) in got
+
+
+
 def test_grammar_scopes():
     lexicon = op7.Lexicon({"idiot": 1.0, "scu*": 0.5, "scum*": 0.5})
     kinds = lambda t: set(op7.matches(t, lexicon))

@@ -1,3 +1,4 @@
+import math
 import random
 import re
 
@@ -102,6 +103,41 @@ def test_trees_learn_from_the_rules(spark):
     assert got == {900: "block", 901: "allow"}
 
 
+def test_suffix_statistics_cover_all_urls(spark):
+    """Against plain loops: every url counts, and a training row never sees the labels of its fold."""
+    hosts = ["a.com", "b.a.com", "example.com", "www.example.com", "x.net", "y.x.net", "z.org", ""]
+    rows = [(i, f"x://{hosts[i % 8]}/{'en' if i % 3 else 'es'}/{i}") for i in range(160)] + [(None, "x://a.com/"), (3, "x://a.com/en/")]
+    d = op3.describe(spark.createDataFrame(rows, "page_id long, url string"), op3.RULES)
+    all_rows = d.collect()
+    counts = {s: op3.suffix_counts(d, s) for s in ("tld", "site")}
+    for training in (False, True):
+        got = op3.with_suffixes(d.where("given is not null"), counts, 0.25, training).collect()
+        assert len(got) == sum(r["given"] is not None for r in all_rows)
+        for r in got:
+            for s in ("tld", "site"):
+                same = [o for o in all_rows if o[s] == r[s]]
+                seen = [o["given"] for o in same if o["given"] and not (training and o["fold"] == r["fold"])]
+                assert r[f"{s}_log_count"] == pytest.approx(math.log1p(len(same)))
+                assert r[f"{s}_block_rate"] == pytest.approx((seen.count("block") + op3.SMOOTH * 0.25) / (len(seen) + op3.SMOOTH))
+
+
+def test_url_query_follows_its_rules(spark, sf_dir):
+    """Host, path, rule and a rule's verdict of every page, against plain string handling."""
+    rules = {("com", "/"): "allow", ("example.com", "/en/"): "block", ("www.example.com", "/en/"): "allow", ("net", "/es/"): "block", ("net", "/fr/"): "block"}
+    urls = {r["page_id"]: r["url"] for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()}
+    got = op3.op3_url_filters(spark, sf_dir).collect()
+    assert len(got) == len(urls)
+    for r in got:
+        rest = (urls[r["page_id"]] or "").partition("://")[2]
+        host, path = re.match(r"([^/?#]*)([^?#]*)", rest, re.S).groups()
+        host = re.sub("[A-Z]", lambda c: c[0].lower(), host)
+        path = path if rest[len(host):len(host) + 1] == "/" else ""
+        fits = [(h, p) for h, p in rules if ("." + host).endswith("." + h) and path.startswith(p)]
+        best = max(fits, key=lambda f: len(f[0] + f[1]), default=None)
+        assert (r["host"], r["path"], r["rule"]) == (host, path, best and best[0] + best[1])
+        assert r["verdict"] == rules[best] if best else r["verdict"] in ("allow", "block")
+
+
 def test_entropy(spark):
     from pyspark.sql import functions as F
     d = spark.createDataFrame([("",), ("aaaa",), ("abab",), ("abcd",)], "t string")

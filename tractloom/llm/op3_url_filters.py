@@ -22,6 +22,8 @@ TRAIN = 20_000
 TREES, DEPTH = 8, 3
 #: Rows that the overall block rate counts for in a suffix's own.
 SMOOTH = 20
+#: A training row's suffix statistics leave out all labels of its fold, its own included.
+FOLDS = 5
 
 
 @dataclass(frozen=True)
@@ -77,16 +79,27 @@ def describe(pages: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
         many("/[^/]", "path").alias("depth"), F.size(F.split("host", r"\.")).cast("double").alias("host_labels"),
         F.when(n > 0, many("[0-9]") / n).otherwise(0.0).alias("digit_ratio"), entropy(url).alias("entropy"),
         many("[?&][^?&#]*=").alias("parameters"), many("[-_%@~#]").alias("marks"),
-        F.substring_index("host", ".", -1).alias("tld"), F.substring_index("host", ".", -2).alias("site"))
+        F.substring_index("host", ".", -1).alias("tld"), F.substring_index("host", ".", -2).alias("site"),
+        F.pmod(F.xxhash64("page_id"), F.lit(FOLDS)).alias("fold"))
 
 
-def _suffix_table(described: DataFrame, sample: DataFrame, suffix: str, rate: float) -> DataFrame:
-    """Per suffix: how many urls have it, and the smoothed share of blocked ones among the training rows."""
-    everywhere = described.groupBy(suffix).agg(F.count(F.lit(1)).alias("n"))
-    labelled = sample.groupBy(suffix).agg(F.sum("label").alias("blocked"), F.count(F.lit(1)).alias("m"))
-    share = (F.coalesce("blocked", F.lit(0)) + SMOOTH * rate) / (F.coalesce("m", F.lit(0)) + SMOOTH)
-    return materialize(everywhere.join(labelled, suffix, "left").select(
-        suffix, F.log1p("n").alias(f"{suffix}_log_count"), share.alias(f"{suffix}_block_rate")))
+def suffix_counts(described: DataFrame, suffix: str) -> DataFrame:
+    """Per suffix and fold of ids: n urls, m of them labelled, blocked among these; over all urls."""
+    return described.groupBy(suffix, "fold").agg(
+        F.count(F.lit(1)).alias("n"), F.count("given").alias("m"), F.count(F.when(F.col("given") == "block", 1)).alias("blocked"))
+
+
+def with_suffixes(rows: DataFrame, counts: dict[str, DataFrame], rate: float, training: bool) -> DataFrame:
+    """Add log count and smoothed block rate of each suffix; training rows see only the labels of other folds."""
+    for s, per_fold in counts.items():
+        whole = per_fold.groupBy(s).agg(*[F.sum(c).alias(c) for c in ("n", "m", "blocked")])
+        rows = rows.join(whole, s)
+        m, blocked = F.col("m"), F.col("blocked")
+        if training:
+            rows = rows.join(per_fold.select(s, "fold", F.col("m").alias("_m"), F.col("blocked").alias("_b")), [s, "fold"])
+            m, blocked = m - F.col("_m"), blocked - F.col("_b")
+        rows = rows.withColumns({f"{s}_log_count": F.log1p("n"), f"{s}_block_rate": (blocked + SMOOTH * rate) / (m + SMOOTH)}).drop("n", "m", "blocked", "_m", "_b")
+    return rows
 
 
 def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, train: int = TRAIN) -> DataFrame:
@@ -95,6 +108,7 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, train: int = TRAIN)
     block_score is the trees' probability, null where a rule decides. Urls that are null or lack ``://``
     have empty host and path, fit no rule and are judged by their other features. Where the rules label
     no url, or all alike, no trees can be trained and the rest gets that one verdict (without labels: allow).
+    At most ``train`` labelled urls fit the trees; suffix statistics come from all urls.
     """
     described = materialize(describe(pages, rules))
     label = (F.col("given") == "block").cast("double")
@@ -104,17 +118,15 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, train: int = TRAIN)
     if len(seen) < 2:
         score = F.lit(1.0 if 1.0 in seen else 0.0)
     else:
-        rate = seen[1.0] / sum(seen.values())
-        tables = [_suffix_table(described, sample, s, rate) for s in ("tld", "site")]
+        counts = {s: materialize(suffix_counts(described, s)) for s in ("tld", "site")}
+        m, blocked = counts["tld"].agg(F.sum("m"), F.sum("blocked")).first()
         assembler = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
 
-        def with_features(rows: DataFrame) -> DataFrame:
-            for s, t in zip(("tld", "site"), tables):
-                rows = rows.join(t, s)
-            return assembler.transform(rows)
+        def with_features(rows: DataFrame, training: bool = False) -> DataFrame:
+            return assembler.transform(with_suffixes(rows, counts, blocked / m, training))
 
         gbt = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=1, checkpointInterval=-1)
-        model = gbt.fit(with_features(sample).select("features", "label"))
+        model = gbt.fit(with_features(sample, True).select("features", "label"))
         rest = model.transform(with_features(described))
         score = vector_to_array(F.col("probability"))[1]
     verdict = F.coalesce("given", F.when(score >= 0.5, "block").otherwise("allow"))

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Iterator
 
 import pandas as pd
 import zstandard
@@ -18,7 +19,7 @@ from tractloom.functions.stage import materialize
 from tractloom.llm.common import read, remainder
 
 DIVISOR, HELD_OUT = 4, 2
-#: Learning texts of a language, and how many characters of each go into its dictionary.
+#: Learning texts of a language, and how many characters of each, from a hash-chosen place on, go into its dictionary.
 TEXTS, SLICE = 128, 1024
 LEVEL = 9
 #: Bytes compressed at a time; dictionaries tell languages apart best while a block is short.
@@ -33,13 +34,19 @@ _LETTER = re.compile(r"[^\W\d_]")
 def dictionaries(docs: DataFrame, texts: int = TEXTS, size: int = SLICE) -> dict[str, bytes]:
     """Dictionary content per language from the learning rows of ``docs`` (doc_id, text, lang).
 
-    One text for each of ``texts`` hash classes of ids, the one with the smallest hash: a bounded,
-    deterministic sample per language that needs no language's rows in one place.
+    One text with a letter for each of ``texts`` hash classes of ids, the one with the smallest hash: a
+    bounded, deterministic sample per language that needs no language's rows in one place. Its slice
+    starts at a hash-chosen place of the whole text, or at the first letter where that slice has none,
+    so a language with any letter has a dictionary; of several texts of one id the least slice is taken.
     """
     h = F.xxhash64("doc_id")
-    learn = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & (remainder("doc_id", DIVISOR) != HELD_OUT))
+    learn = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").rlike(r"\p{L}") & (remainder("doc_id", DIVISOR) != HELD_OUT))
     chosen = learn.groupBy("lang", F.pmod(h, F.lit(texts)).alias("part")).agg(F.min_by("doc_id", h).alias("doc_id")).select("lang", "doc_id")
-    rows = learn.select("lang", "doc_id", F.substring("text", 1, size).alias("text")).join(materialize(chosen), ["lang", "doc_id"]).distinct()
+    places = F.greatest(F.lit(1), F.char_length("text") - size + 1)
+    at = F.substring(F.col("text"), (F.pmod(F.xxhash64("doc_id", "text"), places) + 1).cast("int"), F.lit(size))
+    first = F.substring(F.col("text"), F.regexp_instr("text", F.lit(r"\p{L}")), F.lit(size))
+    rows = learn.select("lang", "doc_id", "text").join(materialize(chosen), ["lang", "doc_id"]).select(
+        "lang", "doc_id", F.when(at.rlike(r"\p{L}"), at).otherwise(first).alias("text")).groupBy("lang", "doc_id").agg(F.min("text").alias("text"))
     out: dict[str, list[str]] = {}
     for r in sorted(rows.collect(), key=lambda r: (r["lang"], r["doc_id"], r["text"])):
         out.setdefault(r["lang"], []).append(r["text"].lower())
@@ -77,9 +84,10 @@ def identify(docs: DataFrame) -> DataFrame:
     content = dictionaries(docs)
 
     @F.pandas_udf("lang_pred string, score double, rejected boolean")
-    def predict(texts: pd.Series) -> pd.DataFrame:
+    def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         by_lang = compressors(content)
-        return pd.DataFrame([classify(t, by_lang) for t in texts], columns=["lang_pred", "score", "rejected"])
+        for texts in batches:
+            yield pd.DataFrame([classify(t, by_lang) for t in texts], columns=["lang_pred", "score", "rejected"])
 
     return docs.select("doc_id", predict(docs["text"]).alias("found")).select("doc_id", "found.*")
 
