@@ -132,9 +132,9 @@ def nearest_distance(source: DataFrame, target: DataFrame, start: float = 2.0, g
     First every source gets an upper bound: the distance to one target sampled around its cell, for
     ``reach`` growing cell sizes, or to any target of its subject. Then it opens only cells that its
     bound can touch: at most 8 of the cell size just above twice the bound, their boxes of targets
-    level by level, and at last the points of the remaining fine cells. No source meets all targets,
-    equal source points are searched once (``weight`` counts them), and crowded cells are spread
-    over tasks by salted joins.
+    level by level, and at last the points of the remaining fine cells. No source meets all targets
+    and equal source points are searched once (``weight`` counts them); the joins are plain, so Spark
+    splits crowded cells at run time.
     """
     tgt = materialize(target.select(*_PID).distinct())
     src = source.groupBy(*_PID).agg(F.count(F.lit(1)).alias("weight"))
