@@ -12,34 +12,18 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tractloom import constants as C
 from tractloom.functions.stage import materialize
+from tractloom.sources.stores import empty_files, file_digests, found_files, relative, with_magic
 
 
 def list_files(spark: SparkSession, root: str, magic: bool = False) -> DataFrame:
-    """Listing of a folder; with ``magic`` all files but those named as DICOM or NIfTI are looked into for their magic.
-
-    Of files in a mounted folder 132 bytes are read; files in any other store come through ``binaryFile``, whole.
-    """
-    base = root.rstrip("/")
-    opts = {"recursiveFileLookup": "true"}
-    rel = F.regexp_replace("path", "^.*?" + base.replace(".", "\\.") + "/", "")
-    found = spark.read.format("binaryFile").options(**opts).load(base)
+    """Listing of a folder in any store; with ``magic`` all files but those named as DICOM or NIfTI are looked into for theirs, 132 bytes each."""
+    found, rel = found_files(spark, root), relative(root)
     files = found.select(rel.alias("path"), F.col("length").alias("size"))
     if not magic:
         return files.withColumn("magic", F.lit(False))
     unnamed = found.where(~F.lower("path").rlike(r"\.(dcm|dicom|nii|nii\.gz)$"))
-    mounted = F.col("path").startswith("file:")
-    near = unnamed.where(mounted).select("path").mapInPandas(_heads, "path string, magic boolean").select(rel.alias("path"), "magic")
-    far = unnamed.where(~mounted).select(rel.alias("path"), (F.substring("content", 129, 4) == F.lit(b"DICM")).alias("magic"))
-    return files.join(near.union(far), "path", "left").withColumn("magic", F.coalesce("magic", F.lit(False)))
-
-
-def _heads(batches):
-    for batch in batches:
-        found = []
-        for path in batch["path"]:
-            with open("/" + path.removeprefix("file:").lstrip("/"), "rb") as f:
-                found.append(f.read(132)[128:] == b"DICM")
-        yield batch.assign(magic=found)
+    heads = with_magic(unnamed).select(rel.alias("path"), "magic")
+    return files.join(heads, "path", "left").withColumn("magic", F.coalesce("magic", F.lit(False)))
 
 
 def _name(path: Column) -> Column:
@@ -193,13 +177,27 @@ def choose_single_series(series: DataFrame, requests: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------------------------- integrity
 
-def verify_files(contents: DataFrame, manifest: DataFrame) -> DataFrame:
-    """SHA-256 of each file against the manifest; a missing file does not verify.
-
-    ``contents``: key, content (as read by ``binaryFile``); ``manifest``: key, sha256, tag, ….
-    """
-    h = contents.select("key", F.sha2("content", 256).alias("actual"))
-    d = manifest.join(h, "key", "left")
+def _checked(manifest: DataFrame, digests: DataFrame) -> DataFrame:
+    d = manifest.join(digests, "key", "left")
     return d.withColumns({"present": F.col("actual").isNotNull(),
                           "valid": F.coalesce(F.col("actual") == F.lower("sha256"), F.lit(False)),
                           "tier2": F.col("tag").isNotNull()}).drop("actual")
+
+
+def verify_files(contents: DataFrame, manifest: DataFrame) -> DataFrame:
+    """SHA-256 of each content against the manifest; a missing one does not verify.
+
+    ``contents``: key, content; ``manifest``: key, sha256, tag, ….
+    """
+    return _checked(manifest, contents.select("key", F.sha2("content", 256).alias("actual")))
+
+
+def verify_folder(spark: SparkSession, root: str, manifest: DataFrame) -> DataFrame:
+    """SHA-256 of each file below ``root``, read in chunks, against the manifest; ``size`` is null for a missing file.
+
+    ``manifest``: key (path below ``root``), sha256, tag, …, but no size of its own.
+    """
+    full = materialize(file_digests(spark, root))
+    empty = empty_files(spark, root, manifest.select("key").distinct().join(full, "key", "left_anti"))
+    nothing = empty.select("key", F.sha2(F.lit(b""), 256).alias("actual"), F.lit(0).cast("long").alias("size"))
+    return _checked(manifest, full.unionByName(nothing))
