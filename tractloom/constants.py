@@ -90,3 +90,6 @@ def cohort_headers() -> list[str]:
         for region, _, _ in TRACT_REGIONS:
             cols += [f"left_{s}_{region}", f"right_{s}_{region}", f"{s}_{region}_laterality_index"]
     return cols
+
+#: Files that an extraction writes, by their names in its report.
+EXTRACTION_OUTPUTS = ("cst_left", "cst_right", "cst_combined")
