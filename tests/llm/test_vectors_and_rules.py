@@ -23,6 +23,17 @@ def test_bound_never_hides_a_link():
     assert set(zip(i.tolist(), j.tolist())) == set(zip(*(a.tolist() for a in np.nonzero(np.einsum("id,jd->ij", u, u) >= 0.98))))
 
 
+def test_very_large_and_very_small_vectors_link(spark):
+    rng = np.random.default_rng(1)
+    base = rng.normal(size=8)
+    rows = [(k, (base * f).tolist(), 1) for k, f in enumerate((1.0, 1e200, 1e-200, 1.5e308 / np.abs(base).max(), 5e-310, -1e200))] + [(6, [1e-200, *[0.0] * 7], 1), (7, [1e200, *[1.0] * 7], 1)]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in op1.near_duplicates(v, block=3).collect()}
+    assert got == {**{k: (4, 0) for k in range(5)}, 5: (0, 5), 6: (1, 6), 7: (1, 6)}
+    plain = rng.normal(size=(50, 33)).astype(np.float32).astype(float)
+    assert (op1.units(plain) == plain / np.linalg.norm(plain, axis=1, keepdims=True)).all()
+
+
 def test_vectors_of_every_odd_kind(spark):
     nan, inf = float("nan"), float("inf")
     one = [1.0, 0.0]

@@ -34,9 +34,15 @@ def quantise(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     return codes.astype(exact), scale, np.linalg.norm(coded, axis=1), np.linalg.norm(unit - coded, axis=1)
 
 
+def units(v: np.ndarray) -> np.ndarray:
+    """Unit vectors; components are first scaled by a power of two, which changes none of their digits, so no length overflows or vanishes."""
+    v = np.ldexp(v, -np.frexp(np.abs(v).max(axis=1, keepdims=True))[1])
+    return v / np.linalg.norm(v, axis=1, keepdims=True)
+
+
 def links(x: np.ndarray, y: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs of rows of ``x`` and ``y`` whose cosine is at least ``threshold``."""
-    ux, uy = (v / np.linalg.norm(v, axis=1, keepdims=True) for v in (x, y))
+    ux, uy = units(x), units(y)
     (qx, sx, cx, ex), (qy, sy, cy, ey) = quantise(ux), quantise(uy)
     upper = (qx @ qy.T) * np.outer(sx, sy) + np.outer(cx, ey) + np.outer(ex, cy) + np.outer(ex, ey)
     i, j = np.nonzero(upper >= threshold - SLACK)
