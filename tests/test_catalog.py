@@ -16,7 +16,7 @@ def test_every_operator_has_a_query_with_sql():
     assert set(catalog.ORACLE) <= set(catalog.QUERIES)
 
 
-@pytest.mark.parametrize("name", ["fa_laterality", "J4_endpoint_extraction", "F5_roi_masks", "W2_shells", "T2_best_series", "S3_sidecar_pairing", "J14_resume", "H7_name_cleaners", "S2_input_type", "S7_study_scan", "H12_tag_labels", "W4_jacobian_sparse", "A17_distance_sparse", "J12_hemisphere_alignment"])
+@pytest.mark.parametrize("name", ["fa_laterality", "J4_endpoint_extraction", "F5_roi_masks", "W2_shells", "T2_best_series", "S3_sidecar_pairing", "J14_resume", "H7_name_cleaners", "S2_input_type", "S7_folder_scan", "S9_folder_integrity", "S10_extraction_report", "S14_import_reports", "S7_study_scan", "H12_tag_labels", "W4_jacobian_sparse", "A17_distance_sparse", "J12_hemisphere_alignment"])
 def test_query_matches_sql(spark, name):
     if not Path(DATA).exists():
         pytest.skip("no test tables")
