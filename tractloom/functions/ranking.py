@@ -13,6 +13,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tractloom.functions.stage import materialize
+
 _BEFORE = (Window.unboundedPreceding, -1)
 #: Buckets of a key; its counts per bucket are the most that one window holds of a key at once.
 BUCKETS = 64
@@ -24,11 +26,14 @@ def with_buckets(df: DataFrame, keys: list[str], value: Column, out: str = "_buc
     With ``tie``, a value so frequent that two neighbouring quantiles are equal to it has buckets of
     its own, cut at the key's quantiles of ``tie``; numbers then rise with (value, tie), and where
     that pair is unique no bucket grows with the number of equal values.
+
+    The cuts are written once: approximate quantiles depend on the order in which parts of a key
+    arrive, so a plan that reads the buckets twice would see two different cuts.
     """
     by = {"_cut_by": value} if tie is None else {"_cut_by": value, "_tie_by": tie}
     d = df.withColumns({n: c.cast("double") for n, c in by.items()})
     at = [n / buckets for n in range(1, buckets)]
-    cuts = d.groupBy(*keys).agg(*[F.percentile_approx(n, at, 20 * buckets).alias(f"{n}_cuts") for n in by])
+    cuts = materialize(d.groupBy(*keys).agg(*[F.percentile_approx(n, at, 20 * buckets).alias(f"{n}_cuts") for n in by]))
     below = lambda n: F.size(F.filter(f"{n}_cuts", lambda c: c < F.col(n)))
     number = below("_cut_by")
     if tie is not None:
