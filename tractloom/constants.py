@@ -93,3 +93,6 @@ def cohort_headers() -> list[str]:
 
 #: Files that an extraction writes, by their names in its report.
 EXTRACTION_OUTPUTS = ("cst_left", "cst_right", "cst_combined")
+
+#: Places to which a mean coordinate (mm) is rounded before it is compared with a plane; sums in another order differ by less.
+MEAN_PLACES = 9

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tractloom import constants as C
 from tractloom.functions import geometry as G
-from tractloom.functions.numeric import count_if, lit, ratio
+from tractloom.functions.numeric import count_if, lit, ratio, rnd
 from tractloom.functions.ranking import exact_percentiles, two_stage_rank, with_buckets
 from tractloom.operators import bricks
 from tractloom.operators.geometry import voxelise
@@ -110,11 +110,12 @@ def streamline_table(points: DataFrame, grid: G.Grid | None, roi_voxels: DataFra
 
     Region flags and (if given) scalar maps are packed into bricks first, so vertices go through one
     exchange and one join on their brick, which AQE can split if a brick is crowded; length comes
-    from the block-wise pass along the streamline.
+    from the block-wise pass along the streamline. ``x_mean`` is rounded to ``MEAN_PLACES``
+    places, so that a mean on a midline does not change sides with the order of its sum.
     """
     packed = bricks.pack(maps, scalars) if maps is not None else None
     v = bricks.visit(voxelise(points, grid), bricks.pack_masks(roi_voxels, ROIS), ROIS, packed, scalars)
-    extra = [F.min("x").alias("x_min"), F.max("x").alias("x_max"), F.avg("x").alias("x_mean"),
+    extra = [F.min("x").alias("x_min"), F.max("x").alias("x_max"), rnd(F.avg("x"), C.MEAN_PLACES).alias("x_mean"),
              F.min("z").alias("z_min"),
              F.min_by("x", F.when(F.col("brainstem"), F.col("pt_idx"))).alias("entry_x")]
     if maps is not None:

@@ -224,7 +224,7 @@ def a10(spark, sf):
 
 # every subject's own midline, that of A16; 0 where it has no volume
 SQL_OWN = f"{WITH}{BOUND}{A16_TABLE}, " + sql_fates("coalesce((SELECT m FROM mid WHERE mid.subject_id = f.subject_id), 0e0)") + """,
-own AS (SELECT fates.*, coalesce(m, 0e0) AS own_m FROM fates LEFT JOIN mid USING (subject_id)),"""
+own AS (SELECT fates.* REPLACE (round_even(xmean * 1e9, 0) / 1e9 AS xmean), coalesce(m, 0e0) AS own_m FROM fates LEFT JOIN mid USING (subject_id)),"""
 
 
 def own_fates(spark, sf):
