@@ -54,8 +54,12 @@ def _affine_row(row: list[float], p: Row3) -> Column:
 
 
 def attach_grid(df: DataFrame, grids: DataFrame) -> DataFrame:
-    """Add each subject's grid columns and the inverse affine (``inv``, 12 numbers)."""
-    return df.join(with_inverse(grids), ["subject_id"])
+    """Add each subject's grid columns and the inverse affine (``inv``, 12 numbers).
+
+    Grids are hashed where their subject's rows are: they grow with the subjects, so they never pass
+    the driver, and the rows neither are sorted nor move if they lie by subject already.
+    """
+    return df.join(with_inverse(grids).hint("shuffle_hash"), ["subject_id"])
 
 
 def with_inverse(grids: DataFrame) -> DataFrame:

@@ -132,13 +132,22 @@ def roi_voxels(spark: SparkSession) -> DataFrame:
 # ------------------------------------------------ one small volume per supplier (voxel operators)
 
 BOX = 12
+#: Volumes that one task makes, about.
+TASK_VOLUMES = 256
 
 
 def volumes(spark: SparkSession, sf: str) -> DataFrame:
-    """12^3 voxels per supplier: FA, raw atlas label, brain mask."""
+    """12^3 voxels per supplier: FA, raw atlas label, brain mask.
+
+    Suppliers are dealt over tasks before their voxels are made, as their file is one small split, and
+    a task makes those of about ``TASK_VOLUMES``; the product with the places of a box lets Spark know
+    how large the table is, which it does not of an explode.
+    """
     s = F.col("subject_id")
-    v = (table(spark, sf, "supplier").select(F.col("s_suppkey").alias("subject_id"))
-         .withColumn("v", F.explode(F.sequence(F.lit(0), F.lit(BOX ** 3 - 1)))))
+    people = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("subject_id"))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-people.count() // TASK_VOLUMES))
+    places = spark.range(0, BOX ** 3, 1, 1).select(F.col("id").cast("int").alias("v"))
+    v = people.repartition(parts, "subject_id").crossJoin(F.broadcast(places))
     v = v.select("subject_id", F.expr("v div 144").cast("int").alias("i"),
                  F.expr("(v div 12) % 12").cast("int").alias("j"),
                  F.expr("v % 12").cast("int").alias("k"))
