@@ -88,13 +88,21 @@ def report_columns() -> list[str]:
     return C.cohort_headers()[6:]
 
 
+def _wide(metrics: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per key with a column per report column, in one aggregation; names are turned to numbers first."""
+    names = report_columns()
+    place = F.create_map(*[x for n, c in enumerate(names) for x in (F.lit(c), F.lit(n))])[F.col("column")]
+    d = metrics.select(*keys, place.alias("_n"), "value")
+    return d.groupBy(*keys).agg(*[F.max(F.when(F.col("_n") == n, F.col("value"))).alias(c) for n, c in enumerate(names)])
+
+
 def cohort_table(results: DataFrame, metrics: DataFrame) -> DataFrame:
     """Fixed columns, one row per result; metrics only for successes; missing stay NULL.
 
-    ``metrics``: subject_id, session_id, column, value. The pivot has a fixed column list, so it
-    is one aggregation.
+    ``metrics``: subject_id, session_id, column, value. The columns are a fixed list, so a task first
+    makes one row of a unit's values and only such rows are exchanged.
     """
-    wide = _unit(metrics).groupBy(*UNIT).pivot("column", report_columns()).agg(F.max("value"))
+    wide = _wide(_unit(metrics), UNIT)
     ok = F.col("status") == "success"
     d = _unit(results).join(wide, UNIT, "left")
     status = {"duration_seconds": rnd(F.col("duration_seconds"), 1)}
@@ -130,7 +138,7 @@ def nested_report(columns: DataFrame) -> DataFrame:
 
 def flat_report(columns: DataFrame) -> DataFrame:
     """One flat row per subject."""
-    return columns.groupBy("subject_id").pivot("column", report_columns()).agg(F.max("value"))
+    return _wide(columns, ["subject_id"])
 
 
 def write_cohort(table: DataFrame, path: str) -> None:

@@ -281,7 +281,7 @@ def _results(spark, sf):
 @query("S11_cohort_table", f"""WITH {RESULTS} SELECT subject_id, session_id, status, error_category, {r6('duration_seconds', 1)} AS duration_seconds, error,
   {", ".join(f"CASE WHEN status = 'success' AND (subject_id + {n}) % 5 > 0 THEN {r6(f'o_totalprice / {n + 1}e0', 3)} END AS {c}" for n, c in enumerate(co.report_columns()))} FROM lst""")
 def s11(spark, sf):
-    r = _results(spark, sf)
+    r = materialize(_results(spark, sf))
     cols = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(c).alias("column")) for n, c in enumerate(co.report_columns())])
     m = r.select("subject_id", "session_id", "o_totalprice", F.inline(cols)).where((F.col("subject_id") + F.col("n")) % 5 > 0)
     m = m.withColumn("value", rnd(F.col("o_totalprice") / (F.col("n") + 1).cast("double"), 3))
