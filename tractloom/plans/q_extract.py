@@ -69,8 +69,8 @@ def u1(spark, sf):
     return ex.endpoint_bundles(ex.extract_endpoints(fx.points(spark, sf), GRID, fx.roi_voxels(spark), fx.BAND))
 
 
-def fates(spark, sf, midline=0.0):
-    t = ex.streamline_table(fx.points(spark, sf), GRID, fx.roi_voxels(spark))
+def fates(spark, sf, midline=0.0, points=None):
+    t = ex.streamline_table(fx.points(spark, sf) if points is None else points, GRID, fx.roi_voxels(spark))
     return ex.assign_fates(t, fx.BAND, lit(midline))
 
 
@@ -121,14 +121,15 @@ sel AS (SELECT s.* FROM (SELECT *, row_number() OVER (PARTITION BY subject_id, s
 
 
 def _bidir(spark, sf):
-    f = materialize(fates(spark, sf).where("fate <> 'length'"))
+    p = materialize(fx.points(spark, sf))  # four steps read the vertices
+    f = materialize(fates(spark, sf, points=p).where("fate <> 'length'"))
     g = F.expr("streamline_id div 8")
     m = g % 4
     fwd = f.where(F.col("brainstem") & m.isin(0, 1)).withColumn("side", F.when(m == 0, "left").otherwise("right"))
     rev = f.where(((m == 2) & F.col("motor_left")) | ((g % 8 == 3) & F.col("motor_right"))) \
         .withColumn("side", F.when(m == 2, "left").otherwise("right"))
     key = ["subject_id", "streamline_id"]
-    v = _vox(spark, sf)
+    v = voxelise(p, GRID).select(*key, "i", "j", "k", "inb")
     dens = ex.density_map(v.join(rev.select(*key, "side"), key), ["side"])
     scores = ex.overlap_scores(v.join(fwd.select(*key, "side"), key), dens, ["side"])
     caps = fwd.groupBy("subject_id", "side").agg(F.count(F.lit(1)).alias("nf")).join(
