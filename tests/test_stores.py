@@ -61,3 +61,19 @@ def test_paths_of_stores():
     assert s.at("/a b/c")[1] == s.at("file:/a b/c")[1] == s.at("file:///a b/c")[1] == "/a b/c" and len(s.opened) == 1
     s.opened["s3", "bucket"] = (s.at("/x")[0], "bucket")
     assert s.at("s3a://bucket/k/v%20.dcm")[1] == "bucket/k/v%20.dcm" == s.at("s3://bucket/k/v%20.dcm")[1]
+
+
+def test_folders_are_listed_by_tasks(spark, tmp_path):
+    """Many small files: read by a bounded number of tasks, at any depth; hidden names and empty files are left out."""
+    for d in ("a", "a/b/c", "d", ".hid", "_x"):
+        (tmp_path / "r" / d).mkdir(parents=True)
+        for n in range(40):
+            (tmp_path / "r" / d / f"f{n}.json").write_text(f'{{"n": {n}}}')
+    (tmp_path / "r" / "a" / "empty.json").write_text("")
+    (tmp_path / "r" / "a" / "other.txt").write_text("x")
+    root = f"{tmp_path}/r"
+    got = {r.path: r.length for r in st.found_files(spark, root, "*.json").select(st.relative(root).alias("path"), "length").collect()}
+    assert got == {f"{d}/f{n}.json": len(f'{{"n": {n}}}') for d in ("a", "a/b/c", "d") for n in range(40)}
+    texts = st.file_texts(spark, root, "*.json")
+    assert "FileScan binaryFile" not in texts._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r.value for r in texts.collect()) == sorted([f'{{"n": {n}}}' for n in range(40)] * 3)

@@ -12,6 +12,7 @@ from pyspark.sql.types import StructType
 
 from tractloom import constants as C
 from tractloom.operators.cohort import import_records, nested_report
+from tractloom.sources.stores import file_texts
 
 #: JSON keeps fields that are null.
 _JSON = {"ignoreNullFields": "false"}
@@ -92,5 +93,4 @@ def import_report_records(series: DataFrame) -> DataFrame:
 
 def read_records(spark: SparkSession, path: str, schema: StructType | str, glob: str = "*.json") -> DataFrame:
     """(record) of every JSON file with that ending below a folder, one row per file; null where a file does not parse."""
-    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).option("wholetext", "true").text(path)
-    return files.select(F.from_json("value", schema).alias("record"))
+    return file_texts(spark, path, glob).select(F.from_json("value", schema).alias("record"))

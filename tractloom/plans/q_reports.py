@@ -140,7 +140,7 @@ def s10_bilateral(spark, sf):
   CAST(nb AS INT) AS n_b_values, pe AS phase_encoding, series_type, score > 0 AS suitable, score FROM sco""")
 def s14_import(spark, sf):
     ok = F.col("series") % 6 > 0
-    s = se.assess(_series(spark, sf)).withColumns({"subject_id": F.col("series"), "success": ok, "converter": F.when(ok, "native")})
+    s = materialize(se.assess(_series(spark, sf))).withColumns({"subject_id": F.col("series"), "success": ok, "converter": F.when(ok, "native")})
     root = _written(rp.import_report_records(s), spark)
     got = rp.read_records(spark, root, """processing_info struct<subject_id: long>, input struct<series_name: string, n_dicom_files: long>, conversion struct<success: boolean, converter: string>,
         data_properties struct<b_values: array<double>, phase_encoding: string>, quality_assessment struct<series_type: string, suitable_for_tractography: boolean, suitability_score: double>""")

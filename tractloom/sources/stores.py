@@ -7,19 +7,25 @@ read by the same code and only the bytes that are asked for move.
 
 from __future__ import annotations
 
+import fnmatch
 import hashlib
 import re
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
+from tractloom.functions.stage import materialize
+
 #: Bytes held at a time while a file is hashed.
 CHUNK = 4 << 20
+#: Files whose results a task hands on at a time.
+ROWS = 1024
 #: Where the magic of a DICOM file is.
 MAGIC_AT, MAGIC = 128, b"DICM"
 _PATH = re.compile(r"^([A-Za-z][A-Za-z0-9+.-]*):(?://([^/]*))?(/.*)$", re.S)
@@ -49,6 +55,11 @@ class Stores:
         with store.open_input_file(at) as f:
             return f.read_at(min(n, f.size()), 0)
 
+    def whole(self, path: str) -> bytes:
+        store, at = self.at(path)
+        with store.open_input_stream(at, compression=None) as f:
+            return f.read()
+
     def digest(self, path: str, chunk: int = CHUNK) -> tuple[str, int]:
         """SHA-256 and size of a file, ``chunk`` bytes in memory at a time."""
         store, at = self.at(path)
@@ -65,15 +76,39 @@ def relative(root: str) -> Column:
     return F.regexp_replace("path", "^.*?" + re.escape(root.rstrip("/")) + "/", "")
 
 
+def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What lies in each folder, hidden names (as Spark has them) left out."""
+    stores = Stores()
+    for batch in batches:
+        for folder in batch.column("path").to_pylist():
+            store, at = stores.at(folder)
+            found = [i for i in store.get_file_info(fs.FileSelector(at)) if i.base_name[0] != "." and (i.base_name[0] != "_" or "=" in i.base_name)]
+            for s in range(0, len(found), ROWS):
+                part = found[s:s + ROWS]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([f"{folder.rstrip('/')}/{i.base_name}" for i in part], pa.string()), pa.array([i.size or 0 for i in part], pa.int64()),
+                     pa.array([i.type == fs.FileType.Directory for i in part], pa.bool_())], ["path", "length", "folder"])
+
+
+def _dealt(df: DataFrame, *by: str) -> DataFrame:
+    """Rows dealt over as many tasks as shuffles have, however few bytes they are: each stands for a file or a folder."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
+
+
 def found_files(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:
-    """(path, length) of all files below a folder.
+    """(path, length) of all files below a folder that hold anything; ``glob``: shell pattern of their names.
 
-    Only names and lengths are read. Spark fills its input partitions by file length, so tasks over
-    them get about equal bytes and a large file has a task of its own. Spark's file sources leave out
-    empty files.
+    Tasks list the folders, level by level, and the listing is a staged table, so neither the driver
+    holds it nor does a task stand for a few dozen files, as with Spark's own file sources. One
+    folder is listed by one task.
     """
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    return (reader.option("pathGlobFilter", glob) if glob else reader).load(root).select("path", "length")
+    level, every = spark.createDataFrame([(qualified(spark, root),)], "path string"), []
+    while not level.isEmpty():
+        seen = materialize(level.mapInArrow(_entries, "path string, length long, folder boolean"))
+        every.append(seen.where("not folder and length > 0").select("path", "length"))
+        level = _dealt(seen.where("folder").select("path"))
+    found = reduce(DataFrame.unionAll, every)
+    return found.where(F.regexp_like(F.substring_index("path", "/", -1), F.lit(fnmatch.translate(glob)))) if glob else found
 
 
 def _magic(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,15 +120,29 @@ def _magic(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def with_magic(files: DataFrame) -> DataFrame:
     """(path, magic) of files; 132 bytes of each are read."""
-    return files.select("path").mapInArrow(_magic, "path string, magic boolean")
+    return _dealt(files.select("path"), "path").mapInArrow(_magic, "path string, magic boolean")
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     stores = Stores()
     for batch in batches:
-        for path in batch.column("path").to_pylist():  # a row at a time: a file may take minutes
-            sha, size = stores.digest(path)
-            yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([sha]), pa.array([size], pa.int64())], ["path", "actual", "size"])
+        paths = batch.column("path").to_pylist()
+        for s in range(0, len(paths), ROWS):
+            done = [stores.digest(p) for p in paths[s:s + ROWS]]
+            yield pa.RecordBatch.from_arrays([pa.array(paths[s:s + ROWS]), pa.array([d for d, _ in done]), pa.array([n for _, n in done], pa.int64())], ["path", "actual", "size"])
+
+
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    stores = Stores()
+    for batch in batches:
+        paths = batch.column("path").to_pylist()
+        for s in range(0, len(paths), ROWS):
+            yield pa.RecordBatch.from_arrays([pa.array([stores.whole(p).decode(errors="replace") for p in paths[s:s + ROWS]], pa.string())], ["value"])
+
+
+def file_texts(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:
+    """(value) the whole text of every file with content, for small files."""
+    return _dealt(found_files(spark, root, glob).select("path"), "path").mapInArrow(_texts, "value string")
 
 
 def qualified(spark: SparkSession, path: str) -> str:
@@ -117,7 +166,7 @@ def empty_files(spark: SparkSession, root: str, keys: DataFrame) -> DataFrame:
 
 def file_digests(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:
     """(key, actual, size): path below ``root``, SHA-256 and size of every file with content, of any length, in bounded memory."""
-    found = found_files(spark, root, glob).select("path").mapInArrow(_digests, "path string, actual string, size long")
+    found = _dealt(found_files(spark, root, glob).select("path"), "path").mapInArrow(_digests, "path string, actual string, size long")
     return found.select(relative(root).alias("key"), "actual", "size")
 
 
@@ -202,4 +251,4 @@ def write_records(records: DataFrame, path: str, overwrite: bool = False) -> Non
     if twice:
         raise ValueError(f"name occurs twice: {twice[0]['name']!r}")
     spark.dataSource.register(RecordFiles)
-    records.select("name", "content").write.format("record_files").mode("overwrite" if overwrite else "append").save(path)
+    _dealt(records.select("name", "content"), "name").write.format("record_files").mode("overwrite" if overwrite else "append").save(path)
