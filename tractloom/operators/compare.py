@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tractloom import constants as C
@@ -125,27 +128,150 @@ def _sample_near(tgt: DataFrame, size: float) -> DataFrame:
     return near.groupBy("subject_id", "a", "b", "c").agg(F.min_by("t", F.struct(off, "t")).alias("t"))
 
 
-def nearest_distance(source: DataFrame, target: DataFrame, start: float = 2.0, growth: float = 4.0,
-                     reach: int = 5, fine: float = 1.0) -> DataFrame:
-    """Exact distance from each source point to the nearest target point of its subject.
+#: Points in the block of a mean point, and pairs whose distances a task holds at once.
+LEAF, PAIRS = 4096, 1 << 16
+#: Points that one task searches, about.
+TASK_POINTS = 1 << 18
+_CELL = ["subject_id", "a", "b", "c"]
+
+
+def _block_size(points: DataFrame, largest: float = 128.0, least: float = 2.0 ** -10) -> tuple[float, int]:
+    """Edge of the blocks, a power of two by which a mean point shares its block with at most ``LEAF`` others, and the number of points."""
+    size, rows = largest, 0
+    while size > least:
+        n = points.groupBy("subject_id", *_cell(size)).agg(F.count(F.lit(1)).cast("double").alias("n"))
+        pairs, rows = n.agg(F.sum(F.col("n") * F.col("n")), F.sum("n")).first()
+        if not rows or pairs <= LEAF * rows:
+            break
+        size /= 2 ** min(4, max(1, math.ceil(math.log2(pairs / rows / LEAF) / 3)))
+    return max(size, least), int(rows or 0)
+
+
+def _least_squares(s: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Squared distance of each point of ``s`` to the nearest of ``t`` and the other way round; inf where there is none."""
+    to_t, to_s = np.full(len(s), np.inf), np.full(len(t), np.inf)
+    for k in range(0, len(t), PAIRS):
+        part = t[k:k + PAIRS]
+        each = max(1, PAIRS // max(1, len(part)))
+        for n in range(0, len(s), each):
+            one = s[n:n + each]
+            d = np.subtract.outer(one[:, 0], part[:, 0]) ** 2
+            d += np.subtract.outer(one[:, 1], part[:, 1]) ** 2
+            d += np.subtract.outer(one[:, 2], part[:, 2]) ** 2
+            to_t[n:n + each] = np.minimum(to_t[n:n + each], d.min(axis=1))
+            to_s[k:k + PAIRS] = np.minimum(to_s[k:k + PAIRS], d.min(axis=0))
+    return to_t, to_s
+
+
+_FOUND = "subject_id long, way int, x double, y double, z double, weight long, u double, total double, squares double"
+
+
+def _in_block(size: float, ways: tuple[int, ...], fold: bool):
+    """Nearest points within a block: a row per point that may have a nearer one outside, and with ``fold`` one of sums for all others."""
+
+    def run(block: pd.DataFrame) -> pd.DataFrame:
+        xyz, weight = block[["x", "y", "z"]].to_numpy(), block[["w0", "w1"]].to_numpy()
+        side = [weight[:, 0] > 0, weight[:, 1] > 0]
+        corner = block[["a", "b", "c"]].iloc[0].to_numpy().astype(float) * size
+        border = np.minimum(xyz - corner, corner + size - xyz).min(axis=1)
+        out = []
+        for way, u in zip((0, 1), _least_squares(xyz[side[0]], xyz[side[1]])):
+            if way not in ways or not len(u):
+                continue
+            at, w, d = xyz[side[way]], weight[side[way], way], np.sqrt(u)
+            done = (u == 0) | (d * (1 + 1e-9) < border[side[way]])
+            rows = ~done if fold else np.ones(len(u), dtype=bool)
+            out.append(pd.DataFrame({"way": way, "x": at[rows, 0], "y": at[rows, 1], "z": at[rows, 2], "weight": w[rows], "u": u[rows],
+                                     "total": np.where(done, w * d, np.nan)[rows], "squares": np.where(done, w * u, np.nan)[rows]}))
+            if fold and done.any():
+                out.append(pd.DataFrame({"way": [way], "x": np.nan, "y": np.nan, "z": np.nan, "weight": [w[done].sum()], "u": [0.0],
+                                         "total": [(w * d)[done].sum()], "squares": [(w * u)[done].sum()]}))
+        if not out:
+            return pd.DataFrame({n.split()[0]: [] for n in _FOUND.split(", ")})
+        return pd.concat(out, ignore_index=True).assign(subject_id=block["subject_id"].iat[0])[[n.split()[0] for n in _FOUND.split(", ")]]
+
+    return run
+
+
+def _next_door(asked: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
+    """Squared distances from points to the nearest target of another block that their bound touches."""
+    xyz = block[["x", "y", "z"]].to_numpy()
+    out = []
+    for way, rows in asked.groupby("way"):
+        u, _ = _least_squares(rows[["x", "y", "z"]].to_numpy(), xyz[block[f"w{1 - way}"].to_numpy() > 0])
+        out.append(rows.assign(u=np.minimum(u, rows["u"].to_numpy())))
+    return pd.concat(out)[["subject_id", "way", "x", "y", "z", "weight", "u"]] if out else asked[["subject_id", "way", "x", "y", "z", "weight", "u"]]
+
+
+def _nearest(points: DataFrame, ways: tuple[int, ...] = (0, 1), fold: bool = False) -> DataFrame:
+    """Nearest points of two sets: subject_id, way, x, y, z, weight, total and squares (weight times distance and its square).
+
+    ``points`` has subject_id, x, y, z and side (0 or 1); way 0 leads from side 0 to side 1. Points
+    without three finite coordinates and those of a subject without the other side are left out, equal
+    ones are one row with their number as ``weight``. With ``fold`` rows may stand for many points
+    (x, y and z are null).
+
+    Space is cut into blocks, the smaller the denser the points lie, so that a point meets a bounded
+    number of others however many there are. Both ways are searched at once in the tasks that hold a
+    block. What is found is final unless the block's border is nearer: such points go on to the few
+    neighbour blocks whose targets lie within the distance found, and those whose distance exceeds half
+    a block, or whose block has no target, to a search through growing cells.
+    """
+    kind = points.schema["subject_id"].dataType
+    fine = [F.abs(a) < lit(float("inf")) for a in "xyz"]
+    pts = materialize(points.where(reduce(lambda p, q: p & q, fine)).select(
+        F.col("subject_id").cast("long").alias("subject_id"), *[(F.col(a) + lit(0.0)).alias(a) for a in "xyz"], F.col("side").cast("int").alias("side")))
+    size, rows = _block_size(pts)
+    tasks = max(int(pts.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // TASK_POINTS))
+    blocks = pts.select(*_PID, "side", *_cell(size)).repartition(tasks, *_CELL).groupBy(*_CELL, "x", "y", "z").agg(
+        *[F.sum((F.col("side") == n).cast("long")).alias(f"w{n}") for n in (0, 1)])
+    found = materialize(blocks.groupBy(*_CELL).applyInPandas(_in_block(size, ways, fold), _FOUND))
+    r = F.sqrt("u") * lit(1.0 + 1e-9)
+    late = found.where(F.col("total").isNull()).drop("total", "squares").withColumn("_r", r)
+    near, far = late.where(F.col("_r") * 2 <= size), late.where(F.col("_r") * 2 > size)
+
+    boxes = materialize(pts.select("*", *_cell(size)).groupBy(*_CELL, (1 - F.col("side")).alias("way")).agg(
+        *[f(a).alias(f"{m}{a}") for a in "xyz" for m, f in (("lo", F.min), ("hi", F.max))]))
+    ask = near.select("*", *[c.alias(f"_{c0}") for c, c0 in zip([F.floor(F.col(a) / lit(size)).cast("long") for a in "xyz"], "abc")])
+    for x, c in zip("xyz", "abc"):
+        lo, hi = [F.floor((F.col(x) + s * F.col("_r")) / lit(size)).cast("long") for s in (-1, 1)]
+        ask = ask.withColumn(c, F.explode(F.sequence(lo, hi)))
+    ask = ask.where("a <> _a or b <> _b or c <> _c").join(boxes, [*_CELL, "way"])
+    gap = _sq([F.greatest(F.col(f"lo{a}") - F.col(a), F.col(a) - F.col(f"hi{a}"), lit(0.0)) for a in "xyz"])
+    ask = ask.where(gap <= F.col("u")).select("subject_id", "way", "x", "y", "z", "weight", "u", *"abc")
+    there = pts.select(*_PID, *[(F.col("side") == n).cast("int").alias(f"w{n}") for n in (0, 1)], *_cell(size))
+    met = ask.repartition(tasks, *_CELL).groupBy(*_CELL).cogroup(there.repartition(tasks, *_CELL).groupBy(*_CELL)).applyInPandas(
+        _next_door, "subject_id long, way int, x double, y double, z double, weight long, u double")
+    own = near.select("subject_id", "way", "x", "y", "z", "weight", "u")
+    least = own.unionByName(met).groupBy("subject_id", "way", "x", "y", "z").agg(F.max("weight").alias("weight"), F.min("u").alias("u"))
+    if not far.isEmpty():
+        own = F.struct("subject_id", "way").alias("subject_id")  # both ways at once
+        tgt = pts.withColumn("way", 1 - F.col("side")).where(F.col("way").isin(*ways)).select(own, "x", "y", "z").distinct()
+        last = _far(far.select(own, "x", "y", "z", "weight", "u"), materialize(tgt), size)
+        least = least.unionByName(last.select("subject_id.*", "x", "y", "z", "weight", "u"))
+    w, d = F.col("weight"), F.sqrt("u")
+    out = found.where(F.col("total").isNotNull()).select("subject_id", "way", "x", "y", "z", "weight", "total", "squares").unionByName(
+        least.select("subject_id", "way", "x", "y", "z", "weight", (w * d).alias("total"), (w * F.col("u")).alias("squares")))
+    return out.withColumn("subject_id", F.col("subject_id").cast(kind))
+
+
+def _far(src: DataFrame, tgt: DataFrame, fine: float, growth: float = 4.0, head: float = 512.0) -> DataFrame:
+    """Squared distances ``u`` of points that lie far from all targets, for the size of the blocks ``fine``.
 
     First every source gets an upper bound: the distance to one target sampled around its cell, for
-    ``reach`` growing cell sizes, or to any target of its subject. Then it opens only cells that its
-    bound can touch: at most 8 of the cell size just above twice the bound, their boxes of targets
-    level by level, and at last the points of the remaining fine cells. No source meets all targets
-    and equal source points are searched once (``weight`` counts them); the joins are plain, so Spark
-    splits crowded cells at run time.
+    growing cell sizes, or to any target of its subject. Then it opens only cells that its bound can
+    touch: at most 8 of the cell size just above twice the bound, their boxes of targets level by
+    level, and at last the points of the remaining blocks. No source meets all targets.
     """
-    tgt = materialize(target.select(*_PID).distinct())
-    src = source.groupBy(*_PID).agg(F.count(F.lit(1)).alias("weight"))
+    reach = max(1, math.ceil(math.log(head / fine, growth)))
     anyone = tgt.groupBy("subject_id").agg(F.min(F.struct("x", "y", "z")).alias("t"))
     gap = [F.col(a) - F.col(f"t.{a}") for a in "xyz"]
-    src = src.join(anyone, ["subject_id"]).withColumn("u", _sq(gap)).drop("t")
+    src = src.join(anyone, ["subject_id"]).withColumn("u", F.least("u", _sq(gap))).drop("t")
     for n in range(reach):
-        size = start * growth ** n
+        size = fine * growth ** n
         hit = src.select("*", *_cell(size)).join(_sample_near(tgt, size), ["subject_id", "a", "b", "c"], "left")
         src = hit.withColumn("u", F.least("u", _sq(gap))).drop("a", "b", "c", "t")
-    sizes = [start * 2 * growth ** n for n in range(reach + 1)]
+    sizes = [fine * 2 * growth ** n for n in range(reach + 1)]
     r = F.sqrt("u") * lit(1.0 + 1e-9)
     level = F.lit(len(sizes) - 1)
     for n in reversed(range(len(sizes) - 1)):
@@ -161,11 +287,16 @@ def nearest_distance(source: DataFrame, target: DataFrame, start: float = 2.0, g
             own = own.withColumn(c, F.explode(F.sequence(lo, hi)))
         own = own.drop("_r")
         cand = own if cand is None else own.unionByName(_descend(cand, tgt, size, size * growth))
-    if sizes[0] > fine:
-        cand = _descend(cand, tgt, fine, sizes[0])
-    pts = tgt.select("subject_id", *_cell(min(fine, sizes[0])), F.struct("x", "y", "z").alias("t"))
+    cand = _descend(cand, tgt, fine, sizes[0])
+    pts = tgt.select("subject_id", *_cell(fine), F.struct("x", "y", "z").alias("t"))
     return cand.join(pts, ["subject_id", "a", "b", "c"]).groupBy(*_PID).agg(
-        F.max("weight").alias("weight"), F.sqrt(F.min(_sq(gap))).alias("distance"))
+        F.max("weight").alias("weight"), F.min(_sq(gap)).alias("u"))
+
+
+def nearest_distance(source: DataFrame, target: DataFrame) -> DataFrame:
+    """Exact distance from each distinct source point to the nearest target point of its subject; ``weight`` counts equal ones."""
+    both = source.select(*_PID, F.lit(0).alias("side")).unionByName(target.select(*_PID, F.lit(1).alias("side")))
+    return _nearest(both, (0,)).select(*_PID, "weight", (F.col("total") / F.col("weight")).alias("distance"))
 
 
 def _descend(cand: DataFrame, tgt: DataFrame, size: float, parent: float) -> DataFrame:
@@ -183,21 +314,20 @@ def mean_closest_distance(candidate: DataFrame, reference: DataFrame, step: floa
     subject of ``subjects`` (by default of either bundle) with an empty bundle has NaN throughout.
     """
     n_out = F.when(F.col("length") < step, F.lit(2)).otherwise(F.greatest(F.lit(2), F.floor(F.col("length") / lit(step))))
-    c, r = materialize(resample(candidate, n_out)), materialize(resample(reference, n_out))
-    d = nearest_distance(c, r).withColumn("way", F.lit("c2r")).unionByName(
-        nearest_distance(r, c).withColumn("way", F.lit("r2c")))
-    w, x = F.col("weight"), F.col("distance")
+    c, r = [resample(d, n_out).select("subject_id", "x", "y", "z", F.lit(side).alias("side")) for side, d in enumerate((candidate, reference))]
+    d = _nearest(c.unionByName(r), fold=True)
+    w, total, squares = F.col("weight"), F.sum("total"), F.sum("squares")
 
-    def mean(cond: Column) -> Column:
-        return F.sum(F.when(cond, w * x)) / F.sum(F.when(cond, w))
+    def mean(way: int) -> Column:
+        one = F.col("way") == way
+        return F.sum(F.when(one, F.col("total"))) / F.sum(F.when(one, w))
 
-    g = d.groupBy("subject_id").agg(
-        mean(F.col("way") == "c2r").alias("cand_to_ref"), mean(F.col("way") == "r2c").alias("ref_to_cand"),
-        (F.sum(w * x) / F.sum(w)).alias("_m"), (F.sum(w * x * x) / F.sum(w)).alias("_q"))
+    g = d.groupBy("subject_id").agg(mean(0).alias("cand_to_ref"), mean(1).alias("ref_to_cand"),
+                                    (total / F.sum(w)).alias("_m"), (squares / F.sum(w)).alias("_q"))
     g = g.select("subject_id", ((F.col("cand_to_ref") + F.col("ref_to_cand")) / 2).alias("symmetric"),
                  "cand_to_ref", "ref_to_cand",
                  F.sqrt(F.greatest(F.col("_q") - F.col("_m") * F.col("_m"), lit(0.0))).alias("std"))
-    every = subjects if subjects is not None else c.select("subject_id").union(r.select("subject_id"))
+    every = subjects if subjects is not None else candidate.select("subject_id").union(reference.select("subject_id"))
     return every.select("subject_id").distinct().join(g, "subject_id", "left").na.fill(float("nan"))
 
 
