@@ -33,6 +33,14 @@ def test_volumes_are_dealt_over_tasks(spark, monkeypatch):
     assert v.rdd.getNumPartitions() >= n / 2
 
 
+def test_densest_slices_read_the_masks_once(spark):
+    rows = [(1, "a", 2, 0, 5), (1, "a", 1, 0, 5), (1, "b", 1, 0, 5), (1, "a", 1, 3, 4), (2, "a", 0, 0, 0)]
+    masks = spark.createDataFrame(rows, "subject_id long, roi string, i int, j int, k int")
+    got = rois.densest_slices(masks, spark.range(1, 4).withColumnRenamed("id", "subject_id"), (9, 7, 5))
+    assert _plan(got).count("Scan ExistingRDD") == 1
+    assert sorted(map(tuple, got.collect())) == [(1, 1, 2, 0, 2, 5, 2), (2, 0, 1, 0, 1, 0, 1), (3, 4, 0, 3, 0, 2, 0)]
+
+
 def test_plane_clamps_before_duplicates_meet(spark):
     rows = [(1, i, j, 5, lab) for i in range(8) for j in range(8) for lab in (7, 107) if (i + j) % 3 == 0]
     lab = spark.createDataFrame(rows, "subject_id long, i int, j int, k int, label int")

@@ -267,16 +267,17 @@ def label_inventory(labels: DataFrame, subjects: DataFrame, expected: list[int])
 def densest_slices(masks: DataFrame, subjects: DataFrame, shape: tuple[int, int, int] | None = None) -> DataFrame:
     """Per axis the slice with most region voxels, lowest index on ties, middle if none.
 
-    Without a common ``shape`` the middle is that of the subject's own nx, ny, nz.
+    Without a common ``shape`` the middle is that of the subject's own nx, ny, nz. The masks are read
+    once for the three axes.
     """
     vox = masks.select(*VOX).distinct()
     sizes = [F.col(n).cast("int") for n in ("nx", "ny", "nz")] if shape is None else list(map(F.lit, shape))
     out = subjects.select("subject_id", *[F.floor(n / 2).cast("int").alias(f"_mid_{a}") for a, n in zip("ijk", sizes)])
-    for axis in "ijk":
-        best = (vox.groupBy("subject_id", axis).agg(F.count(F.lit(1)).alias("c"))
-                .groupBy("subject_id").agg(F.max_by(F.col(axis), F.struct("c", -F.col(axis))).alias(f"slice_{axis}"),
-                                           F.max("c").alias(f"count_{axis}")))
-        out = out.join(best, "subject_id", "left").withColumns({
-            f"slice_{axis}": F.coalesce(f"slice_{axis}", f"_mid_{axis}"),
-            f"count_{axis}": F.coalesce(f"count_{axis}", F.lit(0))}).drop(f"_mid_{axis}")
-    return out
+    slices = vox.select("subject_id", F.inline(F.array(*[F.struct(F.lit(a).alias("axis"), F.col(a).alias("at")) for a in "ijk"])))
+    counts = slices.groupBy("subject_id", "axis", "at").agg(F.count(F.lit(1)).alias("c"))
+    best = counts.groupBy("subject_id").agg(*[g for a in "ijk" for g in (
+        F.max_by(F.when(F.col("axis") == a, F.col("at")), F.when(F.col("axis") == a, F.struct("c", -F.col("at")))).alias(f"slice_{a}"),
+        F.max(F.when(F.col("axis") == a, F.col("c"))).alias(f"count_{a}"))])
+    out = out.join(best, "subject_id", "left")
+    return out.select("subject_id", *[c for a in "ijk" for c in (
+        F.coalesce(f"slice_{a}", f"_mid_{a}").alias(f"slice_{a}"), F.coalesce(f"count_{a}", F.lit(0)).alias(f"count_{a}"))])

@@ -133,7 +133,7 @@ def roi_voxels(spark: SparkSession) -> DataFrame:
 
 BOX = 12
 #: Volumes that one task makes, about.
-TASK_VOLUMES = 256
+TASK_VOLUMES = 64
 
 
 def volumes(spark: SparkSession, sf: str) -> DataFrame:
