@@ -2,6 +2,7 @@ import json
 import os
 
 from tractloom.operators import reports as rp
+from tractloom.plans import q_reports
 from tractloom.sources import stores as st
 
 AT = "2024-01-02 03:04:05"
@@ -49,3 +50,10 @@ def test_metrics_records_written_and_read_back(spark, tmp_path):
     (tmp_path / "r" / "broken.json").write_text("{")
     got = [r.record for r in rp.read_records(spark, f"{tmp_path}/r", "subject_id long, metrics struct<left: map<string, double>>").collect()]
     assert {r.subject_id: r.metrics.left["fa_mean"] for r in got if r and r.subject_id} == {1: 0.5, 2: 0.75} and len(got) == 3
+
+
+def test_bilateral_record_makes_the_profile_once(spark, monkeypatch):
+    calls, plain = [], q_reports.me.tract_profile
+    monkeypatch.setattr(q_reports.me, "tract_profile", lambda *a, **k: calls.append(1) or plain(*a, **k))
+    assert q_reports.s10_bilateral(spark, "/root/testdata/sf0.001").count() == 9 * 2 * 20
+    assert len(calls) == 1

@@ -142,8 +142,11 @@ def region_means(profile: DataFrame, n_points: int = C.PROFILE_POINTS) -> DataFr
 
 
 def metrics_long(bundle: DataFrame, grid: G.Grid, maps: DataFrame,
-                 scalars: tuple[str, ...] = C.SCALARS, subjects: DataFrame | None = None) -> DataFrame:
-    """All metrics of a bundle as (subject_id, side, metric, value); zeros for an empty side of ``subjects``."""
+                 scalars: tuple[str, ...] = C.SCALARS, subjects: DataFrame | None = None, profile: DataFrame | None = None) -> DataFrame:
+    """All metrics of a bundle as (subject_id, side, metric, value); zeros for an empty side of ``subjects``.
+
+    ``profile`` is the bundle's ``tract_profile`` where the caller needs it too, so it is made once.
+    """
     v = materialize(voxelise(bundle, grid))
     bundle = v
     morph = morphology(bundle, v, lit(grid.voxel_volume), subjects).unpivot(
@@ -152,7 +155,9 @@ def metrics_long(bundle: DataFrame, grid: G.Grid, maps: DataFrame,
     summ = summ.withColumns({c: F.col(c).cast("double") for c in ("n_sampled", "n_samples")})
     summ = summ.unpivot([*SIDE, "scalar"], [c for c in summ.columns if c not in (*SIDE, "scalar")], "stat", "value") \
         .select(*SIDE, F.concat_ws("_", "scalar", "stat").alias("metric"), "value")
-    reg = region_means(tract_profile(bundle, grid, maps, scalars, subjects=subjects)) \
+    if profile is None:
+        profile = tract_profile(bundle, grid, maps, scalars, subjects=subjects)
+    reg = region_means(profile) \
         .select(*SIDE, F.concat_ws("_", "scalar", "region").alias("metric"), "value")
     return morph.unionByName(summ).unionByName(reg)
 

@@ -120,12 +120,12 @@ SELECT subject_id, side, {r6("CASE side WHEN 'left' THEN ln ELSE rn END")} AS n_
 FROM prf JOIN q USING (subject_id) WHERE scalar = 'fa'""")
 def s10_bilateral(spark, sf):
     b, people, maps = bundles(spark, sf), subjects(spark, sf), fx.voxels(spark)
-    m = materialize(me.metrics_long(b, GRID, maps, subjects=people))
+    profile = materialize(me.tract_profile(b, GRID, maps, subjects=people))
+    m = materialize(me.metrics_long(b, GRID, maps, subjects=people, profile=profile))
     columns = co.side_columns(m, me.compare_sides(m))
     limits = F.struct(lit(fx.BAND[0]).alias("min_length"), lit(fx.BAND[1]).alias("max_length")).alias("qc_thresholds")
     meta = people.select("subject_id", F.create_map(F.lit("grid"), F.lit("x".join(map(str, GRID.shape)))).alias("acquisition"),
                          F.create_map(F.lit("extraction"), F.lit("passthrough")).alias("processing"), limits)
-    profile = me.tract_profile(b, GRID, maps, subjects=people)
     root = _written(rp.metrics_records(columns, profile, meta, "1", AT), spark)
     side = "map<string, double>"
     got = rp.read_records(spark, root, f"""subject_id long, qc_thresholds struct<min_length: double>, metrics struct<left: {side}, right: {side}, asymmetry: {side},
