@@ -93,3 +93,81 @@ def test_odd_rows(spark, docs_of):
     docs = docs_of([(1, None), (2, ""), (None, "a b c d e f g"), (5, "a b c d e f g"), (5, "a b c d e f g"), (6, "x")])
     assert sorted(r["doc_id"] for r in nc.keep_one(docs).collect()) == [1, 5, 6]
     assert nc.keep_one(docs.where("false")).collect() == []
+
+
+def test_similar_sets_share_a_key():
+    rng = np.random.default_rng(5)
+    near = 0
+    for _ in range(4000):
+        n = int(rng.choice([2, 4, 5, 9, 20, 63, 64, 65, 90, 300]))
+        x = rng.integers(-(1 << 62), 1 << 62, n)
+        y = np.concatenate([x[int(rng.integers(0, n // 8 + 1)):], rng.integers(-(1 << 62), 1 << 62, int(rng.integers(0, n // 8 + 2)))])
+        x, y = np.unique(x), np.unique(y)
+        if nc.similar(np.array([len(np.intersect1d(x, y))]), np.array([len(x)]), np.array([len(y)]))[0] and len(x) + len(y) > 2:
+            near += 1
+            assert len(np.intersect1d(nc.neighbours(x[:nc.KEYS]), nc.neighbours(y[:nc.KEYS])))
+    assert near > 1000 and len(nc.neighbours(x[:1])) == 0
+
+
+def test_forest_has_the_components():
+    rng = np.random.default_rng(6)
+    for links in (0, 5, 30, 200):
+        i, j = rng.integers(0, 60, links), rng.integers(0, 60, links)
+        least = list(range(60))
+        for _ in range(60):
+            for a, b in zip(i, j):
+                least[a] = least[b] = min(least[a], least[b])
+        assert nc.forest(i, j, 60).tolist() == least
+
+
+def test_counts_of_few_and_of_many():
+    rng = np.random.default_rng(8)
+    common = np.arange(40)
+    sets = [np.unique(np.concatenate([common[rng.random(40) < 0.8], rng.integers(100, 3000, 60)])) for _ in range(150)]
+    ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int64)
+    x, y = np.arange(100), np.arange(50, 150)
+    got = nc.overlaps(np.concatenate(sets), ends, x, y)
+    assert got.tolist() == [[len(np.intersect1d(sets[a], sets[b])) for b in y] for a in x]
+
+
+def test_rows_follow_texts_not_pairs(spark, docs_of, monkeypatch):
+    """Many texts of one group that are nearly similar enough, where all pairs of heads agree, and a group that is."""
+    rng = random.Random(11)
+    texts = {}
+    for share, first in ((0.055, 0), (0.01, 400)):
+        words = [f"w{rng.randrange(4000)}" for _ in range(150)]
+        texts |= {first + i: " ".join(edited(rng, words, share)) for i in range(400)}
+    rows = {}
+
+    def counted(df, name=None):
+        out = staged(df, name)
+        rows[name] = out.count()
+        return out
+
+    staged = nc.materialize
+    monkeypatch.setattr(nc, "materialize", counted)
+    found = nc.near_copies(docs_of(list(texts.items())), block=64)
+    assert {r["doc_id"]: r["component_id"] for r in found.collect()} == brute(texts)[0]
+    assert max(rows.values()) <= nc.HEAD * len(texts), rows
+
+
+def test_covering_tables_link_close_fingerprints(spark, docs_of, monkeypatch):
+    rng = np.random.default_rng(9)
+    prints = [int(p) for p in rng.integers(-(1 << 62), 1 << 62, 40)]
+    rows = [(i, p) for i, p in enumerate(prints)] + [(100 + i, p ^ 0b1111 << i) for i, p in enumerate(prints[:20])] + [(200 + i, p ^ 0b11111 << i) for i, p in enumerate(prints[20:])] + [(300, prints[0])]
+    got = {(r["a"], r["b"]) for r in nc._print_links(spark.createDataFrame(rows, "sid long, fp long")).collect()}
+    assert got == {(i, 100 + i) for i in range(20)} | {(0, 300)}
+    hashes = np.unique(rng.integers(-(1 << 62), 1 << 62, 999))
+    ones = sum(1 << b for b in range(64) if 2 * sum(int(h) >> b & 1 for h in hashes) > 999)
+    assert nc.fingerprint(hashes, chunk=100) % (1 << 64) == ones and nc.fingerprint(hashes[:0]) == 0
+    # links of fingerprints alone bring sets to a family: no bucket may be needed for them
+    monkeypatch.setattr(nc, "_keys", _no_keys)
+    words = [f"w{i}" for i in range(3000)]
+    docs = docs_of([(1, " ".join(words)), (2, " ".join([*words, "one", "more"])), (3, "quite another text of seven words")])
+    assert {r["doc_id"]: r["component_id"] for r in nc.near_copies(docs).collect()} == {1: 1, 2: 1, 3: 3}
+
+
+def _no_keys(batches):
+    for batch in batches:
+        none = batch.column("sid").slice(0, 0)
+        yield nc.pa.RecordBatch.from_arrays([none, none], ["key", "fp"])

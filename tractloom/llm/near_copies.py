@@ -1,12 +1,21 @@
 """Near copies by Jaccard similarity of word shingles.
 
-Every set of shingles has a head, its ``HEAD`` least hashes. Of the least ``KEYS`` hashes of the union
-of two sets of similarity t each lies in both sets with probability t, so two sets of similarity 0.8
-share none of their ``KEYS`` least hashes with a probability below 0.2^27 < 2^-62, no more than that
-of two shingles having equal 64-bit hashes; a set of at most HEAD shingles is its own head. Texts meet
-where they share one of these keys. Pairs are first judged by their heads: at least ``MEET`` of the
-HEAD least hashes are shared by a similar pair, but for a probability below 2^-50. Pairs that are left
-are compared on their whole sets, which travel once per tile of pairs, never once per pair.
+Sets of shingles are gathered to families, so that two similar sets are always in the same one, and
+compared in whole only there. Families come from two sorts of hash tables:
+
+* covering tables of SimHash fingerprints (``op10_simhash``), made of the set's own shingles, link
+  what differs in few bits. Sets of similarity 0.8 may differ in more bits than a bounded number of
+  such tables covers, so these tables alone would lose pairs.
+* Tables of neighbours. Every set has a head, its ``HEAD`` least hashes; its keys are the pairs of
+  neighbours in that order. Of the least ``HEAD`` hashes of the union of two sets of similarity t each
+  lies in both with probability t, and two neighbours there that both sets hold are neighbours in
+  both. At 0.8 there are none among 64 with a probability below 2^-61. Where both heads are whole sets
+  there always are some: b hashes that only one of them holds split the at least 4 b others into at
+  most b + 1 parts. Sets that share a key are in one family if their heads share ``MEET`` hashes, as
+  those of a similar pair do, but for a probability below 2^-50.
+
+A family of any size is compared in tiles of bounded memory, and a tile tells no pairs but a spanning
+forest of its links: rows are in proportion to sets however many pairs of a group are similar, or nearly so.
 """
 
 from __future__ import annotations
@@ -15,23 +24,22 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tractloom.functions.stage import discard, materialize
 from tractloom.llm.common import connected_components
-from tractloom.llm.op10_simhash import keep_smallest
+from tractloom.llm.op10_simhash import _bit_counts, _buckets, keep_smallest, link_fingerprints
 
 #: Shingles of five words; similarity of at least 4 / 5.
 SHINGLE = 5
 SIMILARITY = (4, 5)
 SEED = 42
 #: Least hashes by which sets meet, by which they are judged first, and how many of these a similar pair shares.
-KEYS, HEAD, MEET = 27, 64, 21
-#: Most members in one block of a bucket, on average.
-BLOCK = 512
+KEYS, HEAD, MEET = 64, 64, 21
+#: Most sets, and most hashes, in one block of a bucket or family, on average.
+BLOCK, VOLUME = 2048, 1 << 20
 #: Hashes that one step of a comparison gathers, about.
 STEP = 1 << 19
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -61,6 +69,18 @@ def set_id(hashes: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(hashes.tobytes(), SEED) - (1 << 63)
 
 
+def fingerprint(hashes: np.ndarray, chunk: int = 1 << 16) -> int:
+    """SimHash of a set of hashes as a signed 64-bit number; 0 for the empty set."""
+    counts = sum((_bit_counts(hashes[c:c + chunk].view(np.uint64)) for c in range(0, len(hashes), chunk)), np.zeros(64, dtype=np.int64))
+    return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<i8")[0])
+
+
+def neighbours(head: np.ndarray) -> np.ndarray:
+    """A key for every two neighbours of a sorted head."""
+    h = head.view(np.uint64)
+    return _mix(_mix(h[:-1]) * _ODD + h[1:]).view(np.int64)
+
+
 def similar(both: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
     """Whether sets of n and m members that share ``both`` are similar enough."""
     return both * SIMILARITY[1] >= (n + m - both) * SIMILARITY[0]
@@ -95,7 +115,7 @@ def shared(lists: np.ndarray, ends: np.ndarray, i: np.ndarray, j: np.ndarray) ->
 
 
 def overlaps(lists: np.ndarray, ends: np.ndarray, x: np.ndarray, y: np.ndarray, below: int | None = None) -> np.ndarray:
-    """How many members each set of ``x`` shares with each of ``y``, by products of 0-1 matrices, some members at a time.
+    """How many members each set of ``x`` shares with each of ``y``; those that few hold are counted pair by pair, others by products of 0-1 matrices.
 
     With ``below`` only members less than that count.
     """
@@ -106,18 +126,44 @@ def overlaps(lists: np.ndarray, ends: np.ndarray, x: np.ndarray, y: np.ndarray,
     values = lists[np.arange(len(row)) - np.repeat(first - ends[both], length)]
     if below is not None:
         row, values = row[values < below], values[values < below]
-    _, number, count = np.unique(values, return_inverse=True, return_counts=True)
-    often = count[number] > 1
-    row, number = row[often], (np.cumsum(count > 1) - 1)[number[often]]
+    order = np.argsort(values, kind="stable")  # rows stay in order: of each value those of x come first
+    row, values = row[order], values[order]
+    number = np.cumsum(np.r_[False, values[1:] != values[:-1]]) if len(values) else np.empty(0, dtype=np.int64)
+    left = row < len(x)
+    in_x, in_y = np.bincount(number[left], minlength=1 + number.max(initial=-1)), np.bincount(number[~left], minlength=1 + number.max(initial=-1))
     out = np.zeros((len(x), len(y)), dtype=np.float32)
-    order = np.argsort(number, kind="stable")
-    row, number = row[order], number[order]
+    dense = in_x * in_y * 512 >= len(x) * len(y)
+    few = np.flatnonzero((in_x * in_y > 0) & ~dense)
+    begin = np.cumsum(in_x + in_y) - in_x - in_y
+    cost = np.cumsum(in_x[few] * in_y[few])
+    for at in np.split(few, np.searchsorted(cost, np.arange(STEP, cost[-1], STEP))) if len(few) else []:
+        count = in_x[at] * in_y[at]
+        place = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        start, wide, tall = np.repeat(begin[at], count), np.repeat(in_y[at], count), np.repeat(in_x[at], count)
+        np.add.at(out, (row[start + place // wide], row[start + tall + place % wide] - len(x)), 1)
+    dense &= in_x * in_y > 0
+    chosen = dense[number]
+    row, number = row[chosen], (np.cumsum(dense) - 1)[number[chosen]]
     for s in range(0, int(number[-1]) + 1 if len(number) else 0, 2048):
         lo, hi = np.searchsorted(number, [s, s + 2048])
-        one = np.zeros((len(both), 2048), dtype=np.float32)
+        one = np.zeros((len(both), min(2048, int(number[-1]) + 1 - s)), dtype=np.float32)
         one[row[lo:hi], number[lo:hi] - s] = 1
         out += one[:len(x)] @ one[len(x):].T
-    return out.astype(np.int64)
+    return out.astype(np.int32)
+
+
+def forest(i: np.ndarray, j: np.ndarray, nodes: int) -> np.ndarray:
+    """For each of ``nodes`` the least one of its component by the links (i, j)."""
+    least = np.arange(nodes)
+    while True:
+        a, b = least[i], least[j]
+        differ = a != b
+        if not differ.any():
+            return least
+        i, j, a, b = i[differ], j[differ], a[differ], b[differ]
+        np.minimum.at(least, np.maximum(a, b), np.minimum(a, b))
+        while (least[least] != least).any():
+            least = least[least]
 
 
 def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,85 +172,99 @@ def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heads = [s[:HEAD] for s in sets]
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), batch.column("text_hash"), pa.array([set_id(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()),
-             pa.array(heads, pa.list_(pa.int64()))], ["doc_id", "text_hash", "sid", "n", "head"])
+             pa.array([fingerprint(s) for s in sets], pa.int64()), pa.array(heads, pa.list_(pa.int64()))], ["doc_id", "text_hash", "sid", "n", "fp", "head"])
+
+
+def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        keys = [neighbours(np.array(h, dtype=np.int64)[:KEYS]) for h in batch.column("head").to_pylist()]
+        sid = np.repeat(batch.column("sid").to_numpy(), [len(k) for k in keys])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys or [sid])), pa.array(sid)], ["key", "fp"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kept = ["sid", "n", "family", "nb"]
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column("sid"), pa.array([shingles(t.as_py()) for t in batch.column("text")], pa.list_(pa.int64()))], ["sid", "members"])
-
-
-def _compare(judge):
-    """Pairs of a tile that ``judge`` accepts, from the members of the tile's sets."""
-
-    def run(sets: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
-        sets = sets.sort_values("sid")
-        sid, members = sets["sid"].to_numpy(), sets["members"].tolist()
-        i, j = np.searchsorted(sid, pairs["a"].to_numpy()), np.searchsorted(sid, pairs["b"].to_numpy())
-        ends = np.concatenate([[0], np.cumsum([len(m) for m in members])]).astype(np.int64)
-        n = sets["n"].to_numpy().astype(np.int64)
-        lists = np.concatenate(members)
-        if 64 * len(i) > len(sid) ** 2:  # most of the tile is asked for
-            x, i_at = np.unique(i, return_inverse=True)
-            y, j_at = np.unique(j, return_inverse=True)
-            both = overlaps(lists, ends, x, y)[i_at, j_at]
-        else:
-            both = shared(lists, ends, i, j)
-        return pairs.loc[judge(both, n[i], n[j]), ["a", "b"]]
+        sets = pa.array([shingles(t.as_py()) for t in batch.column("text")], pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), sets], [*kept, "members"])
 
-    return run
 
+def _fits(n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Whether sets of n and m members may be similar by these counts."""
+    return (n * SIMILARITY[1] >= m * SIMILARITY[0]) & (m * SIMILARITY[1] >= n * SIMILARITY[0])
 
-def _verify(pairs: DataFrame, sets: DataFrame, judge) -> DataFrame:
-    """Pairs (a, b) that ``judge`` accepts; ``pairs`` also names each one's tile, ``sets`` has sid, n and members."""
-    need = pairs.select(F.col("tile").alias("of"), F.explode(F.array("a", "b")).alias("sid")).distinct()
-    known = need.join(sets, "sid").select("of", "sid", "n", "members")
-    return known.groupBy("of").cogroup(pairs.groupBy("tile")).applyInPandas(_compare(judge), "a long, b long")
 
+def _columns(t: pa.Table) -> tuple:
+    """sid, n, side, members and ends of a table sorted by tile and side, and where tiles begin and end."""
+    t = t.combine_chunks()
+    tile, lists = t["tile"].to_numpy(), t["members"].chunk(0)
+    ends = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())]).astype(np.int64)
+    return t["sid"].to_numpy(), t["n"].to_numpy().astype(np.int32), t["side"].to_numpy(), lists.flatten().to_numpy(), ends, np.flatnonzero(np.r_[True, tile[1:] != tile[:-1], True])
 
-def _cross_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of members of two blocks of a bucket that are in different components and may be similar by size and heads.
 
-    Tiles come sorted; one is taken up when all its rows have come, many small ones at once.
-    """
+def _star_links(t: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Links of a tile's first set with its others by their heads, for all tiles at once."""
+    sid, n, _, members, ends, bounds = _columns(t)
+    centre = np.repeat(bounds[:-1], np.diff(bounds))
+    at = np.flatnonzero((sid != sid[centre]) & _fits(n, n[centre]))
+    at = at[judge_heads(shared(members, ends, centre[at], at), n[centre[at]], n[at])]
+    yield sid[centre[at]], sid[at]
+
 
-    def pairs(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        t = t.combine_chunks()
-        sid, comp, n, tile, left, key = (t[c].to_numpy() for c in ("sid", "comp", "n", "tile", "side", "h"))
-        lists = t["head"].chunk(0)
-        members, ends = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())]).astype(np.int64)
-        bounds = np.flatnonzero(np.r_[True, tile[1:] != tile[:-1], True])
+def _tile_links(judge):
+    """Links of sets of a tile's two sides that are in different components: of the pairs that ``judge`` accepts a spanning forest."""
+
+    def run(t: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        sid, n, side, members, ends, bounds = _columns(t)
+        comp = t["comp"].to_numpy()
         for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-            one = left[s] == left[e - 1]  # sides are sorted: one side only means a block with itself
-            x = np.arange(s, e) if one else np.arange(s, s + int(np.searchsorted(left[s:e], left[e - 1])))
+            one = side[s] == side[e - 1]  # sides are sorted: one side only means a block with itself
+            x = np.arange(s, e) if one else np.arange(s, s + int(np.searchsorted(side[s:e], side[e - 1])))
             y = x if one else np.arange(x[-1] + 1, e)
-            if one and len(np.unique(comp[s:e])) == 1:
-                continue
-            near = (comp[x][:, None] != comp[y][None, :]) & (n[x][:, None] * SIMILARITY[1] >= n[y][None, :] * SIMILARITY[0]) & (
-                n[y][None, :] * SIMILARITY[1] >= n[x][:, None] * SIMILARITY[0])
+            near = (comp[x][:, None] != comp[y][None, :]) & _fits(n[x][:, None], n[y][None, :])
             near = np.triu(near, 1) if one else near
-            if not near.any():
-                continue
-            size = n[x].astype(np.int64)[:, None], n[y].astype(np.int64)[None, :]
-            near &= judge_heads(overlaps(members, ends, x, y), *size)
-            if near.any():  # a pair belongs to the bucket of the least key that it shares
-                near &= overlaps(members, ends, x, y, int(key[s])) == 0
-            i, j = np.nonzero(near)
-            a, b = sid[x[i]], sid[y[j]]
+            if near.any():
+                near &= judge(overlaps(members, ends, x, y), n[x][:, None], n[y][None, :])
+                i, j = np.nonzero(near)
+                least = s + forest(x[i] - s, y[j] - s, e - s)
+                linked = np.flatnonzero(least != np.arange(s, e))
+                yield sid[least[linked]], sid[s + linked]
+
+    return run
+
+
+def _by_tiles(links):
+    """``links`` of the tiles of a partition that is sorted by tile and side; a tile is taken up when all its rows have come, many small ones at once."""
+
+    def told(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        for a, b in links(t):
             if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(np.full(len(a), tile[s]))], ["a", "b", "tile"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
-    held: pa.Table | None = None
-    for batch in batches:
-        table = pa.Table.from_batches([batch])
-        held = table if held is None else pa.concat_tables([held, table])
-        tile = held["tile"].to_numpy()
-        if len(held) and tile[0] != tile[-1]:
-            last = int(np.flatnonzero(tile != tile[-1])[-1]) + 1
-            yield from pairs(held.slice(0, last))
-            held = held.slice(last)
-    if held is not None and len(held):
-        yield from pairs(held)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not len(batch):
+                continue
+            tile = batch.column("tile").to_numpy()
+            last = int(np.flatnonzero(tile != tile[-1])[-1]) + 1 if tile[0] != tile[-1] else 0
+            if held and held[-1].column("tile")[-1].as_py() != tile[last]:
+                yield from told(pa.Table.from_batches([*held, batch.slice(0, last)]))
+                held = []
+            elif last:
+                yield from told(pa.Table.from_batches([batch.slice(0, last)]))
+            held.append(batch.slice(last))
+        if held:
+            yield from told(pa.Table.from_batches(held))
+
+    return run
+
+
+def _tiles(rows: DataFrame, group: str) -> DataFrame:
+    """Rows of each ``group`` in ``nb`` blocks, once for every pair of blocks that they are in."""
+    rows = rows.withColumn("side", F.pmod(F.xxhash64("sid"), F.col("nb")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    tile = F.xxhash64(F.col(group), F.least("side", "other"), F.greatest("side", "other")).alias("tile")
+    return rows.select("sid", "n", "comp", "side", tile, "members").repartition("tile").sortWithinPartitions("tile", "side")
 
 
 def near_copies(docs: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -216,58 +276,67 @@ def near_copies(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     gives none. Whatever a text's length, no more than its head meets other texts, and its whole set
     travels only to the tiles in which it may have a similar partner.
 
-    Members of a bucket are first compared with one of them; components of those links are then found,
-    and only pairs of a bucket in different components are compared further, block by block.
+    Members of a bucket are first judged with one of them; components of those links and of the
+    fingerprints' links are then found, and only buckets with several components are judged further,
+    block by block. The components then found are the families.
     """
     spark, run = docs.sparkSession, uuid.uuid4().hex
     stage = lambda df, name: materialize(df, f"{run}-{name}")
     drop = lambda *names: discard(spark, *[f"{run}-{n}" for n in names])
     kind = docs.schema["doc_id"].dataType.simpleString()
     texts = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    prints = stage(texts.mapInArrow(_prints, f"doc_id {kind}, text_hash long, sid long, n int, head array<long>"), "prints")
-    one = F.min(F.struct("text_hash", "n", "head")).alias("one")
+    prints = stage(texts.mapInArrow(_prints, f"doc_id {kind}, text_hash long, sid long, n int, fp long, head array<long>"), "prints")
+    one = F.min(F.struct("text_hash", "n", "fp", "head")).alias("one")
     kinds = stage(prints.groupBy("sid").agg(F.min("doc_id").alias("rep"), one).select("sid", "rep", "one.*"), "kinds")
-    rows = kinds.select("sid", "n", F.explode(F.slice("head", 1, KEYS)).alias("h"))
-    draw = F.struct(F.xxhash64("sid").alias("draw"), "sid", "n")
-    several = rows.groupBy("h").agg(F.min(draw).alias("c"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    several = stage(several.select("h", F.col("c.sid").alias("c"), F.col("c.n").alias("m"), "size"), "several")
-    members = stage(rows.join(several, "h"), "members")
-    fits = (F.col("n") * SIMILARITY[1] >= F.col("m") * SIMILARITY[0]) & (F.col("m") * SIMILARITY[1] >= F.col("n") * SIMILARITY[0])
-    chunk = F.xxhash64("c", F.pmod(F.xxhash64("sid"), F.ceil(F.col("size") / block)))
-    star = members.where((F.col("sid") != F.col("c")) & fits).groupBy(F.least("sid", "c").alias("a"), F.greatest("sid", "c").alias("b")).agg(F.min(chunk).alias("tile"))
+    ids = stage(prints.select("doc_id", "text_hash", "sid"), "ids")
+    drop("prints")
+
     heads = kinds.select("sid", "n", F.col("head").alias("members"))
-    star = stage(_heads_agree(star, heads), "star")
-    wanted = members.select("sid").distinct()
-    source = stage(kinds.join(wanted, "sid").select("sid", "n", "text_hash"), "wanted")
-    full = texts.select("text_hash", "text").join(source.select("sid", "text_hash"), "text_hash").select("sid", "text").dropDuplicates(["sid"])
-    full = stage(full.mapInArrow(_sets, "sid long, members array<long>").join(source.select("sid", "n"), "sid"), "full")
-    first = stage(connected_components(_verify(star, full, similar)), "first")
-    comp = first.withColumnsRenamed({"node": "sid", "component": "comp"})
-    open_ = stage(members.select("h", "sid", "n", "size").join(comp, "sid", "left").withColumn("comp", F.coalesce("comp", "sid")), "open")
-    drop("members", "several")
-    mixed = open_.groupBy("h").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("h")
-    blocks = open_.join(stage(mixed, "mixed"), "h").withColumn("nb", F.ceil(F.col("size") / block).cast("int")).withColumn(
-        "side", F.pmod(F.xxhash64("sid"), F.col("nb")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("nb") - 1))
-    tiles = blocks.withColumn("other", other).select("h", "sid", "n", "comp", "side", F.xxhash64("h", F.least("side", "other"), F.greatest("side", "other")).alias("tile"))
-    tiles = tiles.join(kinds.select("sid", "head"), "sid").repartition("tile").sortWithinPartitions("tile", "side")
-    more = tiles.mapInArrow(_cross_pairs, "a long, b long, tile long")
-    more = stage(more.join(star.select("a", "b"), ["a", "b"], "left_anti"), "more")
-    drop("open", "mixed", "star")
-    edges = first.select(F.col("node").alias("a"), F.col("component").alias("b")).union(_verify(more, full, similar))
+    prior = stage(_print_links(kinds.select("sid", "fp")), "prior")
+    rows = kinds.select("sid", "head").mapInArrow(_keys, "key long, fp long").repartition("key").sortWithinPartitions("key", "fp")
+    members = stage(rows.mapInArrow(_buckets, "key long, fp long, first long").withColumnsRenamed({"fp": "sid", "first": "c"}), "members")
+    pairs = stage(members.where("sid <> c").select("sid", "c").distinct(), "pairs")
+    parts = stage(pairs.groupBy("c").agg(_blocks(F.count(F.lit(1)), block).alias("nb")), "parts")
+    part = F.pmod(F.xxhash64("sid"), F.col("nb")).cast("int")
+    star = pairs.join(parts, "c").select("sid", F.xxhash64("c", part).alias("tile"), F.lit(1).alias("side")).union(
+        parts.select(F.col("c").alias("sid"), "c", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("part")).select("sid", F.xxhash64("c", "part"), F.lit(0)))
+    star = star.join(heads, "sid").select("sid", "n", "side", "tile", "members").repartition("tile").sortWithinPartitions("tile", "side")
+    near = stage(star.mapInArrow(_by_tiles(_star_links), "a long, b long").union(prior), "near")
+    first = stage(connected_components(near).withColumnsRenamed({"node": "sid", "component": "comp"}), "first")
+    open_ = stage(members.join(first, "sid", "left").select("key", "sid", F.coalesce("comp", "sid").alias("comp")), "open")
+    drop("members", "pairs", "parts", "prior", "near")
+    mixed = open_.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count(F.lit(1)).alias("size")).where("c0 <> c1")
+    mixed = stage(mixed.select("key", _blocks(F.col("size"), block).alias("nb")), "mixed")
+    more = _tiles(open_.join(mixed, "key").join(heads, "sid"), "key").mapInArrow(_by_tiles(_tile_links(judge_heads)), "a long, b long")
+    more = stage(first.select(F.col("sid").alias("a"), F.col("comp").alias("b")).union(more), "more")
+    families = stage(connected_components(more).withColumnsRenamed({"node": "sid", "component": "family"}), "families")
+    drop("open", "mixed", "first", "more")
+
+    wanted = stage(families.join(kinds.select("sid", "n", "text_hash"), "sid"), "wanted")
+    sizes = wanted.groupBy("family").agg(F.greatest(_blocks(F.count(F.lit(1)), block), _blocks(F.sum("n"), VOLUME)).alias("nb"))
+    wanted = stage(wanted.join(sizes, "family"), "sized")
+    whole = texts.select("text_hash", "text").join(wanted, "text_hash").dropDuplicates(["text_hash"])
+    whole = whole.mapInArrow(_sets, "sid long, n int, family long, nb int, members array<long>").withColumn("comp", F.col("sid"))
+    edges = stage(_tiles(whole, "family").mapInArrow(_by_tiles(_tile_links(similar)), "a long, b long"), "edges")
     links = stage(connected_components(edges).withColumnsRenamed({"node": "sid", "component": "root"}), "links")
-    drop("more", "full", "wanted", "first")
+    drop("families", "wanted", "sized", "edges")
     rooted = stage(kinds.select("sid", "rep").join(links, "sid", "left").withColumn("root", F.coalesce("root", "sid")), "rooted")
     smallest = stage(rooted.groupBy("root").agg(F.min("rep").alias("component_id")), "smallest")
     named = stage(rooted.select("sid", "root").join(smallest, "root"), "named")
     drop("kinds", "links", "rooted", "smallest")
-    return prints.join(named, "sid").select("doc_id", "text_hash", "root", "component_id")
+    return ids.join(named, "sid").select("doc_id", "text_hash", "root", "component_id")
+
+
+def _blocks(count: Column, block: int) -> Column:
+    return F.ceil(count / block).cast("int")
 
 
-def _heads_agree(pairs: DataFrame, heads: DataFrame) -> DataFrame:
-    """Pairs (with their tile) that may be similar by their heads."""
-    good = _verify(pairs, heads, judge_heads)
-    return pairs.join(good, ["a", "b"], "left_semi")
+def _print_links(prints: DataFrame) -> DataFrame:
+    """Links (a, b) of sets (sid, fp) whose fingerprints are linked by covering tables, or equal, to the least such set."""
+    linked = prints.join(link_fingerprints(prints.select("fp").distinct()), "fp", "left").select("sid", F.coalesce("root", "fp").alias("root"))
+    linked = materialize(linked)
+    least = linked.groupBy("root").agg(F.min("sid").alias("a"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    return linked.join(least, "root").where("sid <> a").select("a", F.col("sid").alias("b"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
