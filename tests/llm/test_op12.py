@@ -77,6 +77,39 @@ def test_block_search_keeps_all_that_reach_the_score():
             assert docs.tolist() == want.tolist() and score.tolist() == full[want].tolist()
 
 
+def test_block_search_of_short_lists(monkeypatch):
+    one = [(np.array([i]), np.array([5]), 5) for i in (1, 2)]  # bounds of 10, but no document above 5
+    assert [x.tolist() for x in op12.best(one, 100, 6)] == [[], []]
+    assert [x.tolist() for x in op12.best(one, 100, 5)] == [[1, 2], [5, 5]]
+    idle = [(np.array([1]), np.array([0]), 0), (np.arange(50), np.full(50, 3), 3)]  # the short list adds nothing
+    assert [x.tolist() for x in op12.best(idle, 100, 2)] == [list(range(50)), [3] * 50]
+    assert [x.tolist() for x in op12.best(idle[:1], 100, 1)] == [[], []]
+    monkeypatch.setattr(op12, "SHORT", 1 / 4)
+    draw = np.random.default_rng(2)
+    for _ in range(500):
+        n, lists = int(draw.integers(20, 100)), []
+        full = np.zeros(n, dtype=np.int64)
+        for _ in range(int(draw.integers(1, 8))):
+            docs = np.flatnonzero(draw.random(n) < draw.random() ** 3)
+            if len(docs):
+                add = draw.integers(0, draw.choice([1, 10, 1000]), len(docs))
+                full[docs] += add
+                lists.append((docs, add, int(add.max())))
+        least = int(draw.integers(1, 2 * full.max() + 2))
+        want = np.flatnonzero(full >= least)
+        docs, score = op12.best(lists, n, least)
+        assert docs.tolist() == want.tolist() and score.tolist() == full[want].tolist()
+
+
+def test_blocks_without_a_document_of_the_best_scores(spark, docs_of, monkeypatch):
+    monkeypatch.setattr(op12, "BLOCK_DOCS", 64)
+    docs = [(i, "a b c") for i in range(10)] + [(i, "filler") for i in range(10, 64)]
+    docs += [(64, "a"), (65, "b"), (66, "c")] + [(i, "filler") for i in range(67, 128)]  # their bounds reach the tenth score, no document does
+    items = [(1, "a b c")]
+    table = spark.createDataFrame(items, "item_id long, text string")
+    assert got(op12.ranked_search(docs_of(docs).coalesce(1), table, 10)) == brute(docs, items, 10)
+
+
 def test_query_equals_sql(spark, sf_dir):
     con = duckdb.connect()
     for t in ("documents", "benchmark"):

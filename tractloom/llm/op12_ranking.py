@@ -78,6 +78,7 @@ def best(lists: list[tuple[np.ndarray, np.ndarray, int]], n_docs: int, least: in
     ``lists`` has document numbers (ascending), what each adds to the score, and the largest of these.
     """
     nothing = np.empty(0, dtype=np.int64)
+    lists = [x for x in lists if x[2]]  # a term of nearly all documents adds nothing
     if sum(bound for _, _, bound in lists) < least:
         return nothing, nothing
     short = [x for x in lists if len(x[0]) <= SHORT * n_docs]
@@ -88,6 +89,8 @@ def best(lists: list[tuple[np.ndarray, np.ndarray, int]], n_docs: int, least: in
         rest.append((docs, sums[docs].astype(np.int64), int(sums.max())))
     rest.sort(key=lambda x: x[2])
     reach = np.cumsum([bound for _, _, bound in rest])
+    if reach[-1] < least:  # the largest sum of the short lists may be below the sum of their bounds
+        return nothing, nothing
     optional = int(np.searchsorted(reach, least))  # the lists before this one cannot reach the score by themselves
     sums = np.bincount(np.concatenate([d for d, _, _ in rest[optional:]]), np.concatenate([v for _, v, _ in rest[optional:]]), n_docs)
     docs = np.flatnonzero(sums)
